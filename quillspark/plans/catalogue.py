@@ -1,5 +1,577 @@
 """All queries of the library and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import CONFIDENCE_SCALE, DOCUMENTS, SCOPE_GAPS, SECTION_ROUTES
+from ..functions import dates, fuzzy, text, vectors
+from ..operators import chunking, classify, embed, evaluate, fields, imaging, layout, ocr, retrieve, sections, tables
+from . import views as v
+from .views import with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "route_rank"
+DIGITS = 6
+#: Added before rounding, so that the order of a summation decides no tie.
+NUDGE = 1e-9
+
+
+def query(sql: str | None = None, *needs: str, recursive: bool = False) -> Callable:
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = with_views((", " if sql.lstrip().startswith("q_") else " ") + sql.strip(), *needs, recursive=recursive) if needs else sql
+        return fn
+
+    return add
+
+
+# --- layout ---------------------------------------------------------------------------------------
+
+_BLOCKS = """q_blocks AS (
+    SELECT doc_id, page_num, block_idx, trim(string_agg(text, ' ' ORDER BY span_idx), chr(32) || chr(9) || chr(10) || chr(13)) AS text, 'text' AS block_type FROM d_spans WHERE block_type = 'text' GROUP BY ALL
+    HAVING trim(string_agg(text, ' ' ORDER BY span_idx), chr(32) || chr(9) || chr(10) || chr(13)) <> ''
+    UNION ALL SELECT DISTINCT doc_id, page_num, block_idx, '', 'image' FROM d_spans WHERE block_type = 'image') """
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.blocks_from_spans(v.spans(spark, sf_dir))
+
+
+@query(_BLOCKS + "SELECT * FROM q_blocks", "d_spans")
+def blocks_projection(spark, sf_dir):
+    return _blocks(spark, sf_dir)
+
+
+@query(_BLOCKS + "SELECT doc_id, string_agg(text, chr(10) ORDER BY page_num, block_idx) AS text FROM q_blocks WHERE block_type = 'text' GROUP BY doc_id", "d_spans")
+def full_text(spark, sf_dir):
+    return layout.full_text(_blocks(spark, sf_dir))
+
+
+@query(_BLOCKS + "SELECT doc_id, page_num, string_agg(text, chr(10) ORDER BY block_idx) AS text FROM q_blocks WHERE block_type = 'text' GROUP BY doc_id, page_num", "d_spans")
+def page_text(spark, sf_dir):
+    return layout.page_text(_blocks(spark, sf_dir))
+
+
+@query(
+    _BLOCKS + ", q_n AS (SELECT doc_id, max(page_num) + 1 AS n FROM d_spans GROUP BY doc_id), q_p AS (SELECT doc_id, unnest(range(n))::INTEGER AS page_num FROM q_n) "
+    "SELECT doc_id, page_num, coalesce((SELECT string_agg(b.text, chr(10) ORDER BY block_idx) FROM q_blocks b WHERE b.doc_id = p.doc_id AND b.page_num = p.page_num AND block_type = 'text'), '') AS text FROM q_p p",
+    "d_spans",
+)
+def iter_pages(spark, sf_dir):
+    docs = v.spans(spark, sf_dir).groupBy("doc_id").agg((F.max("page_num") + 1).alias("num_pages"))
+    return layout.iter_pages(_blocks(spark, sf_dir), docs)
+
+
+_READING = """q_f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY y0, x0, frag_idx) AS k FROM d_fragments),
+    q_r AS (SELECT doc_id, page_num, k, y0 AS anchor, 0 AS r, x0, text FROM q_f WHERE k = 1
+        UNION ALL SELECT f.doc_id, f.page_num, f.k, CASE WHEN abs(f.y0 - q_r.anchor) > 2.0 THEN f.y0 ELSE q_r.anchor END, CASE WHEN abs(f.y0 - q_r.anchor) > 2.0 THEN r + 1 ELSE r END, f.x0, f.text
+        FROM q_r JOIN q_f f ON f.doc_id = q_r.doc_id AND f.page_num = q_r.page_num AND f.k = q_r.k + 1),
+    q_l AS (SELECT doc_id, page_num, r, string_agg(text, ' ' ORDER BY x0, text) AS line FROM q_r GROUP BY ALL),
+    q_pages AS (SELECT doc_id, page_num, string_agg(line, chr(10) ORDER BY r) AS text FROM q_l GROUP BY ALL) """
+
+
+@query(_READING + "SELECT * FROM q_pages", "d_fragments", recursive=True)
+def reading_order_pages(spark, sf_dir):
+    return layout.reading_order(v.fragments(spark, sf_dir))
+
+
+@query(_READING + "SELECT * FROM q_pages WHERE page_num < 2", "d_fragments", recursive=True)
+def page_limit(spark, sf_dir):
+    return layout.reading_order(layout.first_pages(v.fragments(spark, sf_dir), 2))
+
+
+# --- tables ---------------------------------------------------------------------------------------
+
+
+def _cells(spark, sf_dir):
+    return v.cell_tables(spark, sf_dir).withColumn("rows", tables.clean_cells(F.col("rows")))
+
+
+@query("SELECT n_nationkey, to_json(list_transform(rows, lambda r: list_transform(r, lambda c: coalesce(c, ''))))::VARCHAR AS rows FROM d_tables", "d_tables")
+def table_cells_clean(spark, sf_dir):
+    return _cells(spark, sf_dir).withColumn("rows", F.to_json("rows"))
+
+
+@query("SELECT n_nationkey, array_to_string(rows[1], '|') AS header FROM d_tables", "d_tables")
+def table_header(spark, sf_dir):
+    return _cells(spark, sf_dir).select("n_nationkey", F.array_join(tables.header(F.col("rows")), "|").alias("header"))
+
+
+@query(
+    """q_c AS (SELECT n_nationkey, i, rows[1] AS h, list_transform(rows[i], lambda c: coalesce(c, '')) AS r FROM (SELECT n_nationkey, rows, unnest(range(2, len(rows) + 1)) AS i FROM d_tables)),
+    q_k AS (SELECT n_nationkey, i, j, h[j] AS key, r[j] AS value, row_number() OVER (PARTITION BY n_nationkey, i, h[j] ORDER BY j DESC) AS n FROM (SELECT *, unnest(range(1, least(len(h), len(r)) + 1)) AS j FROM q_c))
+    SELECT n_nationkey, (i - 2)::INTEGER AS record, key, value FROM q_k WHERE n = 1""",
+    "d_tables",
+)
+def table_dicts(spark, sf_dir):
+    rows = _cells(spark, sf_dir).select("n_nationkey", F.posexplode(tables.records(F.col("rows"))).alias("record", "m"))
+    return rows.select("n_nationkey", "record", F.explode("m").alias("key", "value"))
+
+
+# --- fields, tags, boundaries ---------------------------------------------------------------------
+
+_S = " || chr(32) || chr(9) || chr(10) || chr(13)"
+
+
+def _group(pattern: str, n: int, flags: str = "'i'") -> str:
+    tail = f", {flags}" if flags else ""
+    got = [f"nullif(trim(regexp_extract(text, '{pattern}', {g}{tail}), chr(32) || chr(9) || chr(10) || chr(13)), '')" for g in range(1, n + 1)]
+    return f"coalesce({', '.join(got)})" if n > 1 else got[0]
+
+
+@query(
+    "SELECT doc_id, "
+    + _group(r"(?:protocol\s+(?:number|no\.?|#)\s*[:\-]?\s*)([A-Z0-9\-]{4,20})|\b((?:NDA|BLA)\s?\d{5,7})\b", 2) + " AS protocol_number, "
+    + _group(r"(?:sponsor\s*[:\-]?\s*)([A-Za-z][\w\s,\.]+?)(?:\n|$)|(?:Labeler\s*-\s*)([A-Za-z][\w\s,\.&]+?)(?:\s*\(|\n|$)|(?:(?:Distributed|Manufactured|Marketed)\s+by\s*[:\-]?\s*)([A-Za-z][\w\s,\.&]+?)(?:\n|$)", 3) + " AS sponsor, "
+    + _group(r"(?:(?:study|trial)\s+title\s*[:\-]?\s*)(.{10,200}?)(?:\n|$)", 1) + " AS study_title, "
+    + _group(r"\bPhase\s+(I{1,3}V?|[1-4](?:[Aa]|[Bb])?)\b", 1) + " AS phase, "
+    + _group(r"INDICATIONS AND USAGE\s+(.{10,400}?)(?:\n|$)", 1, "") + " AS indication, "
+    + _group(r"(?:date\s*[:\-]?\s*)(\d{1,2}[\s\-/]\w+[\s\-/]\d{2,4}|\w+\s+\d{1,2},?\s+\d{4})|(?:Revised\s*[:\-]?\s*)(\d{1,2}/\d{4}|\w+\s+\d{4})", 2) + " AS document_date, "
+    + _group(r"\b(Clinical\s+Study\s+Report|Investigator\s+Brochure|Protocol\s+Amendment|Informed\s+Consent|Adverse\s+Event\s+Report|Highlights\s+of\s+Prescribing\s+Information|Prescribing\s+Information|Drug\s+Facts|Medication\s+Guide)\b", 1)
+    + " AS document_type FROM d_fields",
+    "d_fields",
+)
+def parse_fields(spark, sf_dir):
+    return fields.parse_fields(v.field_texts(spark, sf_dir)).drop("text")
+
+
+@query(
+    r"""SELECT doc_id, page_num,
+        CASE WHEN regexp_matches(text, 'Clinical\s+Study\s+Report', 'i') THEN 'CSR' WHEN regexp_matches(text, 'Investigator\s+Brochure', 'i') THEN 'IB'
+             WHEN regexp_matches(regexp_replace(text, 'protocol\s+(number|no)', ' ', 'gi'), '\bprotocol\b', 'i') THEN 'Protocol'
+             WHEN regexp_matches(text, 'Informed\s+Consent', 'i') THEN 'ICF' WHEN regexp_matches(text, 'Adverse\s+Event\s+Report', 'i') THEN 'AE_Report' WHEN regexp_matches(text, 'Statistical\s+Analysis\s+Plan', 'i') THEN 'SAP' END AS doc_type,
+        CASE WHEN regexp_matches(text, '\bSYNOPSIS\b', 'i') THEN 'synopsis' WHEN regexp_matches(text, '\b(METHODS|STUDY\s+DESIGN)\b', 'i') THEN 'methods' WHEN regexp_matches(text, '\bRESULTS\b', 'i') THEN 'results'
+             WHEN regexp_matches(text, '\b(SAFETY|ADVERSE\s+EVENTS?)\b', 'i') THEN 'safety' WHEN regexp_matches(text, '\bEFFICACY\b', 'i') THEN 'efficacy' END AS section,
+        nullif(trim(regexp_extract(text, '(?:Date\s*[:\-]?\s*)?(\d{1,2}[\s\-/][\p{L}\p{N}_]{3,9}[\s\-/]\d{4}|[\p{L}\p{N}_]{3,9}\s+\d{1,2},?\s+\d{4}|\d{4}-\d{2}-\d{2})', 1, 'i')), '') AS date FROM d_pages""",
+    "d_pages",
+)
+def tag_page(spark, sf_dir):
+    return classify.tag_page(v.pages(spark, sf_dir)).drop("text")
+
+
+_SCORES = r"""q_s AS (SELECT doc_id, page_num, (regexp_matches(text, '(?im)^\s*(CONFIDENTIAL|PROPRIETARY)\s*$')::INTEGER + regexp_matches(text, '(Protocol|Study)\s+(Number|No\.?|#)\s*[:\-]?\s*[A-Z0-9\-]{4,}', 'i')::INTEGER
+    + regexp_matches(text, '\bTable\s+of\s+Contents\b', 'i')::INTEGER + regexp_matches(text, '(?im)^1\.\s+(INTRODUCTION|BACKGROUND|SYNOPSIS)\s*$')::INTEGER) / 4.0::DOUBLE AS score FROM d_pages) """
+
+
+@query(_SCORES + "SELECT * FROM q_s", "d_pages")
+def boundary_scores(spark, sf_dir):
+    return v.pages(spark, sf_dir).select("doc_id", "page_num", classify.boundary_score(F.col("text")).alias("score"))
+
+
+@query(
+    _SCORES + """, q_b AS (SELECT *, (page_num = 0 OR (score >= 0.5 AND (lag(score) OVER w < 0.3 OR page_num = 1)))::INTEGER AS s FROM q_s WINDOW w AS (PARTITION BY doc_id ORDER BY page_num)),
+    q_g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY page_num) AS g FROM q_b)
+    SELECT doc_id, min(page_num) AS start_page, max(page_num) AS end_page, round(avg(score) + 1e-9, 6) AS confidence FROM q_g GROUP BY doc_id, g""",
+    "d_pages",
+)
+def doc_boundaries(spark, sf_dir):
+    return classify.detect_boundaries(v.pages(spark, sf_dir)).withColumn("confidence", F.round(F.col("confidence") + NUDGE, DIGITS))
+
+
+# --- sections and chunks --------------------------------------------------------------------------
+
+_HEADER = r"^(WARNING:[A-Z0-9 ,:/&\-()]{2,112}|[A-Z][A-Z0-9 ,:/&\-]{9,120})$"
+_WS = "chr(32) || chr(9) || chr(10) || chr(13)"
+_CHUNKS = f"""q_m AS (SELECT *, regexp_matches(line, '{_HEADER}') AS head, trim(line, {_WS}) = '' AS blank FROM d_labels),
+    q_p AS (SELECT *, last_value(CASE WHEN NOT blank THEN head END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM q_m),
+    q_r AS (SELECT *, sum((head AND NOT coalesce(before, false))::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM q_p),
+    q_a AS (SELECT doc_id, run, coalesce(min(line_no) FILTER (head AND starts_with(line, 'WARNING:')), max(line_no) FILTER (head)) AS start, max(line_no) FILTER (head) AS last FROM q_r WHERE run > 0 GROUP BY ALL),
+    q_t AS (SELECT r.doc_id, r.run, string_agg(trim(line, {_WS}), ' ' ORDER BY line_no) FILTER (head AND line_no >= start) AS label,
+        trim(string_agg(line, chr(10) ORDER BY line_no) FILTER (line_no >= start), {_WS}) AS text, trim(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (line_no > last), ''), {_WS}) AS rest
+        FROM q_r r JOIN q_a a ON a.doc_id = r.doc_id AND a.run = r.run GROUP BY ALL),
+    q_chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS chunk_idx,
+        CASE WHEN starts_with(label, 'WARNING:') AND NOT starts_with(lower(trim(string_split(rest, chr(10))[1], {_WS})), 'see full prescribing') THEN label || ' ' || trim(string_split(rest, chr(10))[1], {_WS}) ELSE label END AS section, text
+        FROM q_t WHERE rest <> '') """
+
+
+@query(f"SELECT doc_id, line_no, line FROM d_labels WHERE regexp_matches(line, '{_HEADER}')", "d_labels")
+def header_lines(spark, sf_dir):
+    return v.label_lines(spark, sf_dir).where(sections.is_header(F.col("line")))
+
+
+@query(_CHUNKS + "SELECT doc_id, chunk_idx::INTEGER AS chunk_idx, section, text FROM q_chunks", "d_labels")
+def section_chunks(spark, sf_dir):
+    return sections.section_chunks(v.label_lines(spark, sf_dir))
+
+
+@query(_CHUNKS + "SELECT doc_id, count(*) AS n_chunks FROM q_chunks GROUP BY doc_id", "d_labels")
+def chunk_counts(spark, sf_dir):
+    return sections.section_chunks(v.label_lines(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+
+
+@query(_CHUNKS.replace("FROM d_labels)", "FROM d_labels WHERE line_no // 18 < 2)", 1) + "SELECT doc_id, chunk_idx::INTEGER AS chunk_idx, section, text, 'BRAND ' || doc_id % 14 AS document FROM q_chunks", "d_labels")
+def highlights_nodes(spark, sf_dir):
+    lines = v.label_lines(spark, sf_dir).withColumn("page_num", F.expr("cast(line_no div 18 as int)"))
+    listed = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    pages = lines.groupBy("doc_id", "page_num").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("text"))
+    return sections.highlights(pages, F.concat(F.lit("BRAND "), (F.col("doc_id") % 14).cast("string")))
+
+
+@query(
+    """q_o AS (SELECT n_nationkey % 7 AS part, n_name FROM nation), q_w AS (SELECT n_nationkey % 6 AS part, n_name FROM nation)
+    SELECT *, 'old' AS side FROM (SELECT * FROM q_o EXCEPT ALL SELECT * FROM q_w) UNION ALL SELECT *, 'new' FROM (SELECT * FROM q_w EXCEPT ALL SELECT * FROM q_o)""",
+    "d_tables",
+)
+def chunk_inventory_diff(spark, sf_dir):
+    n = v.table(spark, sf_dir, "nation")
+    return evaluate.inventory_difference(n.select(F.expr("n_nationkey % 7").alias("part"), "n_name"), n.select(F.expr("n_nationkey % 6").alias("part"), "n_name"))
+
+
+@query(
+    r"""SELECT doc_id, (i // 448)::INTEGER AS chunk_idx, array_to_string(w[i + 1 : i + 512], ' ') AS text FROM (
+        SELECT doc_id, w, unnest(range(0, greatest(len(w) - 64, 1), 448)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0)"""
+)
+def chunk_fixed(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.fixed_chunks(F.col("text"))).alias("chunk_idx", "text"))
+
+
+@query()
+def chunk_sentence(spark, sf_dir):
+    return chunking.build_chunks(v.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("SELECT c_nationkey, unnest(list_zip(t[1 : least(len(t), 4)], ['a', 'b', 'c', 'd'][1 : least(len(t), 4)]), recursive := true) FROM (SELECT c_nationkey, list(c_name ORDER BY c_custkey) AS t FROM customer GROUP BY ALL)".replace("unnest(list_zip(t[1 : least(len(t), 4)], ['a', 'b', 'c', 'd'][1 : least(len(t), 4)]), recursive := true)", "unnest(t[1 : 4]) AS text, unnest(['a', 'b', 'c', 'd'][1 : least(len(t), 4)]) AS meta"))
+def zip_metadata(spark, sf_dir):
+    listed = F.array_sort(F.collect_list(F.struct("c_custkey", "c_name")))
+    groups = v.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.transform(listed, lambda x: x["c_name"]).alias("t"))
+    pairs = chunking.zip_metadata(F.col("t"), F.array(*map(F.lit, "abcd")))
+    return groups.select("c_nationkey", F.explode(pairs).alias("p")).select("c_nationkey", "p.text", "p.meta")
+
+
+# --- dates and fuzzy scores -----------------------------------------------------------------------
+
+_DATE = r"\b\d{1,2}/\d{1,2}/\d{4}\b|\b\d{1,2}/\d{4}\b|\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}\b|\b(?:19|20)\d{2}\b"
+_GRAIN = r"CASE WHEN regexp_full_match(trim(truth), '\d{4}') THEN 'year' WHEN regexp_full_match(trim(truth), '\d{1,2}/\d{4}') THEN 'month' ELSE 'day' END"
+
+
+def _parsed(c: str) -> str:
+    return f"coalesce(try_strptime({c}, '%m/%d/%Y'), try_strptime({c}, '%m/%Y'), try_strptime({c}, '%B %Y'), try_strptime({c}, '%Y'))"
+
+
+@query(f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{_DATE}'), '|') AS found FROM d_dates", "d_dates")
+def date_candidates(spark, sf_dir):
+    return v.date_texts(spark, sf_dir).select("doc_id", F.array_join(dates.candidates(F.col("text")), "|").alias("found"))
+
+
+@query(f"SELECT doc_id, {_GRAIN} AS granularity FROM d_dates", "d_dates")
+def date_granularity(spark, sf_dir):
+    return v.date_texts(spark, sf_dir).select("doc_id", dates.granularity(F.col("truth")).alias("granularity"))
+
+
+@query(
+    f"""q_c AS (SELECT doc_id, truth, {_GRAIN} AS g, unnest(regexp_extract_all(text, '{_DATE}')) AS c, unnest(range(len(regexp_extract_all(text, '{_DATE}')))) AS i FROM d_dates),
+    q_p AS (SELECT doc_id, g, c, i, {_parsed('truth')} AS x, {_parsed('c')} AS y FROM q_c),
+    q_f AS (SELECT doc_id, min_by(c, i) AS c FROM q_p WHERE CASE g WHEN 'year' THEN year(x) = year(y) WHEN 'month' THEN year(x) = year(y) AND month(x) = month(y) ELSE x = y END GROUP BY doc_id)
+    SELECT d.doc_id, f.c IS NOT NULL AS matched, f.c AS candidate FROM d_dates d LEFT JOIN q_f f ON f.doc_id = d.doc_id""",
+    "d_dates",
+)
+def date_match(spark, sf_dir):
+    found = F.try_element_at(dates.matching(F.col("truth"), F.col("text")), F.lit(1))
+    return v.date_texts(spark, sf_dir).select("doc_id", found.isNotNull().alias("matched"), found.alias("candidate"))
+
+
+def _needles(spark, sf_dir):
+    """Words seven to ten of each document, which are in its text, and of every third document backwards."""
+    docs = v.table(spark, sf_dir, "documents").where("text is not null")
+    w = text.words(F.col("text"))
+    return docs.select("doc_id", "text", F.array_join(F.when(F.col("doc_id") % 3 == 0, F.reverse(F.slice(w, 7, 4))).otherwise(F.slice(w, 7, 4)), " ").alias("needle")).where("needle <> ''")
+
+
+@query(
+    r"""q_w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), q_n AS (SELECT doc_id, w, array_to_string(CASE WHEN doc_id % 3 = 0 THEN list_reverse(w[7:10]) ELSE w[7:10] END, ' ') AS n FROM q_w WHERE len(w) >= 7)
+    SELECT doc_id, contains(' ' || lower(array_to_string(w, ' ')) || ' ', ' ' || lower(n) || ' ') AS found FROM q_n""",
+    "d_dates",
+)
+def window_exact(spark, sf_dir):
+    return _needles(spark, sf_dir).select("doc_id", F.coalesce(fuzzy.window_exact(F.col("needle"), F.col("text")), F.lit(False)).alias("found"))
+
+
+@query()
+def fuzzy_window(spark, sf_dir):
+    """The stored passages against the documents whose number they share."""
+    items = v.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(text.words(F.col("text")), 1, 8), " ").alias("needle"))
+    docs = v.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return items.join(docs, F.col("item_id") == F.col("doc_id")).withColumn("m", fuzzy.is_match(F.col("needle"), F.col("text"))).select("doc_id", "m.matched", "m.score")
+
+
+@query()
+def fuzzy_ratio(spark, sf_dir):
+    p = v.table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.round(fuzzy.ratio(F.col("p_name"), F.col("p_type")), DIGITS).alias("ratio"))
+
+
+# --- OCR ------------------------------------------------------------------------------------------
+
+_OCR = """q_u AS (SELECT * FROM d_ocr_words WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND trunc(conf)::INTEGER > 0),
+    q_pg AS (SELECT doc_id, page_num, engine, string_agg(text, ' ' ORDER BY pos) AS text, coalesce(avg(conf), 0.0) AS avg_confidence FROM d_ocr_words GROUP BY ALL) """
+_SCALE = "CASE WHEN engine = 'tesseract' THEN 100.0 ELSE 1.0 END"
+_ORD = "CASE engine WHEN 'tesseract' THEN 1 WHEN 'paddleocr' THEN 2 ELSE 3 END"
+
+
+def _pages(spark, sf_dir):
+    return ocr.page_results(v.ocr_words(spark, sf_dir))
+
+
+@query(_OCR + "SELECT doc_id, engine, count(*) AS n, sum(pos)::BIGINT AS positions FROM q_u GROUP BY ALL", "d_ocr_words")
+def ocr_word_filter(spark, sf_dir):
+    return ocr.usable_words(v.ocr_words(spark, sf_dir)).groupBy("doc_id", "engine").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"))
+
+
+@query(_OCR + "SELECT doc_id, page_num, engine, round(avg_confidence + 1e-9, 6) AS avg_confidence FROM q_pg", "d_ocr_words")
+def ocr_page_confidence(spark, sf_dir):
+    return _pages(spark, sf_dir).select("doc_id", "page_num", "engine", F.round(F.col("avg_confidence") + NUDGE, DIGITS).alias("avg_confidence"))
+
+
+@query(_OCR + "SELECT doc_id, page_num, engine, text FROM q_pg", "d_ocr_words")
+def ocr_page_text(spark, sf_dir):
+    return _pages(spark, sf_dir).select("doc_id", "page_num", "engine", "text")
+
+
+@query(_OCR + f"SELECT doc_id, engine, round(avg(avg_confidence) / any_value({_SCALE}) + 1e-9, 6) AS confidence FROM q_pg GROUP BY ALL", "d_ocr_words")
+def ocr_doc_confidence(spark, sf_dir):
+    return ocr.document_results(_pages(spark, sf_dir)).select("doc_id", "engine", F.round(F.col("confidence") + NUDGE, DIGITS).alias("confidence"))
+
+
+@query(_OCR + f"SELECT doc_id, page_num, engine, round(avg_confidence / {_SCALE} + 1e-9, 6) AS confidence FROM q_pg", "d_ocr_words")
+def conf_normalize(spark, sf_dir):
+    return _pages(spark, sf_dir).select("doc_id", "page_num", "engine", F.round(ocr.scaled(F.col("avg_confidence"), F.col("engine"), CONFIDENCE_SCALE) + NUDGE, DIGITS).alias("confidence"))
+
+
+_BEST = f"q_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY round(avg_confidence + 1e-12, 9) DESC, {_ORD}) AS r FROM q_pg) WHERE r = 1) "
+
+
+def _steady(pages: DataFrame) -> DataFrame:
+    """Confidences to nine digits, so that the order of summation decides no tie."""
+    return pages.withColumn("avg_confidence", F.round(F.col("avg_confidence") + 1e-12, 9))
+
+
+@query(_OCR + ", " + _BEST + "SELECT doc_id, page_num, engine FROM q_best", "d_ocr_words")
+def ensemble_best(spark, sf_dir):
+    return ocr.best_engines(_steady(_pages(spark, sf_dir))).select("doc_id", "page_num", "engine")
+
+
+@query(_OCR + ", " + _BEST.replace("FROM q_pg)", "FROM q_pg WHERE engine <> 'tesseract')") + "SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_num) AS text FROM q_best GROUP BY ALL", "d_ocr_words")
+def ensemble_subset(spark, sf_dir):
+    return ocr.ensemble(_steady(_pages(spark, sf_dir)), engines=("paddleocr", "easyocr"))
+
+
+@query(_OCR + f", q_c AS (SELECT doc_id, page_num, string_agg(text, chr(10) || '---' || chr(10) ORDER BY {_ORD}) AS text FROM q_pg GROUP BY ALL) SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_num) AS text FROM q_c GROUP BY ALL", "d_ocr_words")
+def ensemble_concat(spark, sf_dir):
+    return ocr.ensemble(_pages(spark, sf_dir), strategy="concatenate")
+
+
+@query("SELECT CASE WHEN abs(t) <= 15 THEN t END AS turn, c_custkey FROM (SELECT c_custkey, CASE WHEN a < -45 THEN -(a + 90) ELSE -a END AS t FROM (SELECT c_custkey, -((c_custkey * 7) % 91)::DOUBLE AS a FROM customer))")
+def deskew_angle(spark, sf_dir):
+    return v.table(spark, sf_dir, "customer").select(imaging.deskew_angle(F.expr("-cast((c_custkey * 7) % 91 as double)")).alias("turn"), "c_custkey")
+
+
+# --- ground truth ---------------------------------------------------------------------------------
+
+_LONG = """q_all AS (SELECT doc_id, brand_name AS brand, 'initial_us_approval' AS field, initial_us_approval AS value, 'date' AS field_type FROM d_truths
+    UNION ALL SELECT doc_id, brand_name, 'revision_dates.prescribing_information', prescribing_information, 'date' FROM d_truths UNION ALL SELECT doc_id, brand_name, 'revision_dates.spl_document', spl_document, 'date' FROM d_truths
+    UNION ALL SELECT doc_id, brand_name, 'brand_name', brand_name, 'text' FROM d_truths UNION ALL SELECT doc_id, brand_name, 'generic_name', generic_name, 'text' FROM d_truths
+    UNION ALL SELECT doc_id, brand_name, 'manufacturer_labeler', manufacturer_labeler, 'text' FROM d_truths UNION ALL SELECT doc_id, brand_name, 'initial_us_approval', initial_us_approval, 'text' FROM d_truths
+    UNION ALL SELECT doc_id, brand_name, 'boxed_warning_title', boxed_warning_title, 'text' FROM d_truths),
+    q_long AS (SELECT * FROM q_all WHERE value IS NOT NULL AND value <> ''),
+    q_kept AS (SELECT * FROM q_long WHERE NOT (brand = 'IBRANCE' AND field = 'manufacturer_labeler')) """
+
+
+def _fields(spark, sf_dir):
+    return evaluate.scored_fields(v.truths(spark, sf_dir))
+
+
+def _kept(spark, sf_dir):
+    return evaluate.without_gaps(_fields(spark, sf_dir), spark.createDataFrame(list(SCOPE_GAPS), "brand string, field string"))
+
+
+@query(_LONG + "SELECT doc_id, brand AS brand_name, field, value, field_type FROM q_long", "d_truths")
+def field_unpivot(spark, sf_dir):
+    return _fields(spark, sf_dir)
+
+
+@query(_LONG + "SELECT doc_id, brand AS brand_name, field, value, field_type FROM q_kept", "d_truths")
+def scope_gap_anti(spark, sf_dir):
+    return _kept(spark, sf_dir)
+
+
+@query("SELECT d.doc_id, d.n_chars, t.brand_name FROM documents d JOIN d_truths t ON t.doc_id = d.doc_id", "d_truths")
+def gt_join(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").join(v.truths(spark, sf_dir), "doc_id").select("doc_id", "n_chars", "brand_name")
+
+
+@query("SELECT doc_id, engine FROM documents, (VALUES ('tesseract'), ('paddleocr'), ('easyocr')) AS e(engine)")
+def doc_engine_cross(spark, sf_dir):
+    engines = spark.createDataFrame([(e,) for e in v.ENGINES], "engine string")
+    return v.table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(engines))
+
+
+_EXACT = f"""q_dt AS (SELECT doc_id, engine, string_agg(text, chr(10) ORDER BY page_num) AS text, round(avg(avg_confidence) / any_value({_SCALE}) + 1e-9, 6) AS confidence FROM q_pg GROUP BY ALL),
+    q_x AS (SELECT k.doc_id, t.engine, k.field, k.field_type, contains(t.text, k.value) AS matched, t.confidence FROM q_kept k JOIN q_dt t ON t.doc_id = k.doc_id) """
+
+
+def _exact(spark, sf_dir):
+    texts = ocr.document_results(_pages(spark, sf_dir)).withColumn("confidence", F.round(F.col("confidence") + NUDGE, DIGITS))
+    return texts.join(_kept(spark, sf_dir), "doc_id").select("doc_id", "engine", "field", "field_type", F.col("text").contains(F.col("value")).alias("matched"), "confidence")
+
+
+@query(_OCR + ", " + _LONG + ", " + _EXACT + "SELECT * FROM q_x", "d_ocr_words", "d_truths")
+def ocr_score_exact(spark, sf_dir):
+    return _exact(spark, sf_dir)
+
+
+@query()
+def ocr_score_fuzzy(spark, sf_dir):
+    texts = ocr.document_results(_pages(spark, sf_dir)).where("engine = 'paddleocr'")
+    return evaluate.score_documents(texts, _kept(spark, sf_dir))
+
+
+@query(_OCR + ", " + _LONG + ", " + _EXACT + "SELECT engine, doc_id, count(*) FILTER (matched) AS n_matched, count(*) AS n_total, round(avg(matched::INTEGER) + 1e-9, 6) AS rate, min(confidence) AS confidence FROM q_x GROUP BY ALL", "d_ocr_words", "d_truths")
+def ocr_summary(spark, sf_dir):
+    return evaluate.summarize(_exact(spark, sf_dir), ["engine", "doc_id"]).withColumn("rate", F.round(F.col("rate") + NUDGE, DIGITS))
+
+
+@query(
+    _OCR + ", " + _LONG + ", " + _EXACT + "SELECT engine, field_type, doc_id, grouping(engine, field_type, doc_id)::INTEGER AS level, count(*) FILTER (matched) AS n_matched, count(*) AS n_total FROM q_x GROUP BY GROUPING SETS ((engine), (engine, field_type), (engine, doc_id))",
+    "d_ocr_words", "d_truths",
+)
+def ocr_rollup(spark, sf_dir):
+    return evaluate.roll_up(_exact(spark, sf_dir))
+
+
+# --- retrieval ------------------------------------------------------------------------------------
+
+_ROUTES = ", ".join(f"({i}, '{p}', '{r[1:]}')" for i, (p, r) in enumerate(SECTION_ROUTES))
+_BRANDS = ", ".join(f"({i}, '{b}', '{s}')" for i, (b, s) in enumerate(DOCUMENTS))
+_RESOLVED = f"""q_sec(priority, phrase, prefix) AS (VALUES {_ROUTES}), q_doc(priority, brand, stem) AS (VALUES {_BRANDS}),
+    q_q AS (SELECT *, (SELECT min_by(prefix, priority) FROM q_sec WHERE contains(lower(question), phrase)) AS prefix, (SELECT min_by(brand, priority) FROM q_doc WHERE contains(lower(question), lower(brand))) AS brand FROM d_questions) """
+_COSINE = "list_inner_product(q_embedding, embedding) / (sqrt(list_inner_product(q_embedding, q_embedding)) * sqrt(list_inner_product(embedding, embedding)))"
+
+
+@query(_RESOLVED + "SELECT question_id, question, '^' || prefix AS section_pattern FROM q_q", "d_questions")
+def resolve_section(spark, sf_dir):
+    return retrieve.resolve_section(v.questions(spark, sf_dir).select("question_id", "question"), retrieve.section_routes(spark))
+
+
+@query(_RESOLVED + "SELECT question_id, question, brand AS document_filter FROM q_q", "d_questions")
+def resolve_document(spark, sf_dir):
+    return retrieve.resolve_document(v.questions(spark, sf_dir).select("question_id", "question"), retrieve.document_routes(spark))
+
+
+def _routed(candidates: str, order: str = "chunk_idx", k: int = 3) -> str:
+    return f"""q_m AS (SELECT *, coalesce(starts_with(section, prefix), false) AS m FROM {candidates}), q_a AS (SELECT *, bool_or(m) OVER (PARTITION BY question_id) AS any_m FROM q_m),
+    q_s AS (SELECT *, {_COSINE} AS score, prefix IS NOT NULL AND NOT any_m AS fallback FROM q_a WHERE m OR NOT any_m),
+    q_k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, {order}) AS rank FROM q_s QUALIFY rank <= {k}) """
+
+
+_PAIRS = "(SELECT * FROM q_q JOIN d_chunks ON brand IS NULL OR brand = document)"
+_RANKED = "SELECT question_id, rank::INTEGER AS rank, chunk_idx, document, section, fallback, round(score, 6) AS score FROM q_k"
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.select("question_id", "rank", "chunk_idx", "document", "section", "fallback", F.round("score", DIGITS).alias("score"))
+
+
+def _route(spark, sf_dir, k: int = 3, tie: str = "first") -> DataFrame:
+    return retrieve.routed_retrieve(v.questions(spark, sf_dir), v.chunks(spark, sf_dir), retrieve.section_routes(spark), retrieve.document_routes(spark), k, tie)
+
+
+@query(_RESOLVED + ", " + _routed(_PAIRS) + _RANKED, "d_questions", "d_chunks")
+def route_rank(spark, sf_dir):
+    return _ranked(_route(spark, sf_dir))
+
+
+@query(_RESOLVED + ", " + _routed("(SELECT * FROM q_q JOIN d_chunks ON document = 'CHANTIX')") + _RANKED, "d_questions", "d_chunks")
+def route_rank_single(spark, sf_dir):
+    chunks = v.chunks(spark, sf_dir).where("document = 'CHANTIX'")
+    return _ranked(retrieve.routed_retrieve(v.questions(spark, sf_dir), chunks, retrieve.section_routes(spark)))
+
+
+@query(_RESOLVED + ", " + _routed(_PAIRS, "chunk_idx DESC") + "SELECT round(avg(coalesce(h1, 0)), 6) AS accuracy_at_1, round(avg(coalesce(h3, 0)), 6) AS hit_at_3, count(*) AS n_questions FROM d_questions q LEFT JOIN (SELECT question_id, max((rank = 1 AND label = q_label)::INTEGER) AS h1, max((label = q_label)::INTEGER) AS h3 FROM q_k GROUP BY ALL) k ON k.question_id = q.question_id", "d_questions", "d_chunks")
+def retrieval_summary(spark, sf_dir):
+    out = evaluate.retrieval_summary(_route(spark, sf_dir, tie="last").withColumn("hit", F.col("label") == F.col("q_label")), v.questions(spark, sf_dir))
+    return out.withColumns({c: F.round(c, DIGITS) for c in ("accuracy_at_1", "hit_at_3")})
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    return v.questions(spark, sf_dir).crossJoin(v.chunks(spark, sf_dir)).where("chunk_idx <> question_id").withColumn("score", vectors.cosine(F.col("q_embedding"), F.col("embedding")))
+
+
+_KNN = f"q_s AS (SELECT question_id, chunk_idx, text, q_embedding, embedding, {_COSINE} AS score FROM d_questions JOIN d_chunks ON chunk_idx <> question_id), q_k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_idx) AS rank FROM q_s QUALIFY rank <= 5) "
+
+
+@query(_KNN + "SELECT question_id, rank::INTEGER AS rank, chunk_idx, round(score, 6) AS score FROM q_k", "d_questions", "d_chunks")
+def knn_topk(spark, sf_dir):
+    return retrieve.rank(_scored(spark, sf_dir), 5).select("question_id", "rank", "chunk_idx", F.round("score", DIGITS).alias("score"))
+
+
+@query(_KNN + "SELECT question_id, chunk_idx, round(score, 6) AS score FROM q_k WHERE rank = 1", "d_questions", "d_chunks")
+def knn_top1(spark, sf_dir):
+    return retrieve.rank(_scored(spark, sf_dir), 1).select("question_id", "chunk_idx", F.round("score", DIGITS).alias("score"))
+
+
+@query(_KNN + "SELECT question_id, rank::INTEGER AS rank, chunk_idx, round(score, 6) AS score FROM q_k WHERE score >= 0.3", "d_questions", "d_chunks")
+def topk_threshold(spark, sf_dir):
+    return retrieve.threshold(retrieve.rank(_scored(spark, sf_dir), 5), 0.3).select("question_id", "rank", "chunk_idx", F.round("score", DIGITS).alias("score"))
+
+
+@query(_KNN + "SELECT question_id, 'n=' || count(*) AS answer, array_to_string(list(chunk_idx ORDER BY rank), ',') AS sources, round(max(score), 6) AS top_score FROM q_k GROUP BY ALL", "d_questions", "d_chunks")
+def query_result(spark, sf_dir):
+    ranked = retrieve.rank(_scored(spark, sf_dir), 5)
+    out = retrieve.query_result(ranked, F.lit("n=5"))
+    return out.select("question_id", F.concat(F.lit("n="), F.size("sources").cast("string")).alias("answer"), F.array_join("sources", ",").alias("sources"), F.round("top_score", DIGITS).alias("top_score"))
+
+
+@query(_KNN + "SELECT round(corr(length(text)::DOUBLE, score), 6) AS correlation FROM q_k", "d_questions", "d_chunks")
+def length_score_corr(spark, sf_dir):
+    return evaluate.length_score_correlation(retrieve.rank(_scored(spark, sf_dir), 5)).withColumn("correlation", F.round("correlation", DIGITS))
+
+
+@query(_KNN + "SELECT chunk_idx, count(*) AS wins, count(DISTINCT question_id) AS n_questions FROM q_k WHERE rank = 1 GROUP BY ALL", "d_questions", "d_chunks")
+def cross_query(spark, sf_dir):
+    return retrieve.rank(_scored(spark, sf_dir), 1).groupBy("chunk_idx").agg(F.count("*").alias("wins"), F.countDistinct("question_id").alias("n_questions"))
+
+
+@query(f"SELECT question_id, chunk_idx, round({_COSINE}, 6) AS cosine FROM d_questions JOIN d_chunks ON label = q_label", "d_questions", "d_chunks")
+def cosine_pairs(spark, sf_dir):
+    pairs = v.questions(spark, sf_dir).join(v.chunks(spark, sf_dir), F.col("label") == F.col("q_label"))
+    return pairs.select("question_id", "chunk_idx", F.round(vectors.cosine(F.col("q_embedding"), F.col("embedding")), DIGITS).alias("cosine"))
+
+
+@query("q_s AS (SELECT question_id, chunk_idx, list_inner_product(q_embedding, embedding) AS score FROM d_questions JOIN d_chunks ON chunk_idx <> question_id) SELECT question_id, chunk_idx, round(score, 6) AS score FROM q_s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_idx) <= 5", "d_questions", "d_chunks")
+def inner_product_topk(spark, sf_dir):
+    pairs = v.questions(spark, sf_dir).crossJoin(v.chunks(spark, sf_dir)).where("chunk_idx <> question_id")
+    return retrieve.rank(embed.inner_product(pairs, "q_embedding", "embedding"), 5).select("question_id", "chunk_idx", F.round("score", DIGITS).alias("score"))
+
+
+@query("SELECT vec_id, label, len(embedding)::INTEGER AS dim, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def index_roundtrip(spark, sf_dir):
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "quillspark-index")
+    index = embed.build_index(v.table(spark, sf_dir, "embeddings"), f"{base}/index-{uuid.uuid4().hex}")
+    return index.select("vec_id", "label", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query("SELECT doc_id, length(text) AS n, replace(text[1:150], chr(10), ' ') AS preview FROM documents")
+def preview(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"), text.preview(F.col("text")).alias("preview"))
+
+
+@query(
+    """SELECT question_id, 0 AS form, 'Context:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Answer based only on the context above.' AS prompt FROM d_questions JOIN d_chunks ON chunk_idx = question_id
+    UNION ALL SELECT question_id, 1, 'Instruct: Answer the question using only the context below.' || chr(10) || 'Context: ' || text || chr(10) || 'Question: ' || question || chr(10) || 'Output:' FROM d_questions JOIN d_chunks ON chunk_idx = question_id
+    UNION ALL SELECT question_id, 2, 'Context:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Answer:' FROM d_questions JOIN d_chunks ON chunk_idx = question_id""",
+    "d_questions", "d_chunks",
+)
+def prompt_build(spark, sf_dir):
+    from ..operators import answers
+
+    pairs = v.questions(spark, sf_dir).join(v.chunks(spark, sf_dir).select("chunk_idx", F.col("text").alias("context")), F.col("chunk_idx") == F.col("question_id"))
+    return answers.prompts(pairs).select("question_id", F.col("ord").alias("form"), "prompt")
