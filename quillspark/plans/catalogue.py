@@ -440,11 +440,11 @@ def ocr_summary(spark, sf_dir):
 
 
 @query(
-    _OCR + ", " + _LONG + ", " + _EXACT + "SELECT engine, field_type, doc_id, grouping(engine, field_type, doc_id)::INTEGER AS level, count(*) FILTER (matched) AS n_matched, count(*) AS n_total FROM q_x GROUP BY GROUPING SETS ((engine), (engine, field_type), (engine, doc_id))",
+    _OCR + ", " + _LONG + ", " + _EXACT + "SELECT engine, field_type, doc_id::VARCHAR AS doc_id, grouping(engine, field_type, doc_id)::INTEGER AS level, count(*) FILTER (matched) AS n_matched, count(*) AS n_total FROM q_x GROUP BY GROUPING SETS ((engine), (engine, field_type), (engine, doc_id))",
     "d_ocr_words", "d_truths",
 )
 def ocr_rollup(spark, sf_dir):
-    return evaluate.roll_up(_exact(spark, sf_dir))
+    return evaluate.roll_up(_exact(spark, sf_dir)).withColumn("doc_id", F.col("doc_id").cast("string"))
 
 
 # --- retrieval ------------------------------------------------------------------------------------
