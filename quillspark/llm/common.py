@@ -49,6 +49,15 @@ class Workspace:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slim(df: DataFrame) -> DataFrame:
+    """Fewer partitions, without a shuffle, for tables that are small beside the input."""
+    return df.coalesce(max(12, parts(df) // 8))
+
+
 def broadcast_below(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """Broadcast hint for a counted table of at most `limit` rows; beyond that Spark shuffles both sides."""
     return F.broadcast(df) if rows <= limit else df

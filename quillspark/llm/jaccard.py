@@ -1,4 +1,4 @@
-"""N-gram Jaccard join with rare-first prefix filtering.
+"""N-gram Jaccard join.
 
 A document is the set of its distinct word n-grams. Equal sets are one class. Within each class representative's set
 the n-grams stand rare first, by their counts over all documents (a sketch of fixed size holds the counts; any counts
@@ -7,10 +7,11 @@ prefixes, so representatives meet on prefix n-grams only. Length and positional
 suffix filter on profiles of the sets' hash ranges; what remains is verified on the whole sets, once per pair.
 
 Groups of copies: pairs of one component need no further link. In each prefix n-gram's bucket all documents are first
-held against one of them (by the same order everywhere), components are formed, and only buckets that still hold
-several components are looked at again: once more against other members while that is much cheaper, then by all pairs
-of different components. No pair of a group is listed that its component makes needless, and none is left out that
-could join two components, so the components are exact.
+held against two of them, one being the document with the commonest prefix (of near copies the one that the others
+were made from). Components are formed, and only buckets that still hold several components are looked at again, by
+all pairs of different components: small buckets by a self-join, large ones in blocks that filter within a task and
+give out only pairs that pass every filter, in the bucket of the pair's first common n-gram alone. No link that could
+join two components is left out, so the components are exact.
 
 Edge cases: null, empty and blank texts have empty sets and link with nothing; texts of fewer words than n have one
 n-gram, their whole sequence; rows without id keep their counts, with a null component; rows of one id count as one
@@ -22,17 +23,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Workspace, broadcast_below, combine, map_texts, run_hashes, runs
-from .components import connected_components, parts
+from .common import SPACES, Workspace, broadcast_below, combine, map_texts, parts, row_groups, run_hashes, runs, slim, string_column, text_buffer
+from .components import connected_components
 
-SKETCH_BITS = 18
-CHUNK_BITS = 12
+#: Size of the sketch of counts, of the parts it is summed in, and of a set's profile, as powers of two.
+SKETCH_BITS = 22
+CHUNK_BITS = 14
 PROFILE_BITS = 6
+#: Buckets of more rows are compared in blocks of so many rows.
+SMALL_BUCKET = 64
+BLOCK_ROWS = 256
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -68,83 +75,109 @@ def profile(own: np.ndarray) -> bytes:
     return np.bincount((own >> np.uint64(64 - PROFILE_BITS)).astype(np.int64), minlength=1 << PROFILE_BITS).astype("<u4").tobytes()
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Per row id, set size and a 128-bit key of the set; and per task the counts of the n-grams, in chunks."""
+def _profiles(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), "<u4").reshape(len(raw), -1).astype(np.int64)
 
-    def fn() -> Callable:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
 
-        def work(data: np.ndarray, off: np.ndarray, batch: pa.RecordBatch) -> dict:
-            sets = shingle_sets(data, off, n)
-            np.add(counts, np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)), out=counts)
-            return {"sets": sets, "id": batch.column(0)}
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
-        work.counts = counts
-        return work
 
+def signatures(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Per row id, set size and a 128-bit key of the set; and per task the counts of the n-grams, in packed chunks."""
     want = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import row_groups, string_column, text_buffer
-
-        work = fn()
         names = ["id", "n", "key", "chunk", "counts"]
+        counts, size, pack = np.zeros(1 << SKETCH_BITS, np.uint32), 1 << CHUNK_BITS, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             raw, off = text_buffer(string_column(batch, "text"))
             for lo, hi in row_groups(off):
-                sets = work(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], batch)["sets"]
+                sets = shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
+                slots = np.sort(_slot(np.concatenate([*sets, np.zeros(0, np.uint64)])))
+                at = np.flatnonzero(np.diff(slots, prepend=-1))
+                counts[slots[at]] += np.diff(at, append=len(slots)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names
                 )
-        size = 1 << CHUNK_BITS
-        chunks = [k for k in range(len(work.counts) // size) if work.counts[k * size : (k + 1) * size].any()]
+        chunks = [k for k in range(len(counts) // size) if counts[k * size : (k + 1) * size].any()]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.binary()), pa.array(chunks, pa.int32()), pa.array([work.counts[k * size : (k + 1) * size].astype("<i8").tobytes() for k in chunks], pa.binary())], names=names
+            [pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.binary()), pa.array(chunks, pa.int32()), pa.array([pack.compress(counts[k * size : (k + 1) * size].tobytes()) for k in chunks], pa.binary())], names=names
         )
 
     return want.mapInArrow(run, "id bigint, n bigint, key binary, chunk int, counts binary")
 
 
 def sketch(rows: DataFrame) -> np.ndarray:
-    """Sums of the tasks' counts: an array of fixed size, whatever the input."""
+    """Ranks of the summed counts, one byte for each slot of a sketch of fixed size, whatever the input."""
+    size = 1 << CHUNK_BITS
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(raw, "<i8")
-                sums[k] = sums[k] + own if k in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    chunks = rows.where("chunk is not null").select("chunk", "counts")
-    dealt = chunks.mapInArrow(add, schema).repartition(max(1, parts(rows) // 4), "chunk").mapInArrow(add, schema)
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    size = 1 << CHUNK_BITS
-    for r in dealt.collect():
-        counts[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(r.counts, "<i8")
-    return counts
+                sums[k] = sums.get(k, 0) + np.frombuffer(unpack.decompress(raw), np.uint32).astype(np.int64)
+        ranks = [np.minimum(np.rint(8 * np.log2(1 + v)), 255).astype(np.uint8).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], names=["chunk", "ranks"])
+
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for r in rows.where("chunk is not null").select("chunk", "counts").repartition(parts(rows), "chunk").mapInArrow(add, "chunk int, ranks binary").collect():
+        out[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(r.ranks, np.uint8)
+    return out
 
 
-def prefixes(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Per row id, set size, the prefix n-grams rare first, and the set's profile."""
-    shared = df.sparkSession.sparkContext.broadcast(counts)
+def prefixes(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, ranks: np.ndarray) -> DataFrame:
+    """Per row id, set size, the prefix n-grams rare first, their mean rank, and the set's profile."""
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def fn() -> Callable:
         rank = shared.value
 
         def work(data: np.ndarray, off: np.ndarray, batch: pa.RecordBatch) -> dict:
-            first, sets = [], shingle_sets(data, off, n)
+            first, weight, sets = [], [], shingle_sets(data, off, n)
             for own in sets:
                 k = prefix_length(len(own), percent) if len(own) else 0
-                first.append(own[np.argsort(rank[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:k]])
+                of = rank[_slot(own)]
+                at = np.argsort(of, kind="stable")[:k]
+                first.append(own[at])
+                weight.append(float(of[at].mean()) if k else 0.0)
             upto = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
             flat = np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)
-            return {"id": batch.column(0), "n": np.array([len(s) for s in sets], np.int64), "prefix": pa.ListArray.from_arrays(pa.array(upto), pa.array(flat)), "profile": pa.array([profile(s) for s in sets], pa.binary())}
+            return {
+                "id": batch.column(0), "n": np.array([len(s) for s in sets], np.int64), "prefix": pa.ListArray.from_arrays(pa.array(upto), pa.array(flat)),
+                "weight": np.array(weight, float), "profile": pa.array([profile(s) for s in sets], pa.binary()),
+            }
 
         return work
 
-    return map_texts(df, fn, "id bigint, n bigint, prefix array<bigint>, profile binary", id_col, text_col)
+    return map_texts(df, fn, "id bigint, n bigint, prefix array<bigint>, weight double, profile binary", id_col, text_col)
+
+
+def block_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, profiles: np.ndarray, prefix: list, gram: int, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs between two blocks of one bucket (or within one) that lie in different components, pass the length and
+    suffix filters, and have the bucket's n-gram as the first that their prefixes share, by which the positional filter
+    holds as well."""
+    total = sizes[left][:, None] + sizes[right][None, :]
+    fit = (comps[left][:, None] != comps[right][None, :]) & (ids[left][:, None] != ids[right][None, :])
+    fit &= 100 * np.minimum(sizes[left][:, None], sizes[right][None, :]) >= percent * np.maximum(sizes[left][:, None], sizes[right][None, :])
+    if left is right:
+        fit &= ids[left][:, None] < ids[right][None, :]
+    x, y = np.nonzero(fit)
+    apart = np.zeros(len(x), np.int64)
+    for lo in range(0, len(x), 1 << 14):
+        apart[lo : lo + (1 << 14)] = np.abs(profiles[left[x[lo : lo + (1 << 14)]]] - profiles[right[y[lo : lo + (1 << 14)]]]).sum(1)
+    some = total[x, y] - apart >= 2 * -(-percent * total[x, y] // (100 + percent))
+    out = []
+    sets: dict[int, dict] = {}
+    for i, j in zip(left[x[some]].tolist(), right[y[some]].tolist(), strict=True):
+        own = sets.get(j)
+        if own is None:
+            own = sets[j] = {g: k for k, g in enumerate(prefix[j])}
+        at, g = next((k, g) for k, g in enumerate(prefix[i]) if g in own)
+        if g == gram and (100 + percent) * (1 + min(sizes[i] - at - 1, sizes[j] - own[g] - 1)) >= percent * (sizes[i] + sizes[j]):
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
 
 
 def _filter_profiles(pairs: DataFrame, percent: int) -> DataFrame:
@@ -152,10 +185,9 @@ def _filter_profiles(pairs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, pa_, pb_ = (batch.column(k) for k in range(6))
+            a, b, na, nb, left, right = (batch.column(k) for k in range(6))
             if len(a):
-                x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(len(a), -1).astype(np.int64) for c in (pa_, pb_))
-                apart = np.abs(x - y).sum(1)
+                apart = np.abs(_profiles(left.to_pylist()) - _profiles(right.to_pylist())).sum(1)
                 total = na.to_numpy() + nb.to_numpy()
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(total - apart >= 2 * -(-percent * total // (100 + percent))))
 
@@ -181,13 +213,12 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 class JaccardJoin:
-    """One run over one table; `components` and `links` are its results."""
+    """One run over one table; `components` (node, root) and `links` (a, b) are its results."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int, percent: int):
         self.spark, self.n, self.percent = df.sparkSession, n, percent
         self.space = Workspace(self.spark, "jaccard")
         self.docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-        self.verified = 0
         self._run()
 
     def _sets_of(self, ids: DataFrame, count: int) -> DataFrame:
@@ -201,17 +232,17 @@ class JaccardJoin:
         return map_texts(some, fn, "id bigint, grams binary", "id", "text").dropDuplicates(["id"])
 
     def _links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Verified links among candidate pairs (a, b); a pair verified before is not looked at again."""
+        """Verified links among distinct candidate pairs (a, b)."""
         space = self.space
         info = space.get("info")
         left, right = info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa")), info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
         full = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
-        rest = space.put(_filter_profiles(full, self.percent), f"pairs-{name}")
-        ids = space.put(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"ids-{name}")
+        rest = space.put(slim(_filter_profiles(full, self.percent)), f"pairs-{name}")
+        ids = space.put(slim(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()), f"ids-{name}")
         sets = space.put(self._sets_of(ids, ids.count()), f"sets-{name}")
         full = rest.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-        out = space.put(_verify(full.select("a", "b", "ga", "gb"), self.percent), f"links-{name}")
-        space.drop(f"sets-{name}", f"ids-{name}", f"pairs-{name}")
+        out = space.put(slim(_verify(full.select("a", "b", "ga", "gb"), self.percent)), f"links-{name}")
+        space.drop(f"sets-{name}")
         return out
 
     def _candidates(self, meeting: DataFrame) -> DataFrame:
@@ -220,7 +251,8 @@ class JaccardJoin:
         p = self.percent
         long = F.greatest("na", "nb")
         first = meeting.where((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= p * long))
-        first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.struct("na", "i", "nb", "j")).otherwise(F.struct(F.col("nb").alias("na"), F.col("j").alias("i"), F.col("na").alias("nb"), F.col("i").alias("j"))).alias("s"))
+        turned = F.struct(F.col("nb").alias("na"), F.col("j").alias("i"), F.col("na").alias("nb"), F.col("i").alias("j"))
+        first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.struct("na", "i", "nb", "j")).otherwise(turned).alias("s"))
         pairs = first.groupBy("a", "b").agg(F.min("s.na").alias("na"), F.min("s.nb").alias("nb"), F.min("s.i").alias("i"), F.min("s.j").alias("j"))
         most = 1 + F.least(F.col("na") - F.col("i") - 1, F.col("nb") - F.col("j") - 1)
         return pairs.where((100 + p) * most >= p * (F.col("na") + F.col("nb"))).select("a", "b")
@@ -229,44 +261,56 @@ class JaccardJoin:
         space, percent = self.space, self.percent
         signs = space.put(signatures(self.docs, "id", "text", self.n), "signatures")
         self.rows = signs.where("chunk is null").select("id", "n", "key")
-        counts = sketch(signs)
-        some = self.rows.where("n > 0 and id is not null")
-        classes = space.put(some.groupBy("key").agg(F.min("id").alias("rep")), "classes")
+        ranks = sketch(signs)
+        classes = space.put(slim(self.rows.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"))), "classes")
         reps = classes.select(F.col("rep").alias("id")).distinct()
-        before = prefixes(self.docs, "id", "text", self.n, percent, counts).where("n > 0")
+        before = prefixes(self.docs, "id", "text", self.n, percent, ranks).where("n > 0")
         info = space.put(before.join(reps, "id", "left_semi").dropDuplicates(["id"]), "info")
-        grams = info.select("id", "n", F.posexplode("prefix").alias("i", "gram"))
-        order = F.struct(F.xxhash64("id").alias("h"), "id", "n", "i")
-        hubs = grams.groupBy("gram").agg(F.min(order).alias("hub"), F.max("id").alias("most"), F.min("id").alias("least")).where("most > least").select("gram", "hub").repartition(parts(info))
-        meets = space.put(grams.join(hubs, "gram"), "meets")
-        near = meets.select(F.col("id").alias("a"), F.col("n").alias("na"), "i", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.i").alias("j"))
-        links = self._links(self._candidates(near), "0")
-        turn = 0
-        while True:
-            comps = space.put(connected_components(links, space, f"comps-{turn}"), f"roots-{turn}")
-            own = meets.select("gram", "id", "n", "i").join(comps.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-            mixed = own.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("gram").repartition(parts(info))
-            open_ = space.put(own.join(mixed, "gram", "left_semi"), f"open-{turn}")
-            sizes = open_.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            cost = sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("rows")).first()
-            if not cost.pairs:
-                self.components, self.links = comps, links
-                return
-            turn += 1
-            last = turn > 3 or cost.pairs <= 12 * cost.rows
-            if last:
-                x = open_.select("gram", F.col("id").alias("a"), F.col("n").alias("na"), "i", F.col("comp").alias("ca"))
-                y = open_.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), F.col("comp").alias("cb"))
-                p = percent
-                near = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.col("na") >= p * F.col("nb")) & (100 * F.col("nb") >= p * F.col("na")))
-            else:
-                salt = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n", "i", "comp")
-                hubs = open_.groupBy("gram").agg(F.min(salt).alias("hub")).repartition(parts(info))
-                near = open_.join(hubs, "gram").where("comp != hub.comp").select(F.col("id").alias("a"), F.col("n").alias("na"), "i", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.i").alias("j"))
-            links = space.put(links.unionByName(self._links(self._candidates(near.select("a", "na", "i", "b", "nb", "j")), str(turn))).distinct(), f"all-{turn}")
-            if last:
-                self.components, self.links = space.put(connected_components(links, space, "comps-last"), "roots-last"), links
-                return
+        # All documents of a bucket against two of them.
+        grams = info.select("id", "n", "weight", F.posexplode("prefix").alias("i", "gram"))
+        who, order = F.struct("id", "n", "i"), F.xxhash64("id")
+        hubs = grams.groupBy("gram").agg(F.max(F.struct("weight", order.alias("h"), who.alias("w"))).alias("x"), F.min(F.struct(order.alias("h"), who.alias("w"))).alias("y"), F.max("id").alias("most"), F.min("id").alias("least"))
+        hubs = hubs.where("most > least").select("gram", F.array_distinct(F.array("x.w", "y.w")).alias("hubs")).repartition(parts(info))
+        meets = space.put(grams.join(hubs, "gram").select("gram", "id", "n", "i", "hubs"), "meets")
+        near = meets.select(F.col("id").alias("a"), F.col("n").alias("na"), "i", F.explode("hubs").alias("hub")).select("a", "na", "i", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.i").alias("j"))
+        links = self._links(self._candidates(near), "hubs")
+        roots = space.put(slim(connected_components(links, space, "components-1")), "roots-1")
+        # Buckets that still hold several components: all pairs of different ones.
+        own = meets.select("gram", "id", "n", "i").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+        mixed = own.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x < y").select("gram", "size").repartition(parts(info))
+        open_ = space.put(own.join(mixed, "gram"), "open")
+        few = open_.where(F.col("size") <= SMALL_BUCKET)
+        x = few.select("gram", F.col("id").alias("a"), F.col("n").alias("na"), "i", F.col("comp").alias("ca"))
+        y = few.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), F.col("comp").alias("cb"))
+        close = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+        near = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "na", "i", "b", "nb", "j")
+        pairs = self._candidates(near).unionByName(self._blocks(open_.where(F.col("size") > SMALL_BUCKET))).distinct()
+        more = self._links(pairs, "rest")
+        # Links between components, and the components' components.
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        upper = space.put(slim(connected_components(between, space, "components-2")), "roots-2").select(F.col("node").alias("mid"), F.col("root").alias("top"))
+        alone = upper.select(F.col("mid").alias("node"), F.col("mid").alias("root")).join(roots.select("node"), "node", "left_anti")
+        joined = roots.unionByName(alone).join(upper, F.col("root") == F.col("mid"), "left").select("node", F.coalesce("top", "root").alias("root"))
+        self.components, self.links = space.put(slim(joined), "components"), links.unionByName(more)
+        space.drop("meets", "open", "info")
+
+    def _blocks(self, rows: DataFrame) -> DataFrame:
+        """Candidate pairs (a, b) of large buckets, block by block; a group holds two blocks of rows at most."""
+        percent = self.percent
+        info = self.space.get("info").select("id", "prefix", "profile")
+        dealt = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int"))
+        spread = dealt.select("gram", "id", "n", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        keyed = spread.select("gram", "id", "n", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).join(info, "id")
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            block, p, q = pdf["block"].to_numpy(), int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
+            left = np.flatnonzero(block == p)
+            right = left if p == q else np.flatnonzero(block == q)
+            got = block_pairs(pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["n"].to_numpy(), _profiles(pdf["profile"].tolist()), [x.tolist() for x in pdf["prefix"]], int(pdf["gram"].iloc[0]), left, right, percent)
+            return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
+
+        return keyed.groupBy("gram", "p", "q").applyInPandas(run, "a bigint, b bigint")
 
     def result(self) -> DataFrame:
         """Per row of the input: id, set size, component."""
@@ -281,8 +325,8 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `df` whose id is the smallest of their component, one row for an id; rows without id stay."""
+    """The rows of `df` whose id is the smallest of their component; rows of one id stay or go together, rows without id stay."""
     found = JaccardJoin(df, id_col, text_col, n, percent)
     gone = found.result().where("id != component_id").select(F.col("id").alias("__gone")).distinct()
-    gone = found.space.put(gone, "gone")
+    gone = found.space.put(slim(gone), "gone")
     return df.join(broadcast_below(gone, gone.count(), 100_000), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
