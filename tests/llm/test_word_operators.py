@@ -1,0 +1,302 @@
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from quillspark.llm import bpe, compression, fertility, packing, samples, secrets, toxicity, unigram
+from quillspark.llm.tokenizer_files import tokenizer_path
+from pyspark.sql import functions as F
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [
+    None, "", " ", "\n\n", "a", "word " * 3000, "x" * 20000, "É éclair ÀÈ", "日本語 テキスト", "a\x1cb \x85 c", "don't I'LL 's", "İΣΑΣ ² ½ ١", "line\nline\n\nline\n",
+    "<|endoftext|>a <|startoftext|>", "😀 👍🏽", "#*$ %&| <>", "the same eight words come here again now the same eight words come here again now",
+]
+
+
+def frame(spark, texts):
+    rows = [(i, t, i, "z") for i, t in enumerate(texts)] + [(None, "null id", 0, ""), (0, texts[0], 0, "")]
+    return spark.createDataFrame(rows, "doc_id long, text string, id int, n_words string")
+
+
+def base(t):
+    t = t or ""
+    words = WORD.findall(t)
+    lines, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in lines
+            lines.add(line)
+    at = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    hit = {k for i in range(len(words) - 7) if at[tuple(words[i : i + 8])] > 1 for k in range(i, i + 8)}
+    symbols = sum(c in "#*$%&|<>" for c in t)
+    return len(words), sum(map(len, words)), symbols, dup, len(hit), len(words) < 20 or 100 * len(hit) > 30 * len(words)
+
+
+def noisy(seed, n):
+    r = random.Random(seed)
+    return ["".join(r.choice("ab éñ\n\t#1'x") for _ in range(r.randint(0, 200))) for _ in range(n)]
+
+
+def test_quality_counts_equal_brute_force(spark):
+    texts = ODD + noisy(1, 60)
+    rows = {r.doc_id: r for r in fertility.measure(frame(spark, texts)).collect() if r.doc_id is not None}
+    for i, t in enumerate(texts):
+        r = rows[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(t), (i, t)
+        assert not (r.base_failed and r.kept)
+    assert fertility.measure(frame(spark, ["a"]).where("false")).count() == 0
+
+
+def test_fertility_equals_the_tokenisers(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    texts = ["The quick brown fox, it jumps. 12 times", "ça été naïve ☃", "αβγ δεζ", "слово дело", "日本語"]
+    rows = {r.doc_id: r for r in fertility.measure(frame(spark, texts)).collect() if r.doc_id is not None}
+    for i, t in enumerate(texts):
+        ids = model.encode(t)
+        c = Counter(ids)
+        assert rows[i].n_tokens == len(ids)
+        assert rows[i].token_entropy == pytest.approx(-sum(n / len(ids) * math.log2(n / len(ids)) for n in c.values()), abs=1e-9)
+        assert rows[i].byte_share == pytest.approx(sum(model.is_byte(x) for x in ids) / len(ids))
+    assert [rows[i].script for i in range(5)] == ["latin", "latin", "greek", "cyrillic", "east_asian"]
+
+
+def test_filter_keeps_rows_whole(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = fertility.filter_quality(docs)
+    assert kept.columns == docs.columns
+    want = {r.doc_id for r in fertility.measure(docs).where("kept").collect()}
+    assert {r.doc_id for r in kept.collect()} == want and 0 < len(want) < docs.count()
+
+
+def test_bpe_equals_the_library(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    texts = ODD + noisy(2, 150) + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
+    rows = {r.doc_id: r for r in bpe.encode_digest(frame(spark, texts)).collect() if r.doc_id is not None}
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        shown = tok.decode(ids, skip_special_tokens=False)
+        assert rows[i].n_tokens == len(ids), (i, t)
+        assert rows[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert rows[i].decoded_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+    real = bpe.encode(frame(spark, ["Hello worlds"])).where("doc_id = 0").first()
+    assert np.frombuffer(real.ids, "<u4").tolist() == tok.encode("Hello worlds", add_special_tokens=False).ids
+
+
+def test_compatibility_says_what_merging_says():
+    b = bpe.WordBpe(tokenizer_path("word_bpe_49k.json"))
+    r = random.Random(4)
+    words = ["".join(r.choice("theanoringst") for _ in range(r.randint(1, 12))) for _ in range(400)]
+    flat, lens = b.encode_words(words)
+    exact, n = b.merge(words)
+    assert (lens == n).all() and (flat == exact).all()
+
+
+def test_counts_equal_the_unigram_model(spark):
+    from tokenizers import Tokenizer, models
+
+    pieces = unigram.load_pieces(tokenizer_path("piece_bpe_32k.model"))
+    vocab = [("<unk>", 0.0), *((f"<0x{k:02X}>", 0.0) for k in range(256)), *pieces.items()]
+    tok = Tokenizer(models.Unigram(vocab, 0, True))
+    texts = ODD + noisy(3, 80)
+    rows = {r.doc_id: r for r in unigram.count_tokens(frame(spark, texts)).collect() if r.doc_id is not None}
+    for i, t in enumerate(texts):
+        assert rows[i].n_tokens == sum(len(tok.encode("▁" + w).ids) for w in WORD.findall(t or "")), (i, t)
+
+
+def test_count_ties_and_unknown_characters():
+    c = unigram.UnigramCounter({"▁": -1.0, "a": -1.0, "b": -1.0, "ab": -2.0, "▁a": -2.0}, "▁")
+    assert c.count("ab") == (-3.0, 2)
+    assert c.count("é")[1] == 1 + 2
+
+
+def secret_brute(t):
+    t = t or ""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_base_secrets_equal_brute_force(spark):
+    r = random.Random(6)
+    parts = ["token=", "PassWord : '", "api_key=\"", "apikey:abc", "secret", "AKIA", "ABCD1234", "deadbeef01", "x y", "é", "=", "abc.def/9", "\n", "Zz9+"]
+    texts = ODD + ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(300)]
+    rows = {r_.doc_id: r_ for r_ in secrets.scan(frame(spark, texts)).collect() if r_.doc_id is not None}
+    for i, t in enumerate(texts):
+        want = secret_brute(t)
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest(), t
+        assert [rows[i].n_assign, rows[i].n_access, rows[i].n_hex] == [sum(k == x for _, k, _ in want) for x in range(3)]
+        assert all(f"{secrets.KINDS[k]}:{a}:{b}" in rows[i].spans for a, k, b in want)
+
+
+def test_entropy_windows_equal_fresh_counts():
+    rules = secrets.EntropyRules()
+    allowed = re.compile("|".join(rules.allowed))
+    r = random.Random(8)
+    for _ in range(300):
+        s = "".join(r.choice(r.choice(["abcdefghij0123456789", "0123456789abcdef", "aaaab1", "ABCDEFGHIJKLMNOPabcdefghijk0123456789+/"])) for _ in range(r.randint(15, 60)))
+        want = []
+        for m in secrets.CANDIDATE.finditer(s):
+            marked = set()
+            if not allowed.fullmatch(m[0]):
+                for k in range(len(m[0]) - 19):
+                    w = m[0][k : k + 20]
+                    d = sum(c.isdigit() for c in w)
+                    h = -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values())
+                    limit = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", w) else 3.9 if re.search("[+/=_-]", w) else 3.7
+                    if 0 < d < 20 and h >= limit - 1e-12:
+                        marked |= set(range(m.start() + k, m.start() + k + 20))
+            for k in sorted(marked):
+                if not want or want[-1][1] != k:
+                    want.append([k, k + 1])
+                else:
+                    want[-1][1] = k + 1
+        got = [list(x) for x in secrets.entropy_spans(s, rules, allowed)]
+        merged = []
+        for a, b in got:
+            if merged and merged[-1][1] == a:
+                merged[-1][1] = b
+            else:
+                merged.append([a, b])
+        assert merged == want, s
+
+
+def test_allowed_forms_and_natural_words_are_no_secrets():
+    for t in ("123e4567-e89b-42d3-a456-426614174000", "http://a/2024-01-02/03-04-05-06-07", "Donaudampfschifffahrtsgesellschaftskapitaen", "some_long_snake_case_name_2"):
+        assert secrets.find_spans(t) == []
+    assert [k for _, k, _ in secrets.find_spans("see xK9fQ2mZ7pL4vB8nR3tY6wC1 there")] == [3]
+
+
+def test_redact(spark):
+    df = spark.createDataFrame([(1, "a token=abcdef123456 b", 22, "x"), (2, None, None, "y"), (3, "clean", 5, "z")], "doc_id long, text string, n_chars long, source string")
+    got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(df).collect()}
+    assert got == {1: ("a [secret] b", 12), 2: (None, None), 3: ("clean", 5)}
+
+
+CLEAN = ["the river runs past a quiet mill and a field of barley", "a cook cuts bread and pours soup for two guests", "trains leave the old station each morning before nine"]
+
+
+def toxic_samples():
+    r = random.Random(9)
+    words = " ".join(CLEAN).split()
+    line = lambda extra: " ".join(r.choice(words) for _ in range(20)) + extra
+    return [line(f" {i}x") for i in range(300)], [line(f" {r.choice(['grobnik', 'snorlet'])} {i}y") for i in range(120)]
+
+
+def test_toxicity_restores_what_is_hidden(spark):
+    model = toxicity.fit(*toxic_samples())
+    assert "grobnik" in model.words
+    texts = ["you grobnik", "you gr0bn1k", "g r o b n i k", "grobniiiik!", "g.r.o.b.n.i.k", "a quiet river", "", None, "$$$ 100% 2024", "SNORLET"]
+    rows = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), model).collect() if r.doc_id is not None}
+    assert [rows[i] >= 0.5 for i in range(10)] == [True] * 5 + [False] * 4 + [True]
+    kept = toxicity.filter_toxic(frame(spark, texts), model)
+    assert kept.count() == 5 and kept.columns == ["doc_id", "text", "id", "n_words"]
+
+
+def test_viterbi_is_the_best_path():
+    model = toxicity.fit(*toxic_samples())
+    d = toxicity.Restorer(model)
+    for token in ("gr0b", "s1t", "a4a", "t0oo"):
+        paths = [("", 0.0)]
+        for arcs in d.lattice(token):
+            paths = [(p + x, w + y) for p, w in paths for x, y in arcs]
+
+        def total(p, w):
+            s = "\x02\x02" + p + "\x03"
+            return w + sum(d.chance(s[i - 2], s[i - 1], s[i]) for i in range(2, len(s)))
+
+        best = max(paths, key=lambda q: total(*q))
+        assert total(*best) == pytest.approx(max(total(p, w) for p, w in paths if p == d.restore(token)))
+
+
+@pytest.mark.parametrize("samples_", [([], []), (["a b c"], []), ([], ["a b c"])])
+def test_models_without_a_class(spark, samples_):
+    got = toxicity.score(frame(spark, ["a b", "", None]), toxicity.fit(*samples_)).collect()
+    assert all(0 <= r.score <= 1 for r in got)
+    got = compression.score(frame(spark, ["a b", "", None]), compression.fit(*samples_)).collect()
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+@pytest.mark.parametrize("label,module,threshold,least", [("toxic", toxicity, 0.5, 0.9), ("quality", compression, 0.3, 0.9)])
+def test_held_out_accuracy(spark, label, module, threshold, least):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = module.score(docs, module.fit_from(docs, labels)).join(labels, "doc_id").where(samples.held_out())
+    right = scored.agg(F.avg(((F.col("score") >= threshold).cast("int") == F.col(label)).cast("int"))).first()[0]
+    assert right >= least
+
+
+def test_held_out_rows_are_never_learnt_from(spark):
+    import zlib
+
+    df = spark.range(200).select(F.col("id").alias("doc_id"), samples.held_out("id").alias("h"))
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in df.collect())
+
+
+def packed(spark, rows, **k):
+    df = spark.createDataFrame(rows, "doc_id long, n long, source string, cluster long, bin_id string")
+    return packing.pack(df, "doc_id", F.col("n"), F.col("source"), F.col("cluster"), **k).collect()
+
+
+def test_packing_keeps_all_and_heeds_conflicts(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice([0, 5, 17, 40, 99, 100, 101, 350]), r.choice(["hot", "hot", "a", None]), r.choice([None, None, 1, 2, i]), "") for i in range(400)] + [(7, None, None, None, ""), (None, 3, "a", 1, "")]
+    got = packed(spark, rows, capacity=100, per_source=3, shard_rows=100)
+    sizes = Counter()
+    for x in got:
+        sizes[x.doc_id] += x.size
+    want = Counter()
+    for i, n, *_ in rows:
+        want[i] += n or 0
+    assert sizes == want
+    bins: dict = {}
+    for x in got:
+        bins.setdefault(x.bin_id, []).append(x)
+    source, cluster = {i: s for i, _, s, _, _ in rows if i not in (7, None)}, {i: c for i, _, _, c, _ in rows if i not in (7, None)}
+    for own in bins.values():
+        assert sum(x.size for x in own) <= 100
+        at = 0
+        for x in sorted(own, key=lambda x: (x.position, x.size)):
+            assert x.position == at
+            at += x.size
+        for name in ("hot", "a"):
+            assert sum(source.get(x.doc_id) == name for x in own) <= 3
+        some = [cluster[x.doc_id] for x in own if cluster.get(x.doc_id) is not None]
+        assert len(some) == len(set(some))
+    assert packed(spark, []) == []
+
+
+def test_packing_takes_the_tightest_compatible_bin():
+    where, position = packing.pack_shard([60, 50, 40, 40, 10], ["a"] * 5, [None, None, 1, 1, None], 100, 8)
+    assert where == [0, 1, 0, 1, 1] and position == [0, 0, 60, 50, 90]
+    where, _ = packing.pack_shard([60, 40], ["a", "a"], [None, None], 100, 1)
+    assert where == [0, 1]
+
+
+def test_packing_equals_a_linear_search():
+    r = random.Random(2)
+    for _ in range(30):
+        n = 60
+        sizes, sources, clusters = [r.randint(0, 50) for _ in range(n)], [r.choice("abcd") for _ in range(n)], [r.choice([None, 1, 2, 3]) for _ in range(n)]
+        bins: list = []
+        want = [0] * n
+        for i in sorted(range(n), key=lambda i: (-sizes[i], i)):
+            fits = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= sizes[i] and b["s"][sources[i]] < 2 and (clusters[i] is None or clusters[i] not in b["c"])]
+            k = min(fits)[1] if fits else len(bins)
+            if not fits:
+                bins.append({"room": 50, "s": Counter(), "c": set()})
+            b = bins[k]
+            b["room"] -= sizes[i]
+            b["s"][sources[i]] += 1
+            if clusters[i] is not None:
+                b["c"].add(clusters[i])
+            want[i] = k
+        assert packing.pack_shard(sizes, sources, clusters, 50, 2)[0] == want
