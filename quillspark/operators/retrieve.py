@@ -43,14 +43,20 @@ def resolve_document(questions: DataFrame, routes: DataFrame, target: str = "bra
 def candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Question and chunk pairs after the document filter, which never falls back, and the section filter, which falls
     back to all of the question's chunks where none matches. `fallback` tells which."""
-    named = questions.where("document_filter is not null").join(chunks, F.col("document_filter") == F.col("document"))
-    free = questions.where("document_filter is null").crossJoin(chunks)
-    pairs = named.unionByName(free)
-    # All patterns are anchored prefixes; startswith stays cheaper than a regex per pair.
+    # All patterns are anchored prefixes; startswith stays cheaper than a regex per pair. Whether anything matches is
+    # settled on the distinct sections, so that the pairs themselves need no pass of their own.
     match = F.col("section_pattern").isNotNull() & F.col("section").startswith(F.expr("substring(section_pattern, 2)"))
-    counted = pairs.withColumn("__match", match).withColumn("__any", F.max("__match").over(Window.partitionBy("question_id")))
-    kept = counted.where(F.col("__match") | ~F.col("__any"))
-    return kept.withColumn("fallback", F.col("section_pattern").isNotNull() & ~F.col("__any")).drop("__match", "__any")
+    asked = questions.select("question_id", "section_pattern", "document_filter")
+    sections = chunks.select("document", "section").distinct()
+    named = F.col("document_filter").isNotNull()
+    some = asked.where(named).join(sections, F.col("document_filter") == F.col("document")).select("question_id", match.alias("hit"))
+    some = some.unionByName(asked.where(~named).crossJoin(sections.select("section").distinct()).select("question_id", match.alias("hit")))
+    any_ = some.groupBy("question_id").agg(F.max("hit").alias("__any"))
+    flagged = questions.join(any_, "question_id", "left").withColumn("__any", F.coalesce("__any", F.lit(False)))
+    kept = match | ~F.col("__any")
+    pairs = flagged.where(named).join(chunks, (F.col("document_filter") == F.col("document")) & kept)
+    pairs = pairs.unionByName(flagged.where(~named).join(chunks, kept))
+    return pairs.withColumn("fallback", F.col("section_pattern").isNotNull() & ~F.col("__any")).drop("__any")
 
 
 def rank(scored: DataFrame, k: int, tie_break: str = "first", group: str = "question_id", order: str = "chunk_idx") -> DataFrame:
