@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DATE_FIELDS, EXCLUDED_FIELDS, MATCH_THRESHOLD
 from ..functions.dates import matching
 from ..functions.fuzzy import is_match
+from . import ocr, retrieve
 
 
 def scored_fields(truth: DataFrame, fields: str = "fields") -> DataFrame:
@@ -69,3 +70,21 @@ def length_score_correlation(ranked: DataFrame, text: str = "text", score: str =
 def inventory_difference(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows in one chunk inventory and not in the other, copies counted."""
     return old.exceptAll(new).withColumn("side", F.lit("old")).unionByName(new.exceptAll(old).withColumn("side", F.lit("new")))
+
+
+def ocr_benchmark(images: DataFrame, truth: DataFrame, gaps: DataFrame, engines: tuple[str, ...], scale: dict[str, float] | None = None) -> DataFrame:
+    """The whole OCR benchmark: page images through the engines, texts per document, scores per field."""
+    pages = ocr.run_engines(images, engines)
+    return score_documents(ocr.document_results(pages, scale), without_gaps(scored_fields(truth), gaps))
+
+
+def retrieval_eval(questions: DataFrame, chunks: DataFrame, sections: DataFrame, documents: DataFrame, k: int = 3, limit: float = MATCH_THRESHOLD) -> DataFrame:
+    """The held-out evaluation, one row per question (question_id, question, expected_phrase, q_embedding): what was
+    resolved, the best chunk with its cosine and fuzzy score, and whether the phrase is in the first or in any result."""
+    ranked = retrieve.routed_retrieve(questions, chunks, sections, documents, k, "last").withColumn("m", is_match(F.col("expected_phrase"), F.col("text"), limit))
+    first = lambda c: F.max(F.when(F.col("rank") == 1, c))
+    per = ranked.groupBy("question_id").agg(
+        first(F.col("section")).alias("top1_section"), first(F.bround("score", 4)).alias("top1_cosine"), first(F.bround("m.score", 3)).alias("top1_fuzzy_score"), first(F.col("m.matched")).alias("hit_at_1"), F.max("m.matched").alias("hit_at_k")
+    )
+    asked = retrieve.resolve_document(retrieve.resolve_section(questions.select("question_id", "question", "expected_phrase"), sections), documents)
+    return asked.join(per, "question_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("hit_at_1", "hit_at_k")})

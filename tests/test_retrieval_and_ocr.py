@@ -122,3 +122,18 @@ def test_streaming_front(spark, tmp_path):
     q = files.run_batches(files.stream_files(spark, str(tmp_path / "in")), lambda df: df.selectExpr("doc_id", "cast(content as string) as text"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).first().text == "hello"
+
+
+def test_held_out_evaluation_and_benchmark(spark):
+    q = spark.createDataFrame([(1, "dosage of lipitor?", "take one tablet", [1.0, 0.0]), (2, "dosage of viagra?", "x", [1.0, 0.0])], "question_id int, question string, expected_phrase string, q_embedding array<double>")
+    c = spark.createDataFrame([(0, "LIPITOR", "DOSAGE", "nothing here", [1.0, 0.0]), (1, "LIPITOR", "DOSAGE", "Take one tablet daily", [1.0, 0.2])], "chunk_idx int, document string, section string, text string, embedding array<double>")
+    rows = {r.question_id: r for r in evaluate.retrieval_eval(q, c, retrieve.section_routes(spark), retrieve.document_routes(spark)).collect()}
+    assert (rows[1].hit_at_1, rows[1].hit_at_k, rows[1].document_filter) == (False, True, "LIPITOR")
+    assert (rows[2].hit_at_1, rows[2].hit_at_k, rows[2].top1_section) == (False, False, None)
+    ocr.register("reader", lambda image: {"text": image.decode(), "avg_confidence": 0.5, "words": []})
+    images = spark.createDataFrame([("d", 0, bytearray(b"Approved 8/2014 by Acme"))], "doc_id string, page_num int, image binary")
+    kind = "struct<manufacturer_labeler:string,revision_dates:struct<prescribing_information:string,spl_document:string,medication_guide:string>>"
+    truth = spark.createDataFrame([("d", "B", ("Acme", (None, "08/2014", None)))], f"doc_id string, brand_name string, fields {kind}")
+    gaps = spark.createDataFrame([("IBRANCE", "manufacturer_labeler")], "brand string, field string")
+    got = sorted((r.field, r.matched, r.matched_candidate) for r in evaluate.ocr_benchmark(images, truth, gaps, ("reader",)).collect())
+    assert got == [("manufacturer_labeler", True, None), ("revision_dates.spl_document", True, "8/2014")]
