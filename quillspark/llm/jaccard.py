@@ -266,13 +266,14 @@ class JaccardJoin:
         reps = classes.select(F.col("rep").alias("id")).distinct()
         before = prefixes(self.docs, "id", "text", self.n, percent, ranks).where("n > 0")
         info = space.put(before.join(reps, "id", "left_semi").dropDuplicates(["id"]), "info")
-        # All documents of a bucket against two of them.
-        grams = info.select("id", "n", "weight", F.posexplode("prefix").alias("i", "gram"))
+        # Rows whose n-gram is in another prefix too, and all documents of a bucket against two of them.
+        grams = info.select("id", F.col("n").cast("int").alias("n"), F.col("weight").cast("float").alias("weight"), F.posexplode("prefix").alias("i", "gram"))
+        shared = grams.groupBy("gram").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("gram").repartition(parts(info))
+        meets = space.put(grams.join(shared, "gram"), "meets")
         who, order = F.struct("id", "n", "i"), F.xxhash64("id")
-        hubs = grams.groupBy("gram").agg(F.max(F.struct("weight", order.alias("h"), who.alias("w"))).alias("x"), F.min(F.struct(order.alias("h"), who.alias("w"))).alias("y"), F.max("id").alias("most"), F.min("id").alias("least"))
-        hubs = hubs.where("most > least").select("gram", F.array_distinct(F.array("x.w", "y.w")).alias("hubs")).repartition(parts(info))
-        meets = space.put(grams.join(hubs, "gram").select("gram", "id", "n", "i", "hubs"), "meets")
-        near = meets.select(F.col("id").alias("a"), F.col("n").alias("na"), "i", F.explode("hubs").alias("hub")).select("a", "na", "i", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.i").alias("j"))
+        hubs = meets.groupBy("gram").agg(F.max(F.struct("weight", order.alias("h"), who.alias("w"))).alias("x"), F.min(F.struct(order.alias("h"), who.alias("w"))).alias("y"))
+        hubs = hubs.select("gram", F.array_distinct(F.array("x.w", "y.w")).alias("hubs")).repartition(parts(info))
+        near = meets.join(hubs, "gram").select(F.col("id").alias("a"), F.col("n").alias("na"), "i", F.explode("hubs").alias("hub")).select("a", "na", "i", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.i").alias("j"))
         links = self._links(self._candidates(near), "hubs")
         roots = space.put(slim(connected_components(links, space, "components-1")), "roots-1")
         # Buckets that still hold several components: all pairs of different ones.
