@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,10 +18,42 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a.lower().strip(), b.lower().strip()).ratio()
 
 
+def _bounds(need: str, have: list[str], width: int) -> np.ndarray:
+    """For each window of so many words, the upper bound that its characters, whatever their order, leave for the ratio."""
+    codes = np.frombuffer("".join(have).encode("utf-32-le", "surrogatepass"), "<u4")
+    at = np.concatenate([[0], np.cumsum([len(w) for w in have])])
+    common = np.full(len(have) - width + 1, min(need.count(" "), width - 1))
+    for c, n in Counter(need.replace(" ", "")).items():
+        before = np.searchsorted(np.flatnonzero(codes == ord(c)), at)
+        common += np.minimum(before[width:] - before[:-width], n)
+    return 2.0 * common / (len(need) + at[width:] - at[:-width] + width - 1)
+
+
+def _ordered_bounds(need: str, have: list[str], width: int, which: np.ndarray) -> np.ndarray:
+    """The bound that the longest common subsequence leaves, for some windows and a needle of at most 64 characters: the
+    matcher's blocks are such a subsequence. One bit a character of the needle, all windows at a time."""
+    codes = np.frombuffer(" ".join(have).encode("utf-32-le", "surrogatepass"), "<u4")
+    places = np.zeros(len(codes), np.uint64)
+    for c in set(need):
+        places[codes == ord(c)] = sum(1 << k for k, x in enumerate(need) if x == c)
+    at = np.concatenate([[0], np.cumsum([len(w) + 1 for w in have])])
+    lengths = at[which + width] - at[which] - 1
+    order = np.argsort(-lengths)
+    start, ascending = at[which[order]], lengths[order][::-1]
+    free = np.full(len(which), (1 << 64) - 1, np.uint64)
+    for j in range(int(ascending[-1])):
+        k = len(which) - int(np.searchsorted(ascending, j, "right"))
+        v, m = free[:k], places[start[:k] + j]
+        free[:k] = (v + (v & m)) | (v & ~m)
+    common = np.empty(len(which), np.int64)
+    common[order] = np.bitwise_count(~free & np.uint64((1 << len(need)) - 1))
+    return 2.0 * common / (len(need) + lengths)
+
+
 def best_window(needle: str, haystack: str) -> float:
     """The best ratio of the needle against any window of as many words, or against all of a shorter text.
 
-    A window is only scored in full if the cheap upper bounds of its ratio beat the best so far.
+    Windows are scored in full from the highest upper bound down, until no bound beats the best so far.
     """
     need, have = needle.lower().strip(), haystack.split()
     width = len(needle.split())
@@ -27,13 +61,20 @@ def best_window(needle: str, haystack: str) -> float:
         return 0.0
     if len(have) <= width:
         return similarity(needle, haystack)
-    best = 0.0
-    for i in range(len(have) - width + 1):
-        m = SequenceMatcher(None, need, " ".join(have[i : i + width]).lower())
-        if m.real_quick_ratio() > best and m.quick_ratio() > best:
-            best = max(best, m.ratio())
-            if best == 1.0:
-                break
+    have = [w.lower() for w in have]
+    if f" {need} " in f" {' '.join(have)} ":
+        return 1.0
+    ratio_at = lambda i: SequenceMatcher(None, need, " ".join(have[i : i + width])).ratio()
+    bounds = _bounds(need, have, width)
+    best = ratio_at(int(bounds.argmax()))
+    which = np.flatnonzero(bounds > best)
+    bounds = bounds[which]
+    if len(which) > 8 and len(need) <= 64:
+        bounds = _ordered_bounds(need, have, width, which)
+    for k in np.argsort(-bounds, kind="stable").tolist():
+        if bounds[k] <= best:
+            break
+        best = max(best, ratio_at(int(which[k])))
     return best
 
 

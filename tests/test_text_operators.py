@@ -92,3 +92,17 @@ def test_metadata_by_position(spark):
 
 def test_strip_takes_all_white_space(spark):
     assert [r[0] for r in column(spark, ["\t a b \n", "", " "]).select(text.strip(F.col("v"))).collect()] == ["a b", "", ""]
+
+
+def test_window_bounds_never_cut_the_best_window():
+    import random
+
+    r = random.Random(12)
+    some = lambda n: " ".join("".join(r.choice("abcİΣσß'é😀A") for _ in range(r.randint(1, 5))) for _ in range(n))
+    for _ in range(300):
+        hay = some(r.randint(1, 60))
+        w = hay.split()
+        need = r.choice([some(r.randint(1, 4)), some(20), "  ".join(w[:3]), " ".join(w[2:5]).upper() or "a"])
+        k = len(need.split())
+        want = max(fuzzy.similarity(need, " ".join(w[i : i + k])) for i in range(len(w) - k + 1)) if len(w) > k else fuzzy.similarity(need, hay)
+        assert fuzzy.best_window(need, hay) == want
