@@ -97,16 +97,31 @@ def entropy_spans(text: str, rules: EntropyRules, allowed: re.Pattern) -> list[t
     return out
 
 
+def without(span: tuple[int, int], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pieces of a span that none of the others, in order, covers."""
+    out, (at, end) = [], span
+    for a, b in others:
+        if b <= at:
+            continue
+        if a >= end:
+            break
+        if a > at:
+            out.append((at, a))
+        at = b
+    return [*out, (at, end)] if at < end else out
+
+
 def find_spans(text: str, rules: EntropyRules = EntropyRules(), allowed: re.Pattern | None = None) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all spans, in order; entropy spans that touch a base span are left out."""
+    """(start, kind, end) of all spans, in order; entropy spans give way to base spans where they overlap, and what
+    remains of them on either side is kept."""
     found = [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     low = text.lower()
     if any(h in low for h in _HINTS):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     allowed = allowed or re.compile("|".join(rules.allowed))
-    base = [(a, b) for a, _, b in found]
-    found += [(a, 3, b) for a, b in entropy_spans(text, rules, allowed) if all(b <= x or y <= a for x, y in base)]
+    base = sorted((a, b) for a, _, b in found)
+    found += [(a, 3, b) for span in entropy_spans(text, rules, allowed) for a, b in without(span, base)]
     return sorted(found)
 
 
