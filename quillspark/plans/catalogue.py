@@ -433,8 +433,7 @@ def ocr_score_exact(spark, sf_dir):
 
 @query()
 def ocr_score_fuzzy(spark, sf_dir):
-    texts = ocr.document_results(_pages(spark, sf_dir)).where("engine = 'paddleocr'")
-    return evaluate.score_documents(texts, _kept(spark, sf_dir))
+    return evaluate.score_documents(ocr.document_results(_pages(spark, sf_dir)), _kept(spark, sf_dir))
 
 
 @query(_OCR + ", " + _LONG + ", " + _EXACT + "SELECT engine, doc_id, count(*) FILTER (matched) AS n_matched, count(*) AS n_total, round(avg(matched::INTEGER) + 1e-9, 6) AS rate, min(confidence) AS confidence FROM q_x GROUP BY ALL", "d_ocr_words", "d_truths")
