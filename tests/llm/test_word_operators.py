@@ -316,3 +316,20 @@ def test_secrets_beside_a_base_secret_are_kept(text, want):
     assert {k for a, kind, b in spans if kind == 3 for k in range(a, b)} == marked - base
     left = secrets.redact_text(text, spans, "\0").replace("\0", "")
     assert len(left) == len(text) - len(marked | base)
+
+
+DISGUISED = [
+    "a g r o b n i k", "m n g r o b n i k", "g r o b n i k!", "g - r - o - b - n - i - k", "g r 0 b n 1 k", "6r08n1k", "5n0r1et", "sn0rle+", "$norlet", "ggrroobbnniikk", "gro.bnik",
+    "gr--ob--nik", "grob-n1k", "g.r.o.bnik",
+]
+
+
+def test_toxicity_decodes_every_disguise(spark):
+    model = toxicity.fit(*toxic_samples())
+    both = "g r o b n i k s n o r l e t"
+    plain = ["a quiet river", "b c d 1 2 3", "24/7 mill, 1998!", "- - - | |", "well-known barley", "a b c"]
+    texts = [*DISGUISED, *plain, both, "grobnik snorlet", "grobnik"]
+    rows = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), model).collect() if r.doc_id is not None}
+    got = {t: rows[i] for i, t in enumerate(texts)}
+    assert [t for t in DISGUISED if got[t] < 0.5] == [] and [t for t in plain if got[t] >= 0.5] == []
+    assert got[both] == pytest.approx(got["grobnik snorlet"]) and got[both] > got["grobnik"]
