@@ -29,7 +29,8 @@ def scored_fields(truth: DataFrame, fields: str = "fields") -> DataFrame:
 
 def without_gaps(fields: DataFrame, gaps: DataFrame, brand: str = "brand_name") -> DataFrame:
     """Leaves out known gaps (brand, field)."""
-    return fields.join(F.broadcast(gaps.limit(10_000)), (fields[brand] == gaps["brand"]) & (fields["field"] == gaps["field"]), "left_anti")
+    known = F.broadcast(gaps) if retrieve.is_small(gaps) else gaps
+    return fields.join(known, (fields[brand] == gaps["brand"]) & (fields["field"] == gaps["field"]), "left_anti")
 
 
 def score_documents(texts: DataFrame, fields: DataFrame, key: str = "doc_id", threshold: float = MATCH_THRESHOLD) -> DataFrame:

@@ -1,6 +1,6 @@
 """Routing and ranking: resolve the document and section of a question, filter, then score and rank.
 
-Routing tables are DataFrames of a few rows and are broadcast; chunks are never broadcast. Documents are filtered by
+Routing tables of a few rows are broadcast, larger ones joined whole without; chunks are never broadcast. Documents are filtered by
 an equi-join where a question names one, so only questions without a document meet all chunks.
 """
 
@@ -16,6 +16,11 @@ from ..functions.vectors import cosine
 ROUTE_ROWS = 10_000
 
 
+def is_small(df: DataFrame, rows: int = ROUTE_ROWS) -> bool:
+    """Whether a table has at most so many rows; no more than one further row is counted."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def section_routes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, p, r) for i, (p, r) in enumerate(SECTION_ROUTES)], "priority int, phrase string, pattern string")
 
@@ -26,9 +31,12 @@ def document_routes(spark: SparkSession) -> DataFrame:
 
 def resolve(questions: DataFrame, routes: DataFrame, phrase: str, target: str, out: str, id_col: str = "question_id") -> DataFrame:
     """The target of the first route, by priority, whose phrase lies in the question, or null."""
-    few = routes.select("priority", F.col(phrase).alias("__phrase"), F.col(target).alias("__target")).limit(ROUTE_ROWS)
+    few = routes.select("priority", F.col(phrase).alias("__phrase"), F.col(target).alias("__target"))
     hit = F.lower("question").contains(F.lower("__phrase"))
-    joined = questions.join(F.broadcast(few), hit, "left")
+    if is_small(few):
+        joined = questions.join(F.broadcast(few), hit, "left")
+    else:  # a left join without equal keys would be broadcast all the same
+        joined = questions.join(few.hint("shuffle_replicate_nl"), hit).unionByName(questions, allowMissingColumns=True)
     return joined.groupBy(*questions.columns).agg(F.min(F.when(F.col("priority").isNotNull(), F.struct("priority", "__target"))).getField("__target").alias(out))
 
 

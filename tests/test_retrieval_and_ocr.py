@@ -137,3 +137,17 @@ def test_held_out_evaluation_and_benchmark(spark):
     gaps = spark.createDataFrame([("IBRANCE", "manufacturer_labeler")], "brand string, field string")
     got = sorted((r.field, r.matched, r.matched_candidate) for r in evaluate.ocr_benchmark(images, truth, gaps, ("reader",)).collect())
     assert got == [("manufacturer_labeler", True, None), ("revision_dates.spl_document", True, "8/2014")]
+
+
+def test_large_tables_are_joined_whole(spark):
+    n = retrieve.ROUTE_ROWS + 500
+    q = spark.createDataFrame([(1, f"about phrase{n - 1}."), (2, "about phrase7."), (3, "nothing")], "question_id int, question string")
+    routes = spark.range(n).selectExpr("cast(id as int) as priority", "concat('phrase', id, '.') as phrase", "concat('^', id) as pattern").coalesce(1)
+    out = retrieve.resolve_section(q, routes)
+    assert {r.question_id: r.section_pattern for r in out.collect()} == {1: f"^{n - 1}", 2: "^7", 3: None}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    few = retrieve.resolve_section(q, routes.where("priority < 10"))
+    assert {r.question_id: r.section_pattern for r in few.collect()} == {1: None, 2: "^7", 3: None}
+    fields = spark.createDataFrame([(f"b{n - 1}", "f"), ("b3", "f"), ("other", "f")], "brand_name string, field string")
+    gaps = spark.range(n).selectExpr("concat('b', id) as brand", "'f' as field").coalesce(1)
+    assert [r.brand_name for r in evaluate.without_gaps(fields, gaps).collect()] == ["other"]
