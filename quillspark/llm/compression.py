@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from .common import map_texts
-from .samples import labelled_sample
+from .samples import labelled_sample, share_of
 
 
 @dataclass(frozen=True)
@@ -103,8 +103,8 @@ def fit(bad: list[str], good: list[str], good_share: float = 0.87, dict_bytes: i
 
 
 def fit_from(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, id_col: str = "doc_id", text_col: str = "text") -> CompressionModel:
-    """The model of a sample of at most `per_class` texts a class, none of them held out."""
-    return fit(*labelled_sample(docs, labels, "quality", per_class, id_col=id_col, text_col=text_col))
+    """The model of a sample of at most `per_class` texts a class, and of the share of label 1, none of them held out."""
+    return fit(*labelled_sample(docs, labels, "quality", per_class, id_col=id_col, text_col=text_col), good_share=share_of(labels, "quality", id_col))
 
 
 def score(df: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,6 +14,12 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
+def share_of(labels: DataFrame, label: str, id_col: str = "doc_id") -> float:
+    """The share of label 1 among all labels that are not held out, half a row added to either class."""
+    n0, n1 = labels.where(~held_out(id_col)).agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
+    return (n1 + 0.5) / (n0 + n1 + 1)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[str]]:
     """Texts of label 0 and of label 1: of each at most `per_class` ids, the first by a hash of the id, from rows that
     are not held out. Texts of over `max_bytes` are left out of the sample, and equal texts of a class count once; the

@@ -333,3 +333,14 @@ def test_toxicity_decodes_every_disguise(spark):
     got = {t: rows[i] for i, t in enumerate(texts)}
     assert [t for t in DISGUISED if got[t] < 0.5] == [] and [t for t in plain if got[t] >= 0.5] == []
     assert got[both] == pytest.approx(got["grobnik snorlet"]) and got[both] > got["grobnik"]
+
+
+@pytest.mark.parametrize("label,module,name", [("toxic", toxicity, "prior"), ("quality", compression, "good_share")])
+def test_class_shares_are_counted(spark, monkeypatch, label, module, name):
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias(label))
+    docs = labels.select("doc_id", F.concat(F.lit("text number "), F.col("doc_id")).alias("text"))
+    got = {}
+    monkeypatch.setattr(module, "fit", lambda *a, **k: got.update(k))
+    module.fit_from(docs, labels)
+    kept = [r[label] for r in labels.where(~samples.held_out()).collect()]
+    assert got == {name: pytest.approx((sum(kept) + 0.5) / (len(kept) + 1))}
