@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,11 +11,13 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GROUP_BYTES = 4 << 20
-WINDOW_BYTES = 1 << 20
+#: Longer runs of bytes are hashed and compared one by one.
+LONG_RUN = 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -24,13 +27,15 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 class Workspace:
     """A folder of intermediate Parquet tables below spark.checkpoint.dir.
 
-    A written table cuts lineage and outlives a lost executor. Where the setting is absent (tests on one
-    machine) a temporary folder is used.
+    A written table cuts lineage and outlives a lost executor. Where the setting is absent, a temporary folder is used
+    on a single machine; on a cluster its absence is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
             base = "file://" + os.path.join(tempfile.gettempdir(), "quillspark-checkpoints")
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -144,23 +149,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values(seed: int, fold: bool) -> np.ndarray:
-    values = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    if fold:
-        values[65:91] = values[97:123]
-    return values
-
-
-_EXACT, _FOLDED = _byte_values(20240229, False), _byte_values(20240229, True)
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        size = max(256, 2 * n)
-        _powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _MULT)]))
-    return _powers
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] = _FOLD[97:123]
+_KEEP = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)
 
 
 def _delimiters(codes: Iterable[int]) -> np.ndarray:
@@ -191,27 +182,48 @@ def runs(data: np.ndarray, offsets: np.ndarray, delimiter: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit hashes of byte runs, in windows of bounded size so that memory does not follow a text's length.
+    """64-bit hashes of byte runs: a chain of mixed steps of eight bytes side by side for short runs, xxh3 for long ones.
 
-    Equal bytes give equal hashes on every machine; `fold` makes A-Z equal to a-z.
+    Equal bytes give equal hashes on every machine; `fold` makes A-Z equal to a-z. No step is linear in the bytes, so
+    that no simple pattern of letters makes two runs collide; chance collisions have odds of 2**-64 a pair.
     """
-    values, out = (_FOLDED if fold else _EXACT), np.zeros(len(starts), np.uint64)
-    if not len(starts):
-        return out
+    if fold:
+        data = _FOLD[data]
     lens = ends - starts
-    power = powers(int(lens.max()))
-    total = np.cumsum(lens)
-    lo = 0
-    while lo < len(starts):
-        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + WINDOW_BYTES, "right"))
-        hi = max(hi, lo + 1)
-        n, base = lens[lo:hi], np.cumsum(lens[lo:hi]) - lens[lo:hi]
-        within = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(base, n)
-        at = within + np.repeat(starts[lo:hi], n)
-        out[lo:hi] = np.add.reduceat(values[data[at]] * power[within], base)
-        lo = hi
-    return mix(out + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = lens.astype(np.uint64) * _MULT
+    long = np.flatnonzero(lens > LONG_RUN)
+    todo = np.flatnonzero(lens <= LONG_RUN) if len(long) else np.arange(len(lens))
+    at, left, eights = starts[todo], lens[todo], _eights(data)
+    while len(todo):
+        out[todo] = mix(out[todo] ^ (eights[at] & _KEEP[np.minimum(left, 8)]))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for k in long.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
+
+
+def same_runs(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, other: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether runs of one buffer have the bytes of runs of another, pair by pair."""
+    same = lens == sizes
+    long = np.flatnonzero(same & (lens > LONG_RUN))
+    todo = np.flatnonzero(same & (lens <= LONG_RUN))
+    x, y, left = starts[todo], places[todo], lens[todo]
+    a, b = _eights(data), _eights(other)
+    while len(todo):
+        differ = ((a[x] ^ b[y]) & _KEEP[np.minimum(left, 8)]) != 0
+        same[todo[differ]] = False
+        more = ~differ & (left > 8)
+        todo, x, y, left = todo[more], x[more] + 8, y[more] + 8, left[more] - 8
+    for k in long.tolist():
+        same[k] = np.array_equal(data[starts[k] : starts[k] + lens[k]], other[places[k] : places[k] + sizes[k]])
+    return same
 
 
 def combine(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -219,31 +231,43 @@ def combine(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    power = powers(width)
+    out = np.full(n, width, np.uint64)
     for k in range(width):
-        out += hashes[k : k + n] * power[k]
-    return mix(out + np.uint64(width))
+        out = (out ^ (out >> np.uint64(29))) * _MULT + hashes[k : k + n]
+    return mix(out)
 
 
 class WordCache:
     """Results per distinct word in flat arrays, kept between batches of a task and emptied beyond `limit` words.
 
     `compute(words)` gives columns of one value a word; the column named "flat", if any, holds sequences that are
-    joined, with their lengths in the column "lens" and their places in "base".
+    joined, with their lengths in the column "lens" and their places in "base". Hashes only find a word's row: its bytes
+    are then compared with the word the row was made for, and a word that shares its hash with another has a row apart.
     """
 
-    def __init__(self, compute: Callable[[list[bytes]], dict], limit: int = 2_000_000):
+    def __init__(self, compute: Callable[[list[bytes]], dict], limit: int = 500_000):
         self.compute, self.limit = compute, limit
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.rows, self.columns = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
+        self.bytes, self.places, self.sizes = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.apart: dict[bytes, int] = {}
+
+    def _add(self, words: list[bytes]) -> np.ndarray:
+        got, n = self.compute(words), len(self.sizes)
+        if "flat" in got:
+            got["base"] = np.cumsum(got["lens"]) - got["lens"] + len(self.columns.get("flat", ()))
+        self.columns = {k: np.concatenate([self.columns[k], v]) if self.columns else v for k, v in got.items()}
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.places = np.concatenate([self.places, len(self.bytes) + np.cumsum(sizes) - sizes])
+        self.sizes, self.bytes = np.concatenate([self.sizes, sizes]), np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
+        return n + np.arange(len(words))
 
     def look(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The row of each word in the arrays of `columns`."""
         keys, first, where = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.limit:
+        if len(self.sizes) + len(keys) > self.limit:
             self.clear()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
@@ -253,15 +277,17 @@ class WordCache:
         rows[known] = self.rows[at[known]]
         new = np.flatnonzero(~known)
         if len(new) or not self.columns:
-            raw = data.tobytes()
-            got = self.compute([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            if "flat" in got:
-                got["base"] = np.cumsum(got["lens"]) - got["lens"] + len(self.columns.get("flat", ()))
-            rows[new] = np.arange(len(new)) + len(self.rows)
+            rows[new] = self._add([data[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             self.keys = np.insert(self.keys, at[new], keys[new])
             self.rows = np.insert(self.rows, at[new], rows[new])
-            self.columns = {k: np.concatenate([self.columns[k], v]) if self.columns else v for k, v in got.items()}
-        return rows[where]
+        rows = rows[where]
+        odd = np.flatnonzero(~same_runs(data, starts, ends - starts, self.bytes, self.places[rows], self.sizes[rows]))
+        if len(odd):
+            words = [data[starts[k] : ends[k]].tobytes() for k in odd.tolist()]
+            if fresh := [w for w in dict.fromkeys(words) if w not in self.apart]:
+                self.apart.update(zip(fresh, self._add(fresh).tolist(), strict=True))
+            rows[odd] = [self.apart[w] for w in words]
+        return rows
 
 
 def count_in(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:

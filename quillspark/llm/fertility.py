@@ -11,6 +11,7 @@ unchanged.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import chain
@@ -18,7 +19,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import NEWLINE, SPACES, WordCache, combine, count_in, filter_rows, map_texts, mix, run_hashes, runs
+from .common import NEWLINE, SPACES, WordCache, combine, count_in, filter_rows, map_texts, mix, run_hashes, runs, same_runs
 from .tokenizer_files import tokenizer_path
 
 SCRIPTS = ("latin", "greek", "cyrillic", "semitic", "indic", "east_asian", "none")
@@ -113,25 +114,54 @@ def _word_measurer(rules: FertilityRules) -> tuple[Callable[[list[bytes]], dict]
 _LEADS = [(0xC3, 0xCA, 0), (0xCE, 0xD0, 1), (0xD0, 0xD5, 2), (0xD6, 0xDC, 3), (0xE0, 0xE1, 4), (0xE3, 0xEE, 5)]
 
 
-def repeated_words(hashes: np.ndarray, text: np.ndarray, window: int) -> np.ndarray:
-    """Marks words that lie in a window of words that occurs more than once in its text."""
-    marks = np.zeros(len(hashes), bool)
-    if len(hashes) < window:
+def repeated_words(words: np.ndarray, text: np.ndarray, window: int) -> np.ndarray:
+    """Marks words that lie in a window of words that occurs more than once in its text. `words` numbers the distinct
+    words; windows meet by a hash and are then compared word by word."""
+    marks = np.zeros(len(words), bool)
+    if len(words) < window:
         return marks
     at = np.flatnonzero(text[: 1 - window] == text[window - 1 :])
-    keys = mix(combine(hashes, window)[at] + mix(text[at].astype(np.uint64)))
+    keys = mix(combine(mix(words.astype(np.uint64)), window)[at] + mix(text[at].astype(np.uint64)))
     ordered = np.sort(keys)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
         return marks
     place = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
-    at = at[twice[place] == keys]
-    delta = np.zeros(len(hashes) + 1, np.int32)
-    delta[at] += 1
+    some = twice[place] == keys
+    at, place = at[some], place[some]
+    _, first = np.unique(place, return_index=True)
+    model = at[first][place]
+    same = text[at] == text[model]
+    for k in range(window):
+        same &= words[at + k] == words[model + k]
+    if not same.all():
+        at = at[~np.isin(place, place[~same])].tolist() + _repeated(words, text, at[np.isin(place, place[~same])].tolist(), window)
+        at = np.array(at, np.int64)
+    delta = np.zeros(len(words) + 1, np.int32)
+    np.add.at(delta, at, 1)
     np.subtract.at(delta, at + window, 1)
     return np.cumsum(delta[:-1]) > 0
 
 
+def _repeated(words: np.ndarray, text: np.ndarray, at: list[int], window: int) -> list[int]:
+    """Of the windows at these places, those that occur more than once, by their words."""
+    own = [(int(text[k]), *words[k : k + window].tolist()) for k in at]
+    count = Counter(own)
+    return [k for k, w in zip(at, own, strict=True) if count[w] > 1]
+
+
+def repeated_lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """How many lines of each text equal an earlier one. Lines meet by a hash and are then compared byte by byte."""
+    _, first, where = np.unique(mix(run_hashes(data, starts, ends) + mix(text.astype(np.uint64))), return_index=True, return_inverse=True)
+    out = np.bincount(text, minlength=n) - np.bincount(text[first], minlength=n)
+    model = first[where]
+    odd = np.flatnonzero((text != text[model]) | ~same_runs(data, starts, ends - starts, data, starts[model], (ends - starts)[model]))
+    for k in np.unique(np.concatenate([text[odd], text[model[odd]]])).tolist():
+        own = [data[a:b].tobytes() for a, b in zip(starts[text == k].tolist(), ends[text == k].tolist(), strict=True)]
+        out[k] = len(own) - len(set(own))
+    return out
+
+
 def _entropies(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Shannon entropy in bits of the ids of each text."""
     out = np.zeros(len(edges) - 1)
@@ -167,13 +197,11 @@ def _worker(rules: FertilityRules) -> Callable:
         ls, le, lt = runs(data, off, NEWLINE)
         some = np.searchsorted(starts, le) > np.searchsorted(starts, ls)
         ls, le, lt = ls[some], le[some], lt[some]
-        lines = mix(run_hashes(data, ls, le) + mix(lt.astype(np.uint64)))
-        _, first = np.unique(lines, return_index=True)
-        dup_lines = np.bincount(lt, minlength=n) - np.bincount(lt[first], minlength=n)
-        repeat = np.bincount(text[repeated_words(hashes, text, rules.window)], minlength=n)
+        dup_lines = repeated_lines(data, ls, le, lt, n)
+        row = cache.look(data, starts, ends, hashes)
+        repeat = np.bincount(text[repeated_words(row, text, rules.window)], minlength=n)
         failed = (n_words < rules.min_words) | (100 * repeat > rules.max_repeat_percent * n_words)
 
-        row = cache.look(data, starts, ends, hashes)
         col = cache.columns
         lens = col["lens"][row]
         upto = np.concatenate([[0], np.cumsum(lens)])
