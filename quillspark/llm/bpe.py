@@ -3,7 +3,7 @@
 Greedy longest-match proposes the tokens of a word. A proposal is the exact result precisely when every two
 neighbours are compatible: merging the pair's text afresh gives the same two tokens. That test depends on the two
 tokens alone, so all pairs of a batch are tested together in NumPy. Only words with a failing pair are merged
-step by step. Works for vocabularies whose ids follow the order of their merges (checked on loading).
+step by step, and of long words only the stretches about failing pairs, so that time follows a word's length. Works for vocabularies whose ids follow the order of their merges (checked on loading).
 
 Edge cases: a null or empty text gives no tokens, the hash of nothing and an empty text; a null id stays null;
 repeated rows are encoded one by one; extra columns are ignored. Special-token strings in a text are their own
@@ -17,6 +17,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -29,6 +30,8 @@ from .tokenizer_files import tokenizer_path
 
 #: Fixed pattern of the word-level vocabulary: contractions, letters, single digits, other signs.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \t-\r\p{L}\p{N}]+"
+#: Longer words are repaired stretch by stretch.
+LONG_WORD = 192
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -70,6 +73,7 @@ class WordBpe:
         order = np.argsort(keys)
         self.pair_keys, self.pair_ids = keys[order], np.fromiter(self.merges.values(), np.int64)[order]
         self.longest = max(map(len, self.vocab))
+        self.length = np.array([len(t.removesuffix(self.end)) if self.end and t != self.end else len(t) for t in self.text], np.int64)
         self._tree()
 
     def _tree(self) -> None:
@@ -88,7 +92,7 @@ class WordBpe:
         out, i, n = [], 0, len(word)
         vocab, prefix = self.vocab, self.prefix
         while i < n:
-            tail = vocab.get(word[i:] + self.end)
+            tail = vocab.get(word[i:] + self.end) if n - i <= self.longest else None
             if tail is not None:
                 out.append(tail)
                 break
@@ -135,12 +139,11 @@ class WordBpe:
         place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[place] == key, self.pair_ids[place], self.size)
 
-    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Exact merging of many words side by side: in each round every word merges its lowest-ranked pair, the
-        leftmost among equals; a word without pairs is done."""
+    def merge(self, words: list[str], last: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many short words side by side: in each round every word merges its lowest-ranked pair, the
+        leftmost among equals; a word without pairs is done. `last` tells which of them end a word; all, if not given."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
-        vocab, end = self.vocab, self.end
-        ids = np.fromiter(chain.from_iterable([*map(vocab.__getitem__, w[:-1]), vocab[w[-1] + end]] for w in words), np.int64)
+        ids = np.concatenate([np.zeros(0, np.int64), *(self._letters(w, last is None or last[k]) for k, w in enumerate(words))])
         lens = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), lens)
         ranks = np.full(len(ids), self.size)
@@ -171,6 +174,71 @@ class WordBpe:
                 ranks[k[pair]] = self.rank(ids[k[pair]], ids[k[pair] + 1])
         return np.concatenate(out) if out else np.zeros(0, np.int64), np.fromiter(map(len, out), np.int64, len(out))
 
+    def merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """Exact merging of one long sequence: all places of the lowest-ranked pair at once while they are many, then
+        pair by pair from a heap, over linked neighbours."""
+        while len(ids) > 1:
+            ranks = self.rank(ids[:-1], ids[1:])
+            low = ranks.min()
+            hit = np.flatnonzero(ranks == low)
+            if low == self.size or len(hit) * 64 < len(ids):
+                break
+            first = np.flatnonzero(np.diff(hit, prepend=-2) > 1)
+            hit = hit[(np.arange(len(hit)) - np.repeat(first, np.diff(np.append(first, len(hit))))) % 2 == 0]
+            ids = ids.copy()
+            ids[hit] = low
+            ids = np.delete(ids, hit + 1)
+        n = len(ids)
+        if n < 2 or low == self.size:
+            return ids
+        own, after, before, merges = ids.tolist(), [*range(1, n + 1)], [*range(-1, n - 1)], self.merges
+        some = np.flatnonzero(ranks < self.size)
+        heap = list(zip(ranks[some].tolist(), some.tolist(), strict=True))
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if j == n or own[i] < 0 or merges.get((own[i], own[j])) != r:
+                continue
+            own[i], own[j] = r, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (x := merges.get((r, own[k]))) is not None:
+                    heappush(heap, (x, i))
+            if (k := before[i]) >= 0 and (x := merges.get((own[k], r))) is not None:
+                heappush(heap, (x, k))
+        return np.array([x for x in own if x >= 0], np.int64)
+
+    def _letters(self, text: str, last: bool) -> np.ndarray:
+        """The ids that merging starts from."""
+        vocab = self.vocab
+        return np.fromiter(chain(map(vocab.__getitem__, text[:-1]), [vocab[text[-1] + self.end] if last else vocab[text[-1]]]), np.int64, len(text))
+
+    def repair(self, word: str, ids: np.ndarray) -> np.ndarray:
+        """Exact tokens of a long word from its proposal: stretches about failing pairs are merged afresh, wider ones as
+        long as a pair fails at their borders. Where no pair fails the whole is exact, so the rest is never merged."""
+        reach = 4
+        while True:
+            key, where = np.unique(ids[:-1] * self.size + ids[1:], return_inverse=True)
+            bad = np.flatnonzero(~self.compatible(key // self.size, key % self.size)[where])
+            if not len(bad):
+                return ids
+            lo, hi = np.maximum(bad + 1 - reach, 0), np.minimum(bad + 1 + reach, len(ids))
+            head = np.flatnonzero(np.concatenate([[True], lo[1:] > np.maximum.accumulate(hi)[:-1]]))
+            lo, hi = lo[head], np.maximum.reduceat(hi, head)
+            edge = np.concatenate([[0], np.cumsum(self.length[ids])])
+            texts = [(word[a:b], b == len(word)) for a, b in zip(edge[lo].tolist(), edge[hi].tolist(), strict=True)]
+            short = [k for k, (t, _) in enumerate(texts) if len(t) <= LONG_WORD]
+            flat, lens = self.merge([texts[k][0] for k in short], [texts[k][1] for k in short])
+            fresh = dict(zip(short, np.split(flat, np.cumsum(lens)[:-1]), strict=True)) if short else {}
+            out, at = [], 0
+            for k, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+                out += [ids[at:a], fresh[k] if k in fresh else self.merge_long(self._letters(*texts[k]))]
+                at = b
+            ids = np.concatenate([*out, ids[at:]])
+            reach *= 4
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of words that are already in byte letters, joined, and the count of each word."""
         out = [self.propose(w) for w in words]
@@ -182,7 +250,12 @@ class WordBpe:
         failing = np.unique(word[pair[~self.compatible(key // self.size, key % self.size)[where]]])
         if not len(failing):
             return flat, lens
+        long = [i for i in failing.tolist() if len(words[i]) > LONG_WORD]
+        failing = np.array([i for i in failing.tolist() if len(words[i]) <= LONG_WORD], np.int64)
         fixed, n = self.merge([words[i] for i in failing.tolist()])
+        whole = [self.repair(words[i], np.array(out[i], np.int64)) for i in long]
+        fixed, n = np.concatenate([fixed, *whole]), np.concatenate([n, np.fromiter(map(len, whole), np.int64, len(whole))])
+        failing = np.concatenate([failing, np.array(long, np.int64)])
         old = np.isin(word, failing)
         order = np.argsort(np.concatenate([word[~old], np.repeat(failing, n)]), kind="stable")
         lens[failing] = n

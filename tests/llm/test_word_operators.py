@@ -2,21 +2,61 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
-from quillspark.llm import bpe, compression, fertility, packing, samples, secrets, toxicity, unigram
+from quillspark.llm import bpe, common, compression, fertility, packing, samples, secrets, toxicity, unigram
 from quillspark.llm.tokenizer_files import tokenizer_path
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FOOL = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+LOOF = FOOL.translate(str.maketrans("ab", "ba"))
 ODD = [
+    f"{FOOL} {LOOF} x\n{FOOL} y\n{LOOF} y\n{FOOL} y", LOOF, FOOL, "".join(chr(0xE01 + i * 7919 % 46) for i in range(3000)), "".join("abcxyz"[i * i % 6] for i in range(5000)),
     None, "", " ", "\n\n", "a", "word " * 3000, "x" * 20000, "É éclair ÀÈ", "日本語 テキスト", "a\x1cb \x85 c", "don't I'LL 's", "İΣΑΣ ² ½ ١", "line\nline\n\nline\n",
     "<|endoftext|>a <|startoftext|>", "😀 👍🏽", "#*$ %&| <>", "the same eight words come here again now the same eight words come here again now",
 ]
 
 
+def test_words_that_share_a_hash_have_rows_of_their_own():
+    made = []
+    cache = common.WordCache(lambda words: made.extend(words) or {"n": np.array([len(w) for w in words], np.int64), "lens": np.ones(len(words), np.int64), "flat": np.array([w[0] for w in words], np.int64)})
+    words = [b"one", b"three", b"one", b"four", b"x" * 100, b"y" * 100, b"three"]
+    ends = np.cumsum([len(w) for w in words])
+    data, starts = np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words]
+    for _ in range(2):
+        rows = cache.look(data, starts, ends, np.full(len(words), 7, np.uint64))
+        assert [(cache.columns["n"][r], cache.columns["flat"][cache.columns["base"][r]]) for r in rows] == [(len(w), w[0]) for w in words]
+    assert sorted(made) == sorted(set(words))
+
+
+def test_repeats_are_compared_and_not_only_hashed(monkeypatch):
+    text = "a b c d\ne f g h\na b c d\n" * 2
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, of = common.runs(data, np.array([0, len(data)]), common.NEWLINE)
+    monkeypatch.setattr(fertility, "run_hashes", lambda d, s, e: np.zeros(len(s), np.uint64))
+    monkeypatch.setattr(fertility, "combine", lambda h, w: np.zeros(max(0, len(h) - w + 1), np.uint64))
+    assert fertility.repeated_lines(data, starts, ends, of, 1).tolist() == [4]
+    words, of = np.array([1, 2, 3, 4, 1, 2, 9, 1, 2, 3]), np.zeros(10, np.int64)
+    assert fertility.repeated_words(words, of, 3).tolist() == [True] * 3 + [False] * 4 + [True] * 3
+
+
+@pytest.mark.parametrize("word", ["etaoinshrdlu", "a", "ab", "xq"])
+def test_long_words_take_little_time(word):
+    r = random.Random(3)
+    long = "".join(r.choice(word) for _ in range(400_000))
+    b = bpe.WordBpe(tokenizer_path("word_bpe_49k.json"))
+    start = time.perf_counter()
+    flat, _ = b.encode_words([long])
+    assert time.perf_counter() - start < 5
+    from tokenizers import Tokenizer
+
+    assert flat.tolist() == Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")).encode(long, add_special_tokens=False).ids
+
+
 def frame(spark, texts):
     rows = [(i, t, i, "z") for i, t in enumerate(texts)] + [(None, "null id", 0, ""), (0, texts[0], 0, "")]
     return spark.createDataFrame(rows, "doc_id long, text string, id int, n_words string")
