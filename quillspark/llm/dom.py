@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 from html import unescape
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_LONG_REFERENCE = re.compile(r"&#[0-9]{20,}+;?")
+#: Deeper elements become siblings, as in browsers; so no step looks through more open elements.
+MAX_DEPTH = 512
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
@@ -32,31 +36,65 @@ class Node:
         self.parts: list[tuple[int, str]] = []
 
 
+def text_of(raw: str) -> str:
+    """Character references decoded; one whose number no code point has stands for the replacement sign."""
+    return unescape(_LONG_REFERENCE.sub("\ufffd", raw) if "&#" in raw else raw) if "&" in raw else raw
+
+
 def attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw else {}
+    return {m[1].lower(): text_of(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw else {}
 
 
 def parse(html: str) -> tuple[list[Node], int]:
     """All elements in page order, the root first, and the number of ordinals given to pieces of text and breaks.
 
     Text pieces carry an ordinal; block borders take one too, as an empty piece, so that the pieces of any choice of
-    elements can be put in order with the blocks still apart. Unclosed and crossing tags are mended as browsers do.
+    elements can be put in order with the blocks still apart. Unclosed and crossing tags are mended as browsers do; a
+    tag that the page's end cuts off is dropped, and where a quote in a tag is never closed, tags end at the next `>`
+    from there on. Time follows the page's length, whatever is in it.
     """
     root = Node("#root", "", None, 0)
     nodes, stack, at, order = [root], [root], 0, 0
-    end = len(html)
-    find = _TOKEN.search
+    end, last = len(html), html.rfind(">")
+    quotes = True
     while at < end:
-        m = find(html, at)
-        stop = m.start() if m else end
+        stop = at
+        while True:  # the next mark-up; a sign that begins none is text
+            stop = html.find("<", stop)
+            sign = html[stop + 1 : stop + 2]
+            if stop < 0 or sign in ("!", "?") and sign or sign.isascii() and (sign.isalpha() or sign == "/" and html[stop + 2 : stop + 3].isascii() and html[stop + 2 : stop + 3].isalpha()):
+                break
+            stop += 1
+        stop = end if stop < 0 else stop
         if stop > at:
             order += 1
-            stack[-1].parts.append((order, unescape(html[at:stop])))
-        if m is None:
+            stack[-1].parts.append((order, text_of(html[at:stop])))
+        if stop == end:
+            break
+        if sign == "!" and html.startswith("<!--", stop):
+            at = html.find("-->", stop + 4) + 3
+            at = end if at < 3 else at
+            continue
+        if sign == "!" and html.startswith("<![CDATA[", stop):
+            at = html.find("]]>", stop + 9) + 3
+            at = end if at < 3 else at
+            continue
+        if stop > last:
             break
-        at = m.end()
-        if m[2]:
-            tag = m[2].lower()
+        if not sign.isalpha() and sign != "/":
+            at = html.find(">", stop) + 1
+            continue
+        name = _NAME.match(html, stop + 1 + (sign == "/"))
+        tag, first = name[0].lower(), name.end()
+        rest = _REST.match(html, first) if quotes and sign != "/" else None
+        if rest:
+            at = rest.end()
+        else:
+            quotes = quotes and sign == "/"
+            at = html.find(">", first) + 1
+            if at == 0:
+                break
+        if sign != "/":
             if tag in _ENDS_P:
                 _close(stack, {"p"}, _SCOPE)
             if tag in _CLOSES:
@@ -66,18 +104,18 @@ def parse(html: str) -> tuple[list[Node], int]:
                 stack[-1].parts.append((order, ""))
             if tag in VOID:
                 continue
-            node = Node(tag, m[3], stack[-1], order)
-            if m[3] and m[3].endswith("/") and tag in ("svg", "math"):
+            attrs = html[first : at - 1]
+            node = Node(tag, attrs, stack[-1], order)
+            if attrs.endswith("/") and tag in ("svg", "math"):
                 continue
             stack[-1].children.append(node)
             nodes.append(node)
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
+                close = re.compile(rf"</{re.escape(tag)}[^>]*+>", re.I).search(html, at, last + 1)
                 at = close.end() if close else end
-            else:
+            elif len(stack) < MAX_DEPTH:
                 stack.append(node)
-        elif m[1]:
-            tag = m[1].lower()
+        else:
             if tag in BLOCK:
                 order += 1
                 stack[-1].parts.append((order, ""))

@@ -154,6 +154,17 @@ def decode(nodes: list[Node], log_odds: np.ndarray, switch: float = 1.0) -> list
     return [s == 1 for s in state]
 
 
+def outside_boilerplate(nodes: list[Node]) -> list[bool]:
+    """For each element, whether neither it nor an ancestor names boilerplate by its tag or its attribute tokens."""
+    place = {id(x): i for i, x in enumerate(nodes)}
+    body = 1 << list(TOKENS).index("body")
+    out: list[bool] = []
+    for x in nodes:
+        own = x.tag not in _BAD_TAG and x.tag not in _NEVER and not tokens(x.attrs) & ~body
+        out.append(own and (x.parent is None or out[place[id(x.parent)]]))
+    return out
+
+
 def assemble(nodes: list[Node], chosen: list[bool]) -> str:
     """The chosen elements' text in page order: one space between blocks and for white space within them."""
     parts = [p for x, c in zip(nodes, chosen, strict=True) if c for p in x.parts]
@@ -170,17 +181,19 @@ def _words(r: random.Random, n: int) -> str:
     return " ".join("".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(n))
 
 
-def _prose(r: random.Random, sentences: int) -> str:
+def _prose(r: random.Random, sentences: int, links: float = 0.12) -> str:
     out = []
     for _ in range(sentences):
         s = _words(r, r.randint(1, 18)).capitalize()
         if r.random() < 0.4:
             s = s.replace(" ", ", ", 1)
-        if r.random() < 0.15:
-            at = s.split(" ")
-            k = r.randrange(len(at))
-            at[k] = f"<{(t := r.choice(['b', 'i', 'em', 'strong', 'a href=/x', 'span', 'code']))}>{at[k]}</{t.split()[0]}>"
-            s = " ".join(at)
+        for tag, chance, most in ((r.choice(["b", "i", "em", "strong", "span", "code"]), 0.13, 3), ('a href="/x"', links, 9)):
+            if r.random() < chance:
+                at = s.split(" ")
+                k = r.randrange(len(at))
+                n = r.randint(1, most)
+                at[k : k + n] = [f"<{tag}>{' '.join(at[k : k + n])}</{tag.split()[0]}>"]
+                s = " ".join(at)
         out.append(s + r.choice(["...", ".", ".", ".", "?", "!"]))
     return " ".join(out)
 
@@ -225,21 +238,23 @@ def _article(r: random.Random) -> str:
     elif style < 0.9:
         a, b = _named(r, "body", r.choice(["div", "div", "section"]))
     else:
-        a, b = "<div>", "</div>"
+        a, b = r.choice(["<div>", f'<div class="{_words(r, 1)}-{r.randint(1, 99)}">', "<td>"]), "</div>"
+        b = "</td>" if a == "<td>" else b
     parts = [f"<h1>{_words(r, r.randint(1, 12))}</h1>"] if r.random() < 0.8 else []
     if r.random() < 0.15:
         parts = [f"<header>{''.join(parts) or '<h1>' + _words(r, 4) + '</h1>'}</header>"]
-    for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14])):
+    links = r.choice([0.0, 0.05, 0.15, 0.4, 0.8])
+    for _ in range(r.choice([1, 1, 2, 3, 3, 4, 6, 9, 14])):
         kind = r.random()
         close = "" if r.random() < 0.1 else "</p>"
         if kind < 0.72:
-            parts.append(f"<p>{_prose(r, r.choice([1, 1, 2, 4, 7]))}{close}")
+            parts.append(f"<p>{_prose(r, r.choice([1, 1, 2, 4, 7]), links)}{close}")
         elif kind < 0.77:
             parts.append(f"<p><b>{_prose(r, 2)}<br>")
         elif kind < 0.82:
             parts.append(f"<h2>{_words(r, r.randint(1, 6))}</h2>")
         elif kind < 0.87:
-            parts.append("<ul>" + "".join(f"<li>{_prose(r, 1)}" for _ in range(r.randint(2, 5))) + "</ul>")
+            parts.append("<ul>" + "".join(f"<li>{_prose(r, 1, links)}" for _ in range(r.randint(2, 5))) + "</ul>")
         elif kind < 0.9:
             parts.append(f"<blockquote><p>{_prose(r, 2)}</p></blockquote>")
         elif kind < 0.92:
@@ -249,7 +264,7 @@ def _article(r: random.Random) -> str:
         elif kind < 0.96:
             parts.append(f"<figure><img src=x><figcaption>{_prose(r, 1)}</figcaption></figure>")
         else:
-            parts.append(f"<div>{_prose(r, 3)}</div>")
+            parts.append(f"<div>{_prose(r, 3, links)}</div>")
     if r.random() < 0.35:
         for _ in range(r.randint(1, 2)):
             parts.insert(r.randint(1, len(parts)), _boiler(r))
@@ -259,11 +274,14 @@ def _article(r: random.Random) -> str:
     return a.replace(">", " data-l=c>", 1) + inner + b
 
 
-def sample_pages(count: int = 420, seed: int = 11) -> list[str]:
+def sample_pages(count: int = 600, seed: int = 11) -> list[str]:
     """Pages of many layouts; data-l marks main text (c) and boilerplate (b)."""
     r = random.Random(seed)
     out = []
     for _ in range(count):
+        if r.random() < 0.08:  # nothing but paragraphs, some of a few words
+            out.append("<html><body data-l=c>" + "".join(f"<p>{r.choice([_words(r, r.randint(1, 4)), _prose(r, r.randint(1, 4))])}" for _ in range(r.randint(1, 6))))
+            continue
         before = [_boiler(r) for _ in range(r.randint(0, 4))]
         after = [_boiler(r) for _ in range(r.randint(0, 4))]
         body = "".join(before) + _article(r) + "".join(after)
@@ -302,6 +320,7 @@ def model() -> boosting.Trees:
 
 
 def extract_pages(pages: list[str], trees: boosting.Trees) -> list[str]:
+    """The main text of each page; where the best labelling has none, the text that nothing marks as boilerplate."""
     parsed = [parse(h)[0] for h in pages]
     if not parsed:
         return []
@@ -309,7 +328,8 @@ def extract_pages(pages: list[str], trees: boosting.Trees) -> list[str]:
     out: list[str] = []
     at = 0
     for nodes in parsed:
-        out.append(assemble(nodes, decode(nodes, odds[at : at + len(nodes)])))
+        text = assemble(nodes, decode(nodes, odds[at : at + len(nodes)]))
+        out.append(text or assemble(nodes, outside_boilerplate(nodes)))
         at += len(nodes)
     return out
 

@@ -1,6 +1,10 @@
+import itertools
 import random
+import time
 
 import numpy as np
+import pytest
+from layouts import PAGES
 from pyspark.sql import functions as F
 from quillspark.llm import boosting, dom, extraction, topk
 
@@ -117,6 +121,66 @@ def test_layouts_not_seen_in_fitting():
     assert right >= 0.8 * len(some)
 
 
+def test_hand_written_layouts():
+    got = extraction.extract_pages([html for html, _, _ in PAGES], extraction.model())
+    there = [(s, t) for (_, want, _), t in zip(PAGES, got, strict=True) for s in want]
+    assert sum(s in t for s, t in there) >= 0.97 * len(there) and all(got)
+    assert [(s, t) for (_, _, unwanted), t in zip(PAGES, got, strict=True) for s in unwanted if s in t] == []
+
+
+def test_decoding_is_the_best_labelling():
+    r = random.Random(7)
+    for _ in range(60):
+        n = r.randint(1, 7)
+        nodes = [dom.Node("#root", "", None, 0)]
+        for k in range(n):
+            parent = r.choice(nodes)
+            nodes.append(dom.Node(r.choice(["div", "p", "script"]), "", parent, k))
+            parent.children.append(nodes[-1])
+        for x in nodes:
+            if r.random() < 0.6:
+                x.parts.append((0, "text"))
+        odds = np.array([r.uniform(-4, 4) for _ in nodes])
+        place = {id(x): i for i, x in enumerate(nodes)}
+
+        def total(states):
+            out = 0.0
+            for i, (x, s) in enumerate(zip(nodes, states, strict=True)):
+                above = states[place[id(x.parent)]] if i else 0
+                if above == 2 and s != 2 or above == 1 and s == 0:
+                    return -np.inf
+                has, never = bool(x.parts), x.tag == "script"
+                weight = 3.0 if has else 1.0
+                yes, no = -np.log1p(np.exp(-odds[i])), -np.log1p(np.exp(odds[i]))
+                out += (no * weight if has else -0.35) if s == 0 else (-1e9 if never else weight * yes) if s == 1 else 0.0 if never else weight * no
+                if i:
+                    out -= 0.2 if s == 1 and above == 0 else 1.0 if s == 2 and above == 1 else 0.0
+            return out
+
+        best = max(itertools.product(range(3), repeat=len(nodes)), key=total)
+        assert extraction.decode(nodes, odds) == [s == 1 for s in best]
+
+
+@pytest.mark.parametrize("html", ["<a" * 500_000, "<" + "x" * 1_000_000, '<a ">"' * 150_000 + "'", "<script>" + "</script" * 120_000, "<p><div>" + "<b>" * 100_000 + "<hr>" * 100_000, "&#" + "1" * 1_000_000 + ";", "<a b=" + "\"" * 999_999, "<div" + " " * 1_000_000 + ">x"], ids=range(8))
+def test_odd_pages_take_little_time(html):
+    start = time.perf_counter()
+    dom.parse(html)
+    assert time.perf_counter() - start < 6
+
+
+def test_mark_up_that_the_end_cuts_off_is_no_text():
+    trees = extraction.model()
+    assert extraction.extract_pages(["<p>Whole text here.</p><div cla", "<p>1 < 2 and <3 you.</p>", '<p title="a>First.</p><p>Second.</p>', "<p>x</p><!-- open"], trees) == ["Whole text here.", "1 < 2 and <3 you.", "First. Second.", "x"]
+
+
+def test_pages_of_every_kind_of_row(spark):
+    kind = "page_id long, url string, html string, text string, n_chars int"
+    assert extraction.extract(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, None, "<p>One line.</p>", "t", 1), (1, None, "<p>One line.</p>", "t", 1), (None, "u", None, None, None), (2, "v", "<p>" + "long " * 200_000 + "</p>", "", 0)]
+    got = sorted((r.page_id or 0, r.url or "", r.text[:9], r.n_chars) for r in extraction.extract(spark.createDataFrame(rows, kind)).collect())
+    assert got == [(0, "u", "", 0), (1, "", "One line.", 9), (1, "", "One line.", 9), (2, "v", "long long", 999_999)]
+
+
 def test_boosting_separates():
     r = np.random.default_rng(0)
     x = r.normal(size=(800, 4))
