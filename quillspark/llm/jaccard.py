@@ -1,25 +1,29 @@
 """N-gram Jaccard join.
 
-A document is the set of its distinct word n-grams. Equal sets are one class. Within each class representative's set
-the n-grams stand rare first, by their counts over all documents (a sketch of fixed size holds the counts; any counts
-give exact results, good ones give few candidates). Two sets that reach the threshold share an n-gram of their
-prefixes, so representatives meet on prefix n-grams only. Length and positional filters work on the meeting rows, the
-suffix filter on profiles of the sets' hash ranges; what remains is verified on the whole sets, once per pair.
-
-Groups of copies: pairs of one component need no further link. In each prefix n-gram's bucket all documents are first
-held against two of them, one being the document with the commonest prefix (of near copies the one that the others
+A document is the set of its distinct word n-grams. Equal sets are one class, and classes are the nodes of all that
+follows; a table of ids by class brings the documents back at the end. Within each class's set the n-grams stand rare
+first, by their counts over all documents (a sketch that grows with the text holds the counts; any counts give exact
+results, good ones give few candidates). Two sets that reach the threshold share an n-gram of their prefixes, so
+classes meet on prefix n-grams only. Length and positional filters work on the meeting rows, the suffix filter on
+profiles of the sets' hash ranges; what remains is verified on the whole sets, once per pair.
+
+Groups of copies: pairs of one component need no further link. In each prefix n-gram's bucket all classes are first
+held against two of them, one being the class with the commonest prefix (of near copies the one that the others
 were made from). Components are formed, and only buckets that still hold several components are looked at again, by
-all pairs of different components: small buckets by a self-join, large ones in blocks that filter within a task and
-give out only pairs that pass every filter, in the bucket of the pair's first common n-gram alone. No link that could
-join two components is left out, so the components are exact.
+all pairs of different components: small buckets by a self-join, large ones cut by set size, so that only sizes that
+may link meet, and then in blocks that filter within a task and give out only pairs that pass every filter, in the
+bucket of the pair's first common n-gram alone. No link that could join two components is left out, so the components
+are exact.
 
 Edge cases: null, empty and blank texts have empty sets and link with nothing; texts of fewer words than n have one
-n-gram, their whole sequence; rows without id keep their counts, with a null component; rows of one id count as one
-document; an empty table gives an empty result; extra columns are ignored. Sets are 64-bit hashes of n-grams.
+n-gram, their whole sequence; rows without id keep their counts, with a null component; rows of one id belong to one
+document and one component, whatever their texts, and each row shows its own set's size; an empty table gives an empty
+result; extra columns are ignored. Sets hold 64-bit hashes of n-grams.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -33,8 +37,9 @@ from pyspark.sql import functions as F
 from .common import SPACES, Workspace, broadcast_below, combine, map_texts, parts, row_groups, run_hashes, runs, slim, string_column, text_buffer
 from .components import connected_components
 
-#: Size of the sketch of counts, of the parts it is summed in, and of a set's profile, as powers of two.
-SKETCH_BITS = 22
+#: Least and greatest size of the sketch of counts, size of the parts it is summed in and of a set's profile, as powers
+#: of two. Between its bounds the sketch has a slot for every 64 bytes of text.
+SKETCH_BITS = (14, 26)
 CHUNK_BITS = 14
 PROFILE_BITS = 6
 #: Buckets of more rows are compared in blocks of so many rows.
@@ -79,26 +84,35 @@ def _profiles(raw: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raw), "<u4").reshape(len(raw), -1).astype(np.int64)
 
 
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def sketch_bits(size: int) -> int:
+    """The sketch for so many bytes of text."""
+    return min(max((size // 64).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+
+
+def set_key(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
+def signatures(df: DataFrame, id_col: str, text_col: str, n: int, bits: int) -> DataFrame:
     """Per row id, set size and a 128-bit key of the set; and per task the counts of the n-grams, in packed chunks."""
     want = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n", "key", "chunk", "counts"]
-        counts, size, pack = np.zeros(1 << SKETCH_BITS, np.uint32), 1 << CHUNK_BITS, zstandard.ZstdCompressor(level=1)
+        counts, size, pack = np.zeros(1 << bits, np.uint16), 1 << CHUNK_BITS, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             raw, off = text_buffer(string_column(batch, "text"))
             for lo, hi in row_groups(off):
                 sets = shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
-                slots = np.sort(_slot(np.concatenate([*sets, np.zeros(0, np.uint64)])))
+                slots = np.sort(_slot(np.concatenate([*sets, np.zeros(0, np.uint64)]), bits))
                 at = np.flatnonzero(np.diff(slots, prepend=-1))
-                counts[slots[at]] += np.diff(at, append=len(slots)).astype(np.uint32)
+                counts[slots[at]] = np.minimum(counts[slots[at]] + np.diff(at, append=len(slots)), 65_535)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names
+                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names
                 )
         chunks = [k for k in range(len(counts) // size) if counts[k * size : (k + 1) * size].any()]
         yield pa.RecordBatch.from_arrays(
@@ -108,8 +122,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return want.mapInArrow(run, "id bigint, n bigint, key binary, chunk int, counts binary")
 
 
-def sketch(rows: DataFrame) -> np.ndarray:
-    """Ranks of the summed counts, one byte for each slot of a sketch of fixed size, whatever the input."""
+def sketch(rows: DataFrame, bits: int) -> np.ndarray:
+    """Ranks of the summed counts, one byte for each slot of the sketch."""
     size = 1 << CHUNK_BITS
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,19 +131,19 @@ def sketch(rows: DataFrame) -> np.ndarray:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(unpack.decompress(raw), np.uint32).astype(np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(unpack.decompress(raw), np.uint16).astype(np.int64)
         ranks = [np.minimum(np.rint(8 * np.log2(1 + v)), 255).astype(np.uint8).tobytes() for v in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], names=["chunk", "ranks"])
 
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    out = np.zeros(1 << bits, np.uint8)
     for r in rows.where("chunk is not null").select("chunk", "counts").repartition(parts(rows), "chunk").mapInArrow(add, "chunk int, ranks binary").collect():
         out[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(r.ranks, np.uint8)
     return out
 
 
 def prefixes(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """Per row id, set size, the prefix n-grams rare first, their mean rank, and the set's profile."""
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    """Per row id, set size and key, the prefix n-grams rare first, their mean rank, and the set's profile."""
+    shared, bits = df.sparkSession.sparkContext.broadcast(ranks), len(ranks).bit_length() - 1
 
     def fn() -> Callable:
         rank = shared.value
@@ -138,20 +152,20 @@ def prefixes(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, ra
             first, weight, sets = [], [], shingle_sets(data, off, n)
             for own in sets:
                 k = prefix_length(len(own), percent) if len(own) else 0
-                of = rank[_slot(own)]
+                of = rank[_slot(own, bits)]
                 at = np.argsort(of, kind="stable")[:k]
                 first.append(own[at])
                 weight.append(float(of[at].mean()) if k else 0.0)
             upto = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
             flat = np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)
             return {
-                "id": batch.column(0), "n": np.array([len(s) for s in sets], np.int64), "prefix": pa.ListArray.from_arrays(pa.array(upto), pa.array(flat)),
+                "id": batch.column(0), "n": np.array([len(s) for s in sets], np.int64), "key": pa.array([set_key(s) for s in sets], pa.binary()), "prefix": pa.ListArray.from_arrays(pa.array(upto), pa.array(flat)),
                 "weight": np.array(weight, float), "profile": pa.array([profile(s) for s in sets], pa.binary()),
             }
 
         return work
 
-    return map_texts(df, fn, "id bigint, n bigint, prefix array<bigint>, weight double, profile binary", id_col, text_col)
+    return map_texts(df, fn, "id bigint, n bigint, key binary, prefix array<bigint>, weight double, profile binary", id_col, text_col)
 
 
 def block_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, profiles: np.ndarray, prefix: list, gram: int, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -213,7 +227,8 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 class JaccardJoin:
-    """One run over one table; `components` (node, root) and `links` (a, b) are its results."""
+    """One run over one table; `components` (node, root) and the verified `links` (a, b) are its results, all by the node
+    numbers of the table `classes` (key, rep, node), in which `rep` is the smallest id of a class."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int, percent: int):
         self.spark, self.n, self.percent = df.sparkSession, n, percent
@@ -221,28 +236,34 @@ class JaccardJoin:
         self.docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
         self._run()
 
-    def _sets_of(self, ids: DataFrame, count: int) -> DataFrame:
-        """Whole sets of some documents, as bytes."""
+    def _sets_of(self, nodes: DataFrame, count: int) -> DataFrame:
+        """Whole sets of some classes, as bytes, from the texts of their representatives."""
 
         def fn() -> Callable:
-            return lambda data, off, batch: {"id": batch.column(0), "grams": pa.array([s.tobytes() for s in shingle_sets(data, off, n)], pa.binary())}
+            def work(data: np.ndarray, off: np.ndarray, batch: pa.RecordBatch) -> dict:
+                sets = shingle_sets(data, off, n)
+                return {"id": batch.column(0), "key": pa.array([set_key(s) for s in sets], pa.binary()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())}
+
+            return work
 
         n = self.n
-        some = self.docs.join(broadcast_below(ids, count), "id", "left_semi")
-        return map_texts(some, fn, "id bigint, grams binary", "id", "text").dropDuplicates(["id"])
+        some = self.space.get("classes").join(broadcast_below(nodes, count), "node", "left_semi").select(F.col("rep").alias("id"), "key", "node")
+        texts = self.docs.join(broadcast_below(some.select("id"), count), "id", "left_semi")
+        found = map_texts(texts, fn, "id bigint, key binary, grams binary", "id", "text")
+        return found.join(broadcast_below(some, count), ["id", "key"]).dropDuplicates(["id", "key"]).select("node", "grams")
 
     def _links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Verified links among distinct candidate pairs (a, b)."""
         space = self.space
         info = space.get("info")
-        left, right = info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa")), info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
+        left, right = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa")), info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
         full = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
         rest = space.put(slim(_filter_profiles(full, self.percent)), f"pairs-{name}")
-        ids = space.put(slim(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()), f"ids-{name}")
-        sets = space.put(self._sets_of(ids, ids.count()), f"sets-{name}")
-        full = rest.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+        nodes = space.put(slim(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()), f"nodes-{name}")
+        sets = space.put(self._sets_of(nodes, nodes.count()), f"sets-{name}")
+        full = rest.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
         out = space.put(slim(_verify(full.select("a", "b", "ga", "gb"), self.percent)), f"links-{name}")
-        space.drop(f"sets-{name}")
+        space.drop(f"sets-{name}", f"pairs-{name}", f"nodes-{name}")
         return out
 
     def _candidates(self, meeting: DataFrame) -> DataFrame:
@@ -259,64 +280,88 @@ class JaccardJoin:
 
     def _run(self) -> None:
         space, percent = self.space, self.percent
-        signs = space.put(signatures(self.docs, "id", "text", self.n), "signatures")
+        bits = sketch_bits(self.docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+        signs = space.put(signatures(self.docs, "id", "text", self.n, bits), "signatures")
         self.rows = signs.where("chunk is null").select("id", "n", "key")
-        ranks = sketch(signs)
-        classes = space.put(slim(self.rows.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"))), "classes")
-        reps = classes.select(F.col("rep").alias("id")).distinct()
+        ranks = sketch(signs, bits)
+        named = self.rows.where("n > 0 and id is not null")
+        classes = slim(named.groupBy("key").agg(F.min("id").alias("rep"))).withColumn("node", F.monotonically_increasing_id())
+        classes = space.put(classes, "classes")
         before = prefixes(self.docs, "id", "text", self.n, percent, ranks).where("n > 0")
-        info = space.put(before.join(reps, "id", "left_semi").dropDuplicates(["id"]), "info")
-        # Rows whose n-gram is in another prefix too, and all documents of a bucket against two of them.
-        grams = info.select("id", F.col("n").cast("int").alias("n"), F.col("weight").cast("float").alias("weight"), F.posexplode("prefix").alias("i", "gram"))
-        shared = grams.groupBy("gram").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("gram").repartition(parts(info))
+        info = before.join(classes.withColumnRenamed("rep", "id"), ["id", "key"]).dropDuplicates(["id", "key"]).drop("id", "key")
+        info = space.put(info, "info")
+        # Rows whose n-gram is in another prefix too, and all classes of a bucket against two of them.
+        grams = info.select("node", F.col("n").cast("int").alias("n"), F.col("weight").cast("float").alias("weight"), F.posexplode("prefix").alias("i", "gram"))
+        shared = grams.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("gram").repartition(parts(info))
         meets = space.put(grams.join(shared, "gram"), "meets")
-        who, order = F.struct("id", "n", "i"), F.xxhash64("id")
+        who, order = F.struct("node", "n", "i"), F.xxhash64("node")
         hubs = meets.groupBy("gram").agg(F.max(F.struct("weight", order.alias("h"), who.alias("w"))).alias("x"), F.min(F.struct(order.alias("h"), who.alias("w"))).alias("y"))
         hubs = hubs.select("gram", F.array_distinct(F.array("x.w", "y.w")).alias("hubs")).repartition(parts(info))
-        near = meets.join(hubs, "gram").select(F.col("id").alias("a"), F.col("n").alias("na"), "i", F.explode("hubs").alias("hub")).select("a", "na", "i", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.i").alias("j"))
+        near = meets.join(hubs, "gram").select(F.col("node").alias("a"), F.col("n").alias("na"), "i", F.explode("hubs").alias("hub")).select("a", "na", "i", F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.i").alias("j"))
         links = self._links(self._candidates(near), "hubs")
         roots = space.put(slim(connected_components(links, space, "components-1")), "roots-1")
         # Buckets that still hold several components: all pairs of different ones.
-        own = meets.select("gram", "id", "n", "i").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+        own = meets.select("gram", "node", "n", "i").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         mixed = own.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x < y").select("gram", "size").repartition(parts(info))
         open_ = space.put(own.join(mixed, "gram"), "open")
         few = open_.where(F.col("size") <= SMALL_BUCKET)
-        x = few.select("gram", F.col("id").alias("a"), F.col("n").alias("na"), "i", F.col("comp").alias("ca"))
-        y = few.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), F.col("comp").alias("cb"))
+        x = few.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), "i", F.col("comp").alias("ca"))
+        y = few.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), F.col("comp").alias("cb"))
         close = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
         near = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "na", "i", "b", "nb", "j")
         pairs = self._candidates(near).unionByName(self._blocks(open_.where(F.col("size") > SMALL_BUCKET))).distinct()
         more = self._links(pairs, "rest")
-        # Links between components, and the components' components.
+        # Links between components, classes that share an id among them, and the components' components.
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        joined = more.unionByName(self._twins(named, classes))
+        between = joined.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         upper = space.put(slim(connected_components(between, space, "components-2")), "roots-2").select(F.col("node").alias("mid"), F.col("root").alias("top"))
         alone = upper.select(F.col("mid").alias("node"), F.col("mid").alias("root")).join(roots.select("node"), "node", "left_anti")
         joined = roots.unionByName(alone).join(upper, F.col("root") == F.col("mid"), "left").select("node", F.coalesce("top", "root").alias("root"))
         self.components, self.links = space.put(slim(joined), "components"), links.unionByName(more)
-        space.drop("meets", "open", "info")
+        space.drop("meets", "open", "info", "roots-1", "roots-2")
+
+    def _twins(self, named: DataFrame, classes: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes that hold rows of one id: each of an id's classes with the least of them."""
+        several = named.groupBy("id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("id")
+        own = named.join(several, "id", "left_semi").select("id", "key").distinct().join(classes.select("key", "node"), "key").select("id", "node")
+        least = own.groupBy("id").agg(F.min("node").alias("a"))
+        return own.join(least, "id").select("a", F.col("node").alias("b")).where("a < b")
 
     def _blocks(self, rows: DataFrame) -> DataFrame:
-        """Candidate pairs (a, b) of large buckets, block by block; a group holds two blocks of rows at most."""
+        """Candidate pairs (a, b) of large buckets, block by block; a group holds two blocks of rows at most. Blocks are
+        cut within ranges of set sizes so wide that linked sets lie in one range or in neighbouring ones."""
         percent = self.percent
-        info = self.space.get("info").select("id", "prefix", "profile")
-        dealt = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int"))
-        spread = dealt.select("gram", "id", "n", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        keyed = spread.select("gram", "id", "n", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).join(info, "id")
+        info = self.space.get("info").select("node", "prefix", "profile")
+        width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+        ranged = rows.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("bigint"))
+        shape = ranged.groupBy("gram", "c").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+        shape = shape.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("c", "blocks"))).alias("shape"))
+        at = lambda k: F.coalesce(F.try_element_at("shape", F.col("c") + F.lit(k)), F.lit(0))
+        dealt = ranged.join(shape, "gram").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), at(0)).cast("int"))
+        upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        within = F.transform(upto(at(0)), lambda o: F.struct(F.col("c").alias("c"), F.least("block", o).alias("p"), F.lit(0).alias("step"), F.greatest("block", o).alias("q")))
+        above = F.transform(upto(at(1)), lambda o: F.struct(F.col("c").alias("c"), F.col("block").alias("p"), F.lit(1).alias("step"), o.alias("q")))
+        below = F.transform(upto(at(-1)), lambda o: F.struct((F.col("c") - 1).alias("c"), o.alias("p"), F.lit(1).alias("step"), F.col("block").alias("q")))
+        spread = dealt.select("gram", "node", "n", "comp", F.col("c").alias("own"), "block", F.explode(F.concat(within, above, below)).alias("k")).select("gram", "node", "n", "comp", "own", "block", "k.*")
+        keyed = spread.join(info, "node")
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            block, p, q = pdf["block"].to_numpy(), int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-            left = np.flatnonzero(block == p)
-            right = left if p == q else np.flatnonzero(block == q)
-            got = block_pairs(pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["n"].to_numpy(), _profiles(pdf["profile"].tolist()), [x.tolist() for x in pdf["prefix"]], int(pdf["gram"].iloc[0]), left, right, percent)
+            block, own = pdf["block"].to_numpy(), pdf["own"].to_numpy()
+            c, p, step, q = (int(pdf[k].iloc[0]) for k in ("c", "p", "step", "q"))
+            left = np.flatnonzero((block == p) & (own == c))
+            right = left if not step and p == q else np.flatnonzero((block == q) & (own == c + step))
+            got = block_pairs(pdf["node"].to_numpy(), pdf["comp"].to_numpy(), pdf["n"].to_numpy(), _profiles(pdf["profile"].tolist()), [x.tolist() for x in pdf["prefix"]], int(pdf["gram"].iloc[0]), left, right, percent)
             return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
 
-        return keyed.groupBy("gram", "p", "q").applyInPandas(run, "a bigint, b bigint")
+        return keyed.groupBy("gram", "c", "p", "step", "q").applyInPandas(run, "a bigint, b bigint")
 
     def result(self) -> DataFrame:
         """Per row of the input: id, set size, component."""
-        classes = self.space.get("classes").join(self.components, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("component_id"))
-        out = self.rows.join(classes, "key", "left")
+        classes = self.space.get("classes").join(self.components, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = classes.groupBy("root").agg(F.min("rep").alias("component_id")).repartition(parts(classes))
+        of_class = classes.join(least, "root").select("key", "component_id")
+        out = self.rows.join(of_class, "key", "left")
         return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -328,6 +373,8 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `df` whose id is the smallest of their component; rows of one id stay or go together, rows without id stay."""
     found = JaccardJoin(df, id_col, text_col, n, percent)
-    gone = found.result().where("id != component_id").select(F.col("id").alias("__gone")).distinct()
+    mark = next(f"__gone{k}" for k in range(len(df.columns) + 1) if f"__gone{k}" not in {c.lower() for c in df.columns})
+    gone = found.result().where("id != component_id").select(F.col("id").alias(mark)).distinct()
     gone = found.space.put(slim(gone), "gone")
-    return df.join(broadcast_below(gone, gone.count(), 100_000), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    found.space.drop("signatures", "classes", "components", "links-hubs", "links-rest")
+    return df.join(broadcast_below(gone, gone.count(), 100_000), df[f"`{id_col}`"].cast("bigint") == F.col(mark), "left_anti")

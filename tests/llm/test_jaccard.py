@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from itertools import permutations
 
 import pytest
 from quillspark.llm import jaccard
@@ -59,6 +61,41 @@ def test_components_equal_brute_force(spark, monkeypatch, n, percent):
     assert got == brute(rows, n, percent)
 
 
+def test_an_id_with_two_texts_joins_both_groups(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y")]
+    for order in list(permutations(rows))[::11]:
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        assert sorted((r.doc_id, r.component_id) for r in jaccard.join_components(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def thue_morse(n):
+    low = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return low, low.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_that_fool_polynomial_hashes_stay_apart(spark):
+    x, y = thue_morse(1024)
+    lines = [" ".join(["w", *t, "w"]) for t in (x, y)]
+    rows = [(1, x), (2, y), (3, x + " q"), (4, y + " q"), *((5 + i, t) for i, t in enumerate(lines))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_components(df).collect()) == brute(rows, 4, 85)
+
+
+def test_sizes_that_may_link_lie_in_neighbouring_ranges():
+    for percent in (80, 85, 99):
+        width = math.log(100 / percent) * (1 + 1e-9)
+        for n in range(1, 5000):
+            assert math.floor(math.log(n * 100 // percent) / width) - math.floor(math.log(n) / width) <= 1
+
+
+def test_columns_of_other_tables_do_not_clash(spark):
+    base = " ".join(f"a{i}" for i in range(50))
+    df = spark.createDataFrame([(3, base, 1, 2, 3), (9, base, 1, 2, 3)], "doc_id long, text string, __gone0 int, id int, node int")
+    assert [tuple(r) for r in jaccard.keep_one(df).collect()] == [(3, base, 1, 2, 3)]
+    assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
 def test_keep_one_leaves_a_row_of_each_group(spark):
     base = " ".join(f"a{i}" for i in range(50))
     rows = [(3, base), (9, base), (5, base + " more"), (7, "else where is it now then"), (8, None), (None, base)]
