@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 #: Longer runs of bytes are hashed and compared one by one.
 LONG_RUN = 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
