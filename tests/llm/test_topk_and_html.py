@@ -39,30 +39,59 @@ def test_few_rows(spark):
     assert run(spark, [(0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 256 * 512)]
 
 
+def searched(data, ids, k=5):
+    s = topk.DualSearch(data[ids % 50 == 0], ids[ids % 50 == 0], data, ids, k)
+    s.run()
+    exact = data[ids % 50 == 0] @ data.T
+    exact[ids[ids % 50 == 0][:, None] == ids[None, :]] = -np.inf
+    assert (np.sort(exact, axis=1)[:, ::-1][:, :k] == s.scores).all()
+    return s, exact.size
+
+
 def test_clusters_are_pruned():
     r = np.random.default_rng(2)
-    centres = 1000 * r.normal(size=(20, 16))
-    data = np.floor(np.repeat(centres, 200, axis=0) + r.normal(size=(4000, 16)))
-    ids = np.arange(4000)
-    s = topk.DualSearch(data[::50], ids[::50], data, ids, 5)
-    s.run()
-    leaves = lambda t: sum(x is not None for x in t.rows)
-    assert s.pairs < 0.5 * leaves(s.q) * leaves(s.d)
-    exact = data[::50] @ data.T
-    exact[np.arange(80), ids[::50]] = -np.inf
-    assert (np.sort(exact, axis=1)[:, ::-1][:, :5] == s.scores).all()
+    for noise, most in ((1.0, 0.1), (60.0, 0.5)):
+        data = np.floor(np.repeat(300 * r.normal(size=(20, 16)), 200, axis=0) + noise * r.normal(size=(4000, 16)))
+        s, pairs = searched(data, np.arange(4000))
+        assert s.pruned > 0 and s.products < most * pairs
+
+
+def test_the_registered_vectors_go_through_trees_of_several_levels(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", topk.integer_vectors(F.col("embedding"), 256).alias("v")).where("v is not null").orderBy("vec_id").collect()
+        s, pairs = searched(np.array([r.v for r in rows]), np.array([r.vec_id for r in rows]))
+        depth = [0]
+        for p in s.d.parent[1:].tolist():
+            depth.append(depth[p] + 1)
+        assert max(depth) >= 3 and s.d.is_leaf.sum() > 100 and s.tested > 1_000 and s.pruned > 100 and s.products < pairs
+
+
+def test_cells_are_pruned(spark):
+    r = np.random.default_rng(5)
+    centres = 100 * r.normal(size=(8, 6))
+    rows = [(i, (centres[i % 8] + 0.1 * r.normal(size=6)).astype("float32").tolist()) for i in range(800)]
+    assert run(spark, rows, query_block=8, data_block=50) == brute(rows)
+    pivots = np.array([[100.0, 0.0], [-100.0, 0.0], [0.0, 1.0]])
+    assert topk.cell_pairs(pivots, {0: 1.0, 1: 1.0}, {0: 1.0, 1: 1.0, 2: 1.0}, {0: 5000.0, 1: -np.inf}) == [(0, 0), (1, 0), (1, 1), (1, 2)]
+
+
+def test_a_hot_id_and_equal_vectors(spark):
+    rows = [(7, [1.0, 0.0])] * 60 + [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0])] + [(100 + i, [0.5, 0.5]) for i in range(1, 40)]
+    got = run(spark, rows, query_block=4, data_block=16)
+    assert [x for x in got if x[0] == 0] == [(0, i + 1, 7, 65_536) for i in range(5)]
 
 
 def test_radii_cover(spark):
     points = np.random.default_rng(3).normal(size=(900, 3))
     t = topk.CoverTree(points, leaf=16)
-
-    def rows(n):
-        return t.rows[n].tolist() if t.rows[n] is not None else [i for c in t.children[n] for i in rows(c)]
-
-    assert sorted(rows(0)) == list(range(900))
+    assert sorted(t.order.tolist()) == list(range(900))
     for n in range(len(t.radius)):
-        assert np.sqrt(((points[rows(n)] - t.centre[n]) ** 2).sum(1)).max() <= t.radius[n] + 1e-9
+        own = t.order[t.first[n] : t.last[n]]
+        assert np.sqrt(((points[own] - t.centre[n]) ** 2).sum(1)).max() <= t.radius[n] + 1e-9
+        below = range(t.child[n], t.child[n] + t.children[n])
+        assert not below or sorted(i for c in below for i in t.order[t.first[c] : t.last[c]].tolist()) == sorted(own.tolist())
+        gaps = [np.sqrt(((points[t.seed[x]] - points[t.seed[y]]) ** 2).sum()) for x in below for y in below if x < y]
+        assert all(g > t.reach[n] / 1.1 for g in gaps) and all(t.reach[c] <= t.reach[n] / 1.1 + 1e-9 for c in below)
 
 
 def pages(spark, html):
