@@ -2,7 +2,8 @@
 
 Base kinds are fixed patterns: assignments of secret-named values, access keys, long hex strings. The method adds
 spans of high entropy: over candidate strings a window slides, character counts are updated by one character in and
-one out, and the window's Shannon entropy is held against the limit of its character class. An allow-list suppresses
+one out, and the window's Shannon entropy is held against the limit of its character class: hexadecimal, letters alone,
+letters and digits, or these with signs. An allow-list suppresses
 known harmless forms. Spans are in code points, end exclusive.
 
 Edge cases: a null or empty text has no spans (and stays as it is under `redact`); null ids stay null; repeated rows
@@ -41,11 +42,16 @@ class EntropyRules:
     hex_limit: float = 3.0
     alphanumeric_limit: float = 3.7
     base64_limit: float = 3.9
-    #: Forms that are no secrets: UUIDs, digits alone, dates and versions, words in letters alone, file paths.
+    letters_limit: float = 3.7
+    #: Windows of letters alone need so many capitals and so many small letters, and so many changes of case from one
+    #: letter to the next, more where no two capitals stand side by side: words in camel case or capitals lack one of these.
+    letters_each: int = 6
+    letters_changes: int = 7
+    letters_changes_alone: int = 14
+    #: Forms that are no secrets: UUIDs, digits alone, dates and versions, file paths, names with a number.
     allowed: tuple[str, ...] = (
         r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
         r"[0-9_/=+-]+",
-        r"[A-Za-z_/=+-]+",
         r"(?:[A-Za-z]+[_/-])+[A-Za-z0-9]{0,6}",
         r"[A-Za-z_-]+[0-9]{1,4}",
     )
@@ -59,14 +65,14 @@ _MARKS = frozenset("+/=_-")
 def entropy_spans(text: str, rules: EntropyRules, allowed: re.Pattern) -> list[tuple[int, int]]:
     """Unions of the windows over their class's limit, within candidate strings."""
     out, w = [], rules.window
-    xlogx = [0.0] + [k * log2(k) for k in range(1, w + 1)]
+    xlogx = [0.0] + [k * log2(k) for k in range(1, w + 2)]
     top = log2(w)
     for m in CANDIDATE.finditer(text):
         s = m[0]
         if allowed.fullmatch(s):
             continue
         counts: dict[str, int] = {}
-        total, marks, lower, upper, digits = 0.0, 0, 0, 0, 0
+        total, marks, lower, upper, digits, capitals, changes, twins = 0.0, 0, 0, 0, 0, 0, 0, 0
         start = stop = -1
         for i, c in enumerate(s):
             k = counts.get(c, 0)
@@ -76,6 +82,10 @@ def entropy_spans(text: str, rules: EntropyRules, allowed: re.Pattern) -> list[t
             lower += c not in _LOWER_HEX
             upper += c not in _UPPER_HEX
             digits += c.isdigit()
+            capitals += c.isupper()
+            if i:
+                changes += c.isupper() != s[i - 1].isupper()
+                twins += c.isupper() and s[i - 1].isupper()
             if i >= w:
                 old = s[i - w]
                 k = counts[old]
@@ -85,8 +95,12 @@ def entropy_spans(text: str, rules: EntropyRules, allowed: re.Pattern) -> list[t
                 lower -= old not in _LOWER_HEX
                 upper -= old not in _UPPER_HEX
                 digits -= old.isdigit()
-            if i >= w - 1 and 0 < digits < w:
-                limit = rules.hex_limit if not lower or not upper else rules.base64_limit if marks else rules.alphanumeric_limit
+                capitals -= old.isupper()
+                changes -= old.isupper() != s[i - w + 1].isupper()
+                twins -= old.isupper() and s[i - w + 1].isupper()
+            mixed = not digits and not marks and changes >= (rules.letters_changes if twins else rules.letters_changes_alone) and rules.letters_each <= capitals <= w - rules.letters_each
+            if i >= w - 1 and (0 < digits < w or mixed):
+                limit = rules.letters_limit if not digits else rules.hex_limit if not lower or not upper else rules.base64_limit if marks else rules.alphanumeric_limit
                 if top - total / w >= limit:
                     if i - w + 1 > stop and stop >= 0:
                         out.append((m.start() + start, m.start() + stop))
