@@ -6,9 +6,13 @@ search starts at the first bin with enough room and walks on to the next roomier
 none is, a new bin opens. A bin never holds two documents of a cluster, nor more than `per_source` of a source (one
 bitmap per allowed document, filled in turn).
 
-Rows are dealt to shards of about `shard_rows` by a hash of id and ordinal, so a hot source or a large cluster is
-spread evenly; each shard is packed in decreasing size by one task whose memory the shard bounds. A longer document
-fills whole bins of its own, and its rest is packed with the others. Nothing is dropped or cut off.
+Rows are dealt to shards of about `shard_rows` by a hash of their contents, so a hot source or a large cluster is spread
+evenly and bins do not depend on how the files lie; equal rows are counted first and their copies dealt in lots of at
+most COPIES. Each shard is packed in decreasing size by one task whose memory the shard bounds. A longer document fills
+whole bins of its own, and its rest is packed with the others. Nothing is dropped or cut off.
+
+Clusters are any column of the table: `text_cluster` keys texts that are equal but for case and white space; component
+ids of near copies, as the n-gram Jaccard join gives them, serve as well.
 
 Edge cases: null or empty texts and null or negative sizes count as size 0, and such documents take place in the
 result with a bin and no room used; a null source or cluster conflicts with nothing; repeated rows are packed each on
@@ -24,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Equal rows are dealt to shards in lots of so many.
+COPIES = 64
 SCHEMA = "doc_id bigint, piece int, size bigint, bin_id bigint, position bigint"
 
 
@@ -77,11 +83,13 @@ def pack(df: DataFrame, id_col: str, size: Column, source: Column, cluster: Colu
         cluster.cast("bigint").alias("cluster_key"),
     )
     shards = max(1, -(-df.count() // shard_rows))
-    salted = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id() % F.lit(1 << 20)), F.lit(shards)))
+    lots = items.groupBy(*items.columns).agg(F.count("*").alias("copies")).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / COPIES))))
+    lots = lots.withColumn("copies", F.least(F.lit(COPIES), F.col("copies") - F.col("lot") * COPIES).cast("int"))
+    salted = lots.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "source_key", "cluster_key", "lot"), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         base = int(pdf["shard"].iloc[0]) << 32
-        pdf = pdf.sort_values(["size", "doc_id", "source_key", "cluster_key"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.loc[pdf.index.repeat(pdf["copies"])].sort_values(["size", "doc_id", "source_key", "cluster_key"], ascending=[False, True, True, True], kind="stable")
         sizes = pdf["size"].to_numpy()
         full = np.maximum(sizes - 1, 0) // capacity
         rest = sizes - full * capacity
