@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from .common import map_texts
-from .samples import labelled_sample, share_of
+from .samples import labelled_sample, logistic, share_of
 
 
 @dataclass(frozen=True)
@@ -70,18 +70,6 @@ def _dictionary(texts: list[bytes], size: int, block: int) -> bytes:
     return zstandard.train_dictionary(size, parts, k=400, d=8, steps=1, threads=1).as_bytes()
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
-    """Newton's method; the classes count by their number."""
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * len(x) * np.eye(len(w)), x.T @ (y - p) - ridge * len(x) * w)
-        w += move
-        if np.abs(move).max() < 1e-8:
-            break
-    return w
-
-
 def fit(bad: list[str], good: list[str], good_share: float = 0.87, dict_bytes: int = 1 << 16, block: int = 4_096, level: int = 3) -> CompressionModel:
     """Dictionaries from one half of each class, the curve from the other half, weighted to `good_share`."""
     raw = [[t.encode("utf-8", "replace") for t in x] for x in (bad, good)]
@@ -97,7 +85,7 @@ def fit(bad: list[str], good: list[str], good_share: float = 0.87, dict_bytes: i
     x = np.array([measure.features(t) for h in halves for t in h[1]])
     y = np.repeat([0.0, 1.0], [len(halves[0][1]), len(halves[1][1])])
     centre, spread = x.mean(0), x.std(0) + 1e-9
-    w = _logistic(np.column_stack([np.ones(len(x)), (x - centre) / spread]), y)
+    w = logistic(np.column_stack([np.ones(len(x)), (x - centre) / spread]), y)
     w[0] += np.log(good_share / (1 - good_share)) - np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3))
     return CompressionModel(dicts[1], dicts[0], level, block, tuple(w.tolist()), tuple(centre.tolist()), tuple(spread.tolist()))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +21,26 @@ def share_of(labels: DataFrame, label: str, id_col: str = "doc_id") -> float:
     return (n1 + 0.5) / (n0 + n1 + 1)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[str]]:
-    """Texts of label 0 and of label 1: of each at most `per_class` ids, the first by a hash of the id, from rows that
-    are not held out. Texts of over `max_bytes` are left out of the sample, and equal texts of a class count once; the
-    result is no larger than 2 * per_class * max_bytes."""
-    order = F.xxhash64(F.lit(17), F.col(id_col))
-    known = labels.select(F.col(id_col).cast("bigint").alias(id_col), F.col(label).alias("label")).where(~held_out(id_col) & F.col("label").isin(0, 1))
-    some = [known.where(F.col("label") == k).orderBy(order, id_col).limit(per_class) for k in (0, 1)]
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int = 1 << 16, total_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[list[str], list[str]]:
+    """Texts of label 0 and of label 1: of each at most `per_class` ids and `total_bytes` bytes, the first by a hash of the
+    id, from rows that are not held out. Texts of over `max_bytes` are left out of the sample, as is an id whose texts
+    together are over a sixteenth of the whole; equal texts of a class count once."""
+    order = F.xxhash64(F.lit(17), F.col(id_col)).alias("order")
+    known = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).alias("label"), order).where(~held_out("id") & F.col("label").isin(0, 1)).distinct()
+    some = [known.where(F.col("label") == k).orderBy("order", "id").limit(per_class) for k in (0, 1)]
     ids = F.broadcast(some[0].unionByName(some[1]))
-    texts = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text")).where(F.octet_length("text") <= max_bytes)
-    rows = texts.join(ids, id_col).select("label", "text").collect()
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"), F.octet_length(F.col(f"`{text_col}`")).alias("size")).where(F.col("size") <= max_bytes)
+    sizes = texts.drop("text").join(ids, "id").groupBy("label", "order", "id").agg(F.sum("size").alias("size")).where(F.col("size") <= total_bytes // 16).collect()
+    chosen, sums = [], {0: 0, 1: 0}
+    for r in sorted(sizes):
+        sums[r.label] += r.size
+        if sums[r.label] <= total_bytes:
+            chosen.append((r.id, int(r.label)))
+    if not chosen:
+        return [], []
+    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "id bigint, label int")), "id").select("label", "text").collect()
     return tuple(one_per_family(sorted({r.text for r in rows if r.label == k})) for k in (0, 1))
 
 
@@ -54,3 +65,15 @@ def one_per_family(texts: list[str], width: int = 5, keep: int = 16, common: int
             seen.setdefault(h, []).append(len(out))
         out.append(t)
     return out
+
+
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
+    """Newton's method; the classes count by their number."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * len(x) * np.eye(len(w)), x.T @ (y - p) - ridge * len(x) * w)
+        w += move
+        if np.abs(move).max() < 1e-8:
+            break
+    return w

@@ -182,7 +182,7 @@ def test_entropy_windows_equal_fresh_counts():
     allowed = re.compile("|".join(rules.allowed))
     r = random.Random(8)
     for _ in range(300):
-        s = "".join(r.choice(r.choice(["abcdefghij0123456789", "0123456789abcdef", "aaaab1", "ABCDEFGHIJKLMNOPabcdefghijk0123456789+/"])) for _ in range(r.randint(15, 60)))
+        s = "".join(r.choice(r.choice(["abcdefghij0123456789", "0123456789abcdef", "aaaab1", "ABCDEFGHIJKLMNOPabcdefghijk0123456789+/", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])) for _ in range(r.randint(15, 60)))
         want = []
         for m in secrets.CANDIDATE.finditer(s):
             marked = set()
@@ -192,7 +192,13 @@ def test_entropy_windows_equal_fresh_counts():
                     d = sum(c.isdigit() for c in w)
                     h = -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values())
                     limit = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", w) else 3.9 if re.search("[+/=_-]", w) else 3.7
-                    if 0 < d < 20 and h >= limit - 1e-12:
+                    cases = [c.isupper() for c in w]
+                    pairs = list(zip(cases, cases[1:], strict=False))
+                    if not d and not re.search("[+/=_-]", w) and 6 <= sum(cases) <= 14 and sum(x != y for x, y in pairs) >= (7 if (True, True) in pairs else 14):
+                        limit = 3.7
+                    elif not 0 < d < 20:
+                        continue
+                    if h >= limit - 1e-12:
                         marked |= set(range(m.start() + k, m.start() + k + 20))
             for k in sorted(marked):
                 if not want or want[-1][1] != k:
@@ -212,7 +218,10 @@ def test_entropy_windows_equal_fresh_counts():
 def test_allowed_forms_and_natural_words_are_no_secrets():
     for t in ("123e4567-e89b-42d3-a456-426614174000", "http://a/2024-01-02/03-04-05-06-07", "Donaudampfschifffahrtsgesellschaftskapitaen", "some_long_snake_case_name_2"):
         assert secrets.find_spans(t) == []
+    for t in ("getElementByIdFromDocumentOrNull", "INTERNATIONALORGANISATIONSBUREAU", "XMLHttpRequestHTMLParserFactory", "z" * 30 + "1" + "z" * 30, "/usr/Local/Share/Documents/Letters", "aaaaaaaaaaAAAAAAAAAAaaaaaaaaaaAAAAAAAAAA"):
+        assert secrets.find_spans(t) == []
     assert [k for _, k, _ in secrets.find_spans("see xK9fQ2mZ7pL4vB8nR3tY6wC1 there")] == [3]
+    assert secrets.show(secrets.find_spans("key xKfQmZpLvBnRtYwCjHsGdWqEuIoPaS end")) == "entropy:4:34"
 
 
 def test_redact(spark):
@@ -228,7 +237,7 @@ def toxic_samples():
     r = random.Random(9)
     words = " ".join(CLEAN).split()
     line = lambda extra: " ".join(r.choice(words) for _ in range(20)) + extra
-    return [line(f" {i}x") for i in range(300)], [line(f" {r.choice(['grobnik', 'snorlet'])} {i}y") for i in range(120)]
+    return [line(f" {i}") for i in range(300)], [line(f" {r.choice(['grobnik', 'snorlet'])} {i}") for i in range(120)]
 
 
 def test_toxicity_restores_what_is_hidden(spark):
@@ -314,6 +323,25 @@ def test_packing_keeps_all_and_heeds_conflicts(spark):
     assert packed(spark, []) == []
 
 
+def test_bins_do_not_depend_on_how_rows_lie(spark):
+    r = random.Random(1)
+    rows = [(i % 300, r.randint(0, 60), r.choice("ab"), None, "") for i in range(500)] + [(1, 5, "a", None, "")] * 500
+    want = sorted(map(str, packed(spark, rows, capacity=100, shard_rows=100)))
+    assert len(want) == 1000
+    r.shuffle(rows)
+    assert sorted(map(str, packed(spark, rows, capacity=100, shard_rows=100))) == want
+
+
+def test_components_serve_as_clusters(spark):
+    from quillspark.llm import jaccard
+
+    text = " ".join(f"a{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text + " b"), (3, "c d e f g h")], "doc_id long, text string")
+    docs = docs.join(jaccard.join_components(docs, n=5, percent=80).select("doc_id", "component_id"), "doc_id")
+    got = {r.doc_id: r.bin_id for r in packing.pack(docs, "doc_id", F.octet_length("text"), F.lit(None).cast("string"), F.col("component_id")).collect()}
+    assert got[1] != got[2] and got[3] in (got[1], got[2])
+
+
 def test_packing_takes_the_tightest_compatible_bin():
     where, position = packing.pack_shard([60, 50, 40, 40, 10], ["a"] * 5, [None, None, 1, 1, None], 100, 8)
     assert where == [0, 1, 0, 1, 1] and position == [0, 0, 60, 50, 90]
@@ -360,14 +388,14 @@ def test_secrets_beside_a_base_secret_are_kept(text, want):
 
 DISGUISED = [
     "a g r o b n i k", "m n g r o b n i k", "g r o b n i k!", "g - r - o - b - n - i - k", "g r 0 b n 1 k", "6r08n1k", "5n0r1et", "sn0rle+", "$norlet", "ggrroobbnniikk", "gro.bnik",
-    "gr--ob--nik", "grob-n1k", "g.r.o.bnik",
+    "gr--ob--nik", "grob-n1k", "g.r.o.bnik", "gr ob nik", "gr 0b n1k", "gr.obnik", "gröbnik", "grõbnïk", "g@robnik", "gro$bnik", "you are a g r o b n i k", "I g r o b n i k", "in my gr ob nik",
 ]
 
 
 def test_toxicity_decodes_every_disguise(spark):
     model = toxicity.fit(*toxic_samples())
     both = "g r o b n i k s n o r l e t"
-    plain = ["a quiet river", "b c d 1 2 3", "24/7 mill, 1998!", "- - - | |", "well-known barley", "a b c"]
+    plain = ["a quiet river", "b c d 1 2 3", "24/7 mill, 1998!", "- - - | |", "well-known barley", "a b c", "it is so, or as it was to me", "früh am Bach", "a@b.org"]
     texts = [*DISGUISED, *plain, both, "grobnik snorlet", "grobnik"]
     rows = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), model).collect() if r.doc_id is not None}
     got = {t: rows[i] for i, t in enumerate(texts)}
