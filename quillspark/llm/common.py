@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -71,6 +73,32 @@ def broadcast_below(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFra
 # --- Arrow batches --------------------------------------------------------------------------------
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker that is used again would else keep it through later stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidily(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that gives memory back after each of them."""
+
+    def feed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(feed(batches))
+        give_back()
+
+    return wrapped
+
+
 def string_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A column as strings without nulls (null counts as empty)."""
     col = batch.column(batch.schema.get_field_index(name))
@@ -120,7 +148,7 @@ def map_texts(
                 out = work(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], batch.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[k] for k in names)], names=names)
 
-    return want.mapInArrow(run, schema)
+    return want.mapInArrow(tidily(run), schema)
 
 
 def filter_rows(df: DataFrame, keep: Callable[[], Callable[[np.ndarray, np.ndarray, pa.RecordBatch], np.ndarray]], text_col: str) -> DataFrame:
@@ -134,7 +162,7 @@ def filter_rows(df: DataFrame, keep: Callable[[], Callable[[np.ndarray, np.ndarr
                 part = batch.slice(lo, hi - lo)
                 yield part.filter(pa.array(work(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], part), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidily(run), df.schema)
 
 
 # --- hashing --------------------------------------------------------------------------------------

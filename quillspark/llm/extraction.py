@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import string_column, row_groups, text_buffer
+from .common import row_groups, string_column, text_buffer, tidily
 from .dom import Node, attributes, parse
 
 #: Attribute tokens by meaning (fixed values).
@@ -348,4 +348,4 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", url_
                 texts = extract_pages([data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], trees)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return want.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return want.mapInArrow(tidily(run), "page_id bigint, url string, text string, n_chars bigint")

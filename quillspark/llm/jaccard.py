@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Workspace, broadcast_below, combine, map_texts, parts, row_groups, run_hashes, runs, slim, string_column, text_buffer
+from .common import SPACES, Workspace, broadcast_below, combine, map_texts, parts, row_groups, run_hashes, runs, slim, string_column, text_buffer, tidily
 from .components import connected_components
 
 #: Least and greatest size of the sketch of counts, size of the parts it is summed in and of a set's profile, as powers
@@ -119,7 +119,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, n: int, bits: int) ->
             [pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.binary()), pa.array(chunks, pa.int32()), pa.array([pack.compress(counts[k * size : (k + 1) * size].tobytes()) for k in chunks], pa.binary())], names=names
         )
 
-    return want.mapInArrow(run, "id bigint, n bigint, key binary, chunk int, counts binary")
+    return want.mapInArrow(tidily(run), "id bigint, n bigint, key binary, chunk int, counts binary")
 
 
 def sketch(rows: DataFrame, bits: int) -> np.ndarray:
@@ -205,7 +205,7 @@ def _filter_profiles(pairs: DataFrame, percent: int) -> DataFrame:
                 total = na.to_numpy() + nb.to_numpy()
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(total - apart >= 2 * -(-percent * total // (100 + percent))))
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    return pairs.mapInArrow(tidily(run), "a bigint, b bigint")
 
 
 def _verify(pairs: DataFrame, percent: int) -> DataFrame:
@@ -223,7 +223,7 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(both >= needed(len(x) + len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    return pairs.mapInArrow(tidily(run), "a bigint, b bigint")
 
 
 class JaccardJoin:

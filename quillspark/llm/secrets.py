@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts, string_column
+from .common import map_texts, string_column, tidily
 
 KINDS = ("assign", "access", "hex", "entropy")
 _NAMES = ("password", "passwd", "secret", "token", "api_?key")
@@ -193,4 +193,4 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
                 batch = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
             yield batch
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidily(run), schema)
