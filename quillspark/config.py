@@ -12,6 +12,10 @@ class ChunkConfig:
     chunk_overlap: int = 64
 
 
+#: What pages are chunked with where nothing is configured: the retrieval library's own defaults (fixed values).
+LIBRARY_CHUNKS = ChunkConfig("sentence", 1024, 200)
+
+
 @dataclass(frozen=True)
 class RetrieverConfig:
     top_k: int = 5
@@ -24,6 +28,8 @@ ROW_TOLERANCE = 2.0
 PAGES_TO_SCAN = 2
 ENGINES = ("tesseract", "paddleocr", "easyocr")
 CONFIDENCE_SCALE = {"tesseract": 100.0}
+#: Engines whose words without text or a whole confidence above zero are no words; their confidences are whole numbers.
+FILTERED_ENGINES = ("tesseract",)
 
 # Question phrases and the section headers they route to, in order of priority.
 SECTION_ROUTES = (

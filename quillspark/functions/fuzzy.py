@@ -58,7 +58,7 @@ def best_window(needle: str, haystack: str) -> float:
     need, have = needle.lower().strip(), haystack.split()
     width = len(needle.split())
     if not width:
-        return 0.0
+        return 0.0 if have else 1.0
     if len(have) <= width:
         return similarity(needle, haystack)
     have = [w.lower() for w in have]
@@ -102,9 +102,14 @@ def is_match(needle: Column, haystack: Column, threshold: float = MATCH_THRESHOL
 
 def windows(needle: Column, haystack: Column) -> Column:
     """Windows of the haystack's words, as many as the needle has; the whole text if it is no longer."""
-    k, all_ = F.size(words(needle)), words(haystack)
-    n = F.size(all_)
-    return F.when(n <= k, F.array(haystack)).otherwise(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(all_, i, k), " ")))
+    # Bound by an outer lambda, the words are split once and not once a window.
+    both = F.struct(words(haystack).alias("w"), F.size(words(needle)).alias("k"), haystack.alias("t"))
+
+    def slide(x: Column) -> Column:
+        n = F.size(x["w"])
+        return F.when(n <= x["k"], F.array(x["t"])).otherwise(F.transform(F.sequence(F.lit(1), n - x["k"] + 1), lambda i: F.array_join(F.slice(x["w"], i, x["k"]), " ")))
+
+    return F.flatten(F.transform(F.array(both), slide))
 
 
 def window_exact(needle: Column, haystack: Column) -> Column:

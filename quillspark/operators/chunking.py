@@ -17,10 +17,13 @@ from ..functions.text import words
 
 def fixed_chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:
     """Windows of `size` words, each `overlap` words into the one before; the last one reaches the end."""
-    all_ = words(text)
-    n = F.size(all_)
-    starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    return F.when(n > 0, F.transform(starts, lambda i: F.array_join(F.slice(all_, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(all_: Column) -> Column:  # a lambda's argument: the words are split once and not once a chunk
+        n = F.size(all_)
+        starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
+        return F.when(n > 0, F.transform(starts, lambda i: F.array_join(F.slice(all_, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.array(words(text)), cut))
 
 
 def sentence_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 512, overlap: int = 64) -> DataFrame:

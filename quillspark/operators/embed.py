@@ -63,7 +63,7 @@ def embed(df: DataFrame, text_col: str = "text", model: str = "bge-base", out_co
     return df.withColumn(out_col, vectors(F.col(text_col)))
 
 
-def build_index(df: DataFrame, path: str | None = None, vector_col: str = "embedding") -> DataFrame:
+def build_index(df: DataFrame, path: str | None = None, vector_col: str = "embedding", model: str = "bge-base") -> DataFrame:
     """The exact index: rows with vectors of one dimension, stored if a path is given. Mixed dimensions are an error."""
     sizes = df.select(F.size(vector_col).alias("d")).agg(F.min("d"), F.max("d")).first()
     if sizes[0] != sizes[1]:
@@ -71,12 +71,21 @@ def build_index(df: DataFrame, path: str | None = None, vector_col: str = "embed
     if path is None:
         return df
     df.write.mode("overwrite").parquet(path)
-    return load_index(df.sparkSession, path)
+    df.sparkSession.createDataFrame([(vector_col, sizes[0], model_id(model))], "vector_col string, dim int, model string").coalesce(1).write.mode("overwrite").json(manifest_of(path))
+    return load_index(df.sparkSession, path, model)
 
 
-def load_index(spark: SparkSession, path: str, vector_col: str = "embedding") -> DataFrame:
+def manifest_of(path: str) -> str:
+    return f"{path.rstrip('/')}-manifest"
+
+
+def load_index(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """A stored index. One that was built for another model than the given one, or lacks its vectors, is an error."""
+    told = spark.read.schema("vector_col string, dim int, model string").json(manifest_of(path)).first()
+    if model is not None and told.model != model_id(model):
+        raise ValueError(f"{path} holds vectors of {told.model}, not of {model_id(model)}")
     df = spark.read.parquet(path)
-    if vector_col not in df.columns:
+    if told.vector_col not in df.columns:
         raise ValueError(f"no vectors in {path}")
     return df
 

@@ -45,6 +45,32 @@ def score_documents(texts: DataFrame, fields: DataFrame, key: str = "doc_id", th
     return dates.unionByName(fuzzy).drop("text").withColumns({"score": F.bround("score", 3), "confidence": F.bround("confidence", 3)})
 
 
+def score_exact(texts: DataFrame, fields: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Each engine's document text against the document's fields, by plain containment. A document's few fields travel as
+    one array, so a text moves through the join once and not once a field."""
+    listed = fields.groupBy(key).agg(F.collect_list(F.struct("field", "field_type", "value")).alias("fields"))
+    tests = F.transform("fields", lambda f: F.struct(f["field"].alias("field"), f["field_type"].alias("field_type"), F.contains(F.col("text"), f["value"]).alias("matched")))
+    return texts.join(listed, key).select(key, "engine", "confidence", F.explode(tests).alias("t")).select(key, "engine", "t.*", "confidence")
+
+
+def by_score(ranked: DataFrame, text: str = "text", score: str = "score") -> DataFrame:
+    """Lengths and scores of all retrieved chunks, the best first."""
+    return ranked.select("question_id", F.length(text).alias("n_chars"), F.col(score).alias("score")).orderBy(F.desc("score"), "question_id", "n_chars")
+
+
+def same_winner(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The best chunk of each question under two embedding models, and whether they agree."""
+    best = lambda df, name: df.where("rank = 1").select("question_id", F.col("chunk_idx").alias(name))
+    return best(first, "first").join(best(second, "second"), "question_id", "full").withColumn("same", F.coalesce(F.col("first") == F.col("second"), F.lit(False)))
+
+
+def intent_gap(compound: DataFrame, single: DataFrame) -> DataFrame:
+    """Of rankings of a compound question and of its single intents (with a column `compound_id`): the best score of each
+    intent, and how far the compound question's best score lies below it."""
+    top = compound.where("rank = 1").select(F.col("question_id").alias("compound_id"), F.col("score").alias("compound_score"))
+    return single.where("rank = 1").join(top, "compound_id").select("compound_id", "question_id", "score", (F.col("score") - F.col("compound_score")).alias("gap"))
+
+
 def summarize(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(F.count_if("matched").alias("n_matched"), F.count("*").alias("n_total"), F.avg(F.col("matched").cast("int")).alias("rate"), F.min("confidence").alias("confidence"))
 

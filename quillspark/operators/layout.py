@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,42 +47,36 @@ def fragments_from_spans(spans: DataFrame) -> DataFrame:
 
 def reading_order(fragments: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
     """Page texts in reading order. A visual row takes the fragments within `tolerance` of its first fragment's y0;
-    rows are sorted by x0 and joined by spaces, pages join rows by newlines. A fold inside the JVM."""
-    item = "struct<row:int,x0:double,text:string>"
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), F.array().cast(f"array<{item}>").alias("out"))
-
-    def step(acc, f):
-        new = acc["anchor"].isNull() | (F.abs(f["y0"] - acc["anchor"]) > tolerance)
-        row = F.when(new, acc["row"] + 1).otherwise(acc["row"])
-        return F.struct(F.when(new, f["y0"]).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), F.concat(acc["out"], F.array(F.struct(row.alias("row"), f["x0"].alias("x0"), f["text"].alias("text")))).alias("out"))
-
-    listed = F.array_sort(F.collect_list(F.struct("y0", "x0", "frag_idx", "text")))
-    rows = F.array_sort(F.aggregate(listed, start, step, lambda acc: acc["out"]))
-
-    def join(acc, f):
-        return F.struct(
-            f["row"].alias("row"),
-            F.when(acc["row"] < 0, f["text"]).when(acc["row"] == f["row"], F.concat(acc["text"], F.lit(" "), f["text"])).otherwise(F.concat(acc["text"], F.lit("\n"), f["text"])).alias("text"),
-        )
-
-    text = F.aggregate(rows, F.struct(F.lit(-1).alias("row"), F.lit("").alias("text")), join, lambda acc: acc["text"])
-    return fragments.groupBy("doc_id", "page_num").agg(text.alias("text"))
-
-
-def reading_order_arrow(fragments: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
-    """As `reading_order`, for pages of very many fragments, where growing an array fragment by fragment is slow."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "frag_idx"])
-        rows: list[list[tuple[float, str]]] = []
-        anchor = None
-        for y, x, t in zip(pdf["y0"], pdf["x0"], pdf["text"], strict=True):
-            if anchor is None or abs(y - anchor) > tolerance:
-                anchor = y
-                rows.append([])
-            rows[-1].append((x, t))
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "page_num": pdf["page_num"].iloc[:1], "text": ["\n".join(" ".join(t for _, t in sorted(r)) for r in rows)]})
-
-    schema = f"doc_id {fragments.schema['doc_id'].dataType.simpleString()}, page_num int, text string"
-    return fragments.groupBy("doc_id", "page_num").applyInPandas(page, schema)
-
+    rows are sorted by x0 and joined by spaces, pages join rows by newlines. The engine sorts each page's fragments, one
+    pass over them then anchors the rows, so time follows the number of fragments."""
+    keys = ["doc_id", "page_num"]
+    ordered = fragments.select(*keys, "y0", "x0", "frag_idx", "text").repartition(*keys).sortWithinPartitions(*keys, "y0", "x0", "frag_idx")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, anchor, row, lines = None, 0.0, [], []
+        done: tuple[list, list, list] = ([], [], [])
+
+        def close() -> None:
+            if key is not None:
+                lines.append(" ".join([t for _, t in sorted(row)]))
+                for column, value in zip(done, (*key, "\n".join(lines)), strict=True):
+                    column.append(value)
+
+        for pdf in frames:
+            for doc, page, y, x, text in zip(*(pdf[c].tolist() for c in (*keys, "y0", "x0", "text")), strict=True):
+                if (doc, page) != key:
+                    close()
+                    key, anchor, row, lines = (doc, page), y, [], []
+                elif abs(y - anchor) > tolerance:
+                    lines.append(" ".join([t for _, t in sorted(row)]))
+                    anchor, row = y, []
+                row.append((x, text))
+            if done[0]:
+                yield pd.DataFrame(dict(zip((*keys, "text"), done, strict=True)))
+            done = ([], [], [])
+        close()
+        if done[0]:
+            yield pd.DataFrame(dict(zip((*keys, "text"), done, strict=True)))
+
+    schema = ", ".join(f"{c} {fragments.schema[c].dataType.simpleString()}" for c in keys)
+    return ordered.mapInPandas(run, f"{schema}, text string")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CONFIDENCE_SCALE, ENGINES
+from ..config import CONFIDENCE_SCALE, ENGINES, FILTERED_ENGINES
 from ..functions.text import blank, ordered_text
 
 Engine = Callable[[bytes], dict]
@@ -22,14 +22,21 @@ def register(name: str, engine: Engine) -> None:
 
 def usable_words(words: DataFrame) -> DataFrame:
     """Words with text and a whole confidence above zero."""
-    return words.where(~blank(F.col("text")) & (F.col("conf").cast("int") > 0))
+    return words.where(is_usable())
 
 
-def page_results(words: DataFrame, separator: str = " ") -> DataFrame:
-    """Text and mean confidence per page and engine, '' and 0 where no word is left."""
-    keys = ["doc_id", "page_num", "engine"]
-    listed = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    return words.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["text"]), separator).alias("text"), F.coalesce(F.avg("conf"), F.lit(0.0)).alias("avg_confidence"))
+def is_usable() -> Column:
+    return ~blank(F.col("text")) & (F.col("conf").cast("int") > 0)
+
+
+def page_results(words: DataFrame, separator: str = " ", filtered: tuple[str, ...] = FILTERED_ENGINES) -> DataFrame:
+    """Text and mean confidence per page and engine, '' and 0 where no word is left. Of `filtered` engines only usable
+    words count, with their whole confidences; the others give words that count as they are."""
+    own = F.col("engine").isin(*filtered)
+    counts = ~own | F.coalesce(is_usable(), F.lit(False))
+    conf = F.when(own, F.col("conf").cast("int").cast("double")).otherwise(F.col("conf"))
+    listed = F.array_sort(F.collect_list(F.when(counts, F.struct("pos", "text"))))
+    return words.groupBy("doc_id", "page_num", "engine").agg(F.array_join(F.transform(listed, lambda x: x["text"]), separator).alias("text"), F.coalesce(F.avg(F.when(counts, conf)), F.lit(0.0)).alias("avg_confidence"))
 
 
 def scaled(conf: Column, engine: Column, scale: dict[str, float] | None = None) -> Column:
@@ -43,9 +50,9 @@ def scaled(conf: Column, engine: Column, scale: dict[str, float] | None = None)
 
 def document_results(pages: DataFrame, scale: dict[str, float] | None = None) -> DataFrame:
     """Text of all pages, and the unweighted mean of the page means over the engine's scale."""
-    text = ordered_text(pages, ["doc_id", "engine"], ["page_num"], "text", "\n")
-    means = pages.groupBy("doc_id", "engine").agg(F.avg("avg_confidence").alias("mean"))
-    return text.join(means, ["doc_id", "engine"]).withColumn("confidence", scaled(F.col("mean"), F.col("engine"), scale)).drop("mean")
+    listed = F.array_sort(F.collect_list(F.struct("page_num", "text")))
+    both = pages.groupBy("doc_id", "engine").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("text"), F.avg("avg_confidence").alias("mean"))
+    return both.withColumn("confidence", scaled(F.col("mean"), F.col("engine"), scale)).drop("mean")
 
 
 def engine_order(engine: Column, engines: tuple[str, ...] = ENGINES) -> Column:

@@ -6,6 +6,8 @@ an equi-join where a question names one, so only questions without a document me
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ def is_small(df: DataFrame, rows: int = ROUTE_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def section_routes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, p, r) for i, (p, r) in enumerate(SECTION_ROUTES)], "priority int, phrase string, pattern string")
+def section_routes(spark: SparkSession, routes: tuple = SECTION_ROUTES) -> DataFrame:
+    return spark.createDataFrame([(i, p, r) for i, (p, r) in enumerate(routes)], "priority int, phrase string, pattern string")
 
 
 def document_routes(spark: SparkSession) -> DataFrame:
@@ -48,23 +50,67 @@ def resolve_document(questions: DataFrame, routes: DataFrame, target: str = "bra
     return resolve(questions, routes, "brand", target, "document_filter")
 
 
+def section_matches(pattern: Column, section: Column) -> Column:
+    """Whether a section begins with a match of a pattern. A literal prefix needs no regular expression."""
+    prefix = pattern.rlike(r"^\^?[A-Za-z0-9 :,/&-]+$")
+    text = F.regexp_replace(pattern, r"^\^", "")
+    return F.coalesce(F.when(prefix, F.startswith(section, text)).otherwise(F.regexp_like(section, F.concat(F.lit("(?d)^(?:"), pattern, F.lit(")")))), F.lit(False))
+
+
 def candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Question and chunk pairs after the document filter, which never falls back, and the section filter, which falls
-    back to all of the question's chunks where none matches. `fallback` tells which."""
-    # All patterns are anchored prefixes; startswith stays cheaper than a regex per pair. Whether anything matches is
-    # settled on the distinct sections, so that the pairs themselves need no pass of their own.
-    match = F.col("section_pattern").isNotNull() & F.col("section").startswith(F.expr("substring(section_pattern, 2)"))
+    back to all of the question's chunks where none matches. `fallback` tells which.
+
+    What each question wants is settled on the distinct documents and sections; chunks then meet questions by equal
+    document and section, so that a hot document is dealt by its sections and the engine may split what is still hot."""
     asked = questions.select("question_id", "section_pattern", "document_filter")
-    sections = chunks.select("document", "section").distinct()
+    places = chunks.select("document", "section").distinct()
     named = F.col("document_filter").isNotNull()
-    some = asked.where(named).join(sections, F.col("document_filter") == F.col("document")).select("question_id", match.alias("hit"))
-    some = some.unionByName(asked.where(~named).crossJoin(sections.select("section").distinct()).select("question_id", match.alias("hit")))
-    any_ = some.groupBy("question_id").agg(F.max("hit").alias("__any"))
-    flagged = questions.join(any_, "question_id", "left").withColumn("__any", F.coalesce("__any", F.lit(False)))
-    kept = match | ~F.col("__any")
-    pairs = flagged.where(named).join(chunks, (F.col("document_filter") == F.col("document")) & kept)
-    pairs = pairs.unionByName(flagged.where(~named).join(chunks, kept))
-    return pairs.withColumn("fallback", F.col("section_pattern").isNotNull() & ~F.col("__any")).drop("__any")
+    met = asked.where(named).join(places, F.col("document_filter") == F.col("document")).unionByName(asked.where(~named).join(places, F.lit(True)))
+    met = met.select("question_id", "document", "section", "section_pattern", section_matches(F.col("section_pattern"), F.col("section")).alias("hit"))
+    any_ = met.groupBy("question_id").agg(F.max("hit").alias("any"))
+    wanted = met.join(any_, "question_id").where(F.col("hit") | ~F.col("any"))
+    wanted = wanted.select("question_id", F.col("document").alias("__document"), F.col("section").alias("__section"), (F.col("section_pattern").isNotNull() & ~F.col("any")).alias("fallback"))
+    pairs = wanted.join(chunks, F.col("__document").eqNullSafe(F.col("document")) & F.col("__section").eqNullSafe(F.col("section"))).drop("__document", "__section")
+    return questions.join(pairs, "question_id")
+
+
+def nearest(questions: DataFrame, chunks: DataFrame, k: int, by_angle: bool = True, tie_break: str = "first", question_rows: int = 4_096, chunk_rows: int = 16_384) -> DataFrame:
+    """The k best chunks of each question (question_id, q_embedding) but the chunk of its own number, by cosine or inner
+    product: rows (question_id, rank, chunk_idx, score). Blocks of questions meet blocks of chunks as matrix products,
+    and only each pair of blocks' k best are shuffled; vectors of one length, a zero vector has no cosine."""
+    asked, held = questions.select("question_id", "q_embedding"), chunks.select("chunk_idx", "embedding")
+    n_q, n_d = (max(1, -(-df.count() // rows)) for df, rows in ((asked, question_rows), (held, chunk_rows)))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("q", F.pmod(F.xxhash64("question_id"), F.lit(n_q)).cast("int")).withColumn("d", spread(n_d))
+    right = held.withColumn("d", F.pmod(F.xxhash64("chunk_idx"), F.lit(n_d)).cast("int")).withColumn("q", spread(n_q))
+    sign = 1 if tie_break == "first" else -1
+
+    def search(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"question_id": [], "chunk_idx": [], "score": []})
+        if not len(x) or not len(y):
+            return empty
+        a, b, ids = np.stack(x["q_embedding"].tolist()).astype(float), np.stack(y["embedding"].tolist()).astype(float), y["chunk_idx"].to_numpy()
+        parts = []
+        for lo in range(0, len(a), 256):
+            # Not a library product: equal vectors must get equal scores wherever they stand.
+            score = np.einsum("ij,kj->ik", a[lo : lo + 256], b, optimize=False)
+            if by_angle:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = score / (np.sqrt(np.einsum("ij,ij->i", a[lo : lo + 256], a[lo : lo + 256]))[:, None] * np.sqrt(np.einsum("ij,ij->i", b, b))[None, :])
+            own = x["question_id"].to_numpy()[lo : lo + 256]
+            score[(own[:, None] == ids[None, :]) | np.isnan(score)] = -np.inf
+            least = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1]
+            row, col = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            order = np.lexsort((sign * ids[col], -score[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[place < k], col[place < k]
+            parts.append(pd.DataFrame({"question_id": own[row], "chunk_idx": ids[col], "score": score[row, col]}))
+        return pd.concat(parts)
+
+    kinds = f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_idx {chunks.schema['chunk_idx'].dataType.simpleString()}, score double"
+    return rank(left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInPandas(search, kinds), k, tie_break)
 
 
 def rank(scored: DataFrame, k: int, tie_break: str = "first", group: str = "question_id", order: str = "chunk_idx") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CONFIDENCE_SCALE, DOCUMENTS, SCOPE_GAPS, SECTION_ROUTES
+from ..config import CONFIDENCE_SCALE, DOCUMENTS, SCOPE_GAPS
 from ..functions import dates, fuzzy, text, vectors
-from ..operators import chunking, classify, embed, evaluate, fields, imaging, layout, ocr, retrieve, sections, tables
+from ..operators import answers, chunking, classify, embed, evaluate, fields, imaging, layout, ocr, retrieve, sections, tables
 from . import views as v
 from .views import with_views
 
@@ -250,11 +251,13 @@ def zip_metadata(spark, sf_dir):
 # --- dates and fuzzy scores -----------------------------------------------------------------------
 
 _DATE = r"\b\d{1,2}/\d{1,2}/\d{4}\b|\b\d{1,2}/\d{4}\b|\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}\b|\b(?:19|20)\d{2}\b"
-_GRAIN = r"CASE WHEN regexp_full_match(trim(truth), '\d{4}') THEN 'year' WHEN regexp_full_match(trim(truth), '\d{1,2}/\d{4}') THEN 'month' ELSE 'day' END"
+_GRAIN = r"CASE WHEN regexp_full_match(trim(truth), '(19|20)\d{2}') THEN 'year' WHEN regexp_full_match(trim(truth), '\d{1,2}/\d{4}') THEN 'month' ELSE 'day' END"
 
 
 def _parsed(c: str) -> str:
-    return f"coalesce(try_strptime({c}, '%m/%d/%Y'), try_strptime({c}, '%m/%Y'), try_strptime({c}, '%B %Y'), try_strptime({c}, '%Y'))"
+    plain = f"replace(replace(replace({c}, ',', ''), '. ', ' '), 'Sept ', 'Sep ')"
+    forms = ("%m/%d/%Y", "%m/%Y", "%B %Y", "%b %Y", "%B %d %Y", "%b %d %Y", "%Y/%m/%d", "%d %b %Y", "%Y")
+    return "coalesce(" + ", ".join(f"try_strptime({plain}, '{f}')" for f in forms) + ")"
 
 
 @query(f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{_DATE}'), '|') AS found FROM d_dates", "d_dates")
@@ -295,10 +298,22 @@ def window_exact(spark, sf_dir):
     return _needles(spark, sf_dir).select("doc_id", F.coalesce(fuzzy.window_exact(F.col("needle"), F.col("text")), F.lit(False)).alias("found"))
 
 
+@query(
+    r"""q_w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), q_n AS (SELECT doc_id, w, CASE WHEN doc_id % 3 = 0 THEN list_reverse(w[7:10]) ELSE w[7:10] END AS n FROM q_w WHERE len(w) >= 7),
+    q_s AS (SELECT doc_id, len(n) AS k, array_to_string(n, ' ') AS n, list_transform(range(1, greatest(len(w) - len(n) + 2, 2)), lambda i: array_to_string(w[i : i + len(n) - 1], ' ')) AS s FROM q_n)
+    SELECT doc_id, len(s)::INTEGER AS n_windows, list_position(list_transform(s, lambda x: lower(x)), lower(n))::BIGINT AS first_place FROM q_s""",
+    "d_dates",
+)
+def window_places(spark, sf_dir):
+    slid = _needles(spark, sf_dir).select("doc_id", "needle", F.transform(fuzzy.windows(F.col("needle"), F.col("text")), lambda x: F.lower(x)).alias("s"))
+    place = F.array_position("s", F.lower("needle"))
+    return slid.select("doc_id", F.size("s").alias("n_windows"), F.when(place > 0, place).alias("first_place"))
+
+
 @query()
 def fuzzy_window(spark, sf_dir):
     """Four words of every document against its whole text: words seven to ten, the first four where there is no seventh,
-    and of every third document backwards. A text without words scores 0, a null text null."""
+    and of every third document backwards. A text without words equals its empty needle, a null text scores null."""
     w = text.words(F.col("text"))
     four = F.when(F.size(w) >= 7, F.slice(w, 7, 4)).otherwise(F.slice(w, 1, 4))
     needle = F.array_join(F.when(F.col("doc_id") % 3 == 0, F.reverse(four)).otherwise(four), " ")
@@ -315,7 +330,8 @@ def fuzzy_ratio(spark, sf_dir):
 # --- OCR ------------------------------------------------------------------------------------------
 
 _OCR = """q_u AS (SELECT * FROM d_ocr_words WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND trunc(conf)::INTEGER > 0),
-    q_pg AS (SELECT doc_id, page_num, engine, string_agg(text, ' ' ORDER BY pos) AS text, coalesce(avg(conf), 0.0) AS avg_confidence FROM d_ocr_words GROUP BY ALL) """
+    q_pg AS (SELECT doc_id, page_num, engine, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (engine <> 'tesseract' OR (trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND trunc(conf) > 0)), '') AS text,
+        coalesce(avg(CASE WHEN engine = 'tesseract' THEN trunc(conf) ELSE conf END) FILTER (engine <> 'tesseract' OR (trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND trunc(conf) > 0)), 0.0) AS avg_confidence FROM d_ocr_words GROUP BY ALL) """
 _SCALE = "CASE WHEN engine = 'tesseract' THEN 100.0 ELSE 1.0 END"
 _ORD = "CASE engine WHEN 'tesseract' THEN 1 WHEN 'paddleocr' THEN 2 ELSE 3 END"
 
@@ -423,7 +439,7 @@ _EXACT = f"""q_dt AS (SELECT doc_id, engine, string_agg(text, chr(10) ORDER BY p
 
 def _exact(spark, sf_dir):
     texts = ocr.document_results(_pages(spark, sf_dir)).withColumn("confidence", F.round(F.col("confidence") + NUDGE, DIGITS))
-    return texts.join(_kept(spark, sf_dir), "doc_id").select("doc_id", "engine", "field", "field_type", F.col("text").contains(F.col("value")).alias("matched"), "confidence")
+    return evaluate.score_exact(texts, _kept(spark, sf_dir))
 
 
 @query(_OCR + ", " + _LONG + ", " + _EXACT + "SELECT * FROM q_x", "d_ocr_words", "d_truths")
@@ -451,16 +467,16 @@ def ocr_rollup(spark, sf_dir):
 
 # --- retrieval ------------------------------------------------------------------------------------
 
-_ROUTES = ", ".join(f"({i}, '{p}', '{r[1:]}')" for i, (p, r) in enumerate(SECTION_ROUTES))
+_ROUTES = ", ".join(f"({i}, '{p}', '{r}')" for i, (p, r) in enumerate(v.ROUTES))
 _BRANDS = ", ".join(f"({i}, '{b}', '{s}')" for i, (b, s) in enumerate(DOCUMENTS))
-_RESOLVED = f"""q_sec(priority, phrase, prefix) AS (VALUES {_ROUTES}), q_doc(priority, brand, stem) AS (VALUES {_BRANDS}),
-    q_q AS (SELECT *, (SELECT min_by(prefix, priority) FROM q_sec WHERE contains(lower(question), phrase)) AS prefix, (SELECT min_by(brand, priority) FROM q_doc WHERE contains(lower(question), lower(brand))) AS brand FROM d_questions) """
+_RESOLVED = f"""q_sec(priority, phrase, pattern) AS (VALUES {_ROUTES}), q_doc(priority, brand, stem) AS (VALUES {_BRANDS}),
+    q_q AS (SELECT *, (SELECT min_by(pattern, priority) FROM q_sec WHERE contains(lower(question), phrase)) AS pattern, (SELECT min_by(brand, priority) FROM q_doc WHERE contains(lower(question), lower(brand))) AS brand FROM d_questions) """
 _COSINE = "list_inner_product(q_embedding, embedding) / (sqrt(list_inner_product(q_embedding, q_embedding)) * sqrt(list_inner_product(embedding, embedding)))"
 
 
-@query(_RESOLVED + "SELECT question_id, question, '^' || prefix AS section_pattern FROM q_q", "d_questions")
+@query(_RESOLVED + "SELECT question_id, question, pattern AS section_pattern FROM q_q", "d_questions")
 def resolve_section(spark, sf_dir):
-    return retrieve.resolve_section(v.questions(spark, sf_dir).select("question_id", "question"), retrieve.section_routes(spark))
+    return retrieve.resolve_section(v.questions(spark, sf_dir).select("question_id", "question"), retrieve.section_routes(spark, v.ROUTES))
 
 
 @query(_RESOLVED + "SELECT question_id, question, brand AS document_filter FROM q_q", "d_questions")
@@ -469,8 +485,8 @@ def resolve_document(spark, sf_dir):
 
 
 def _routed(candidates: str, order: str = "chunk_idx", k: int = 3) -> str:
-    return f"""q_m AS (SELECT *, coalesce(starts_with(section, prefix), false) AS m FROM {candidates}), q_a AS (SELECT *, bool_or(m) OVER (PARTITION BY question_id) AS any_m FROM q_m),
-    q_s AS (SELECT *, {_COSINE} AS score, prefix IS NOT NULL AND NOT any_m AS fallback FROM q_a WHERE m OR NOT any_m),
+    return f"""q_m AS (SELECT *, coalesce(regexp_matches(section, '^(?:' || pattern || ')'), false) AS m FROM {candidates}), q_a AS (SELECT *, bool_or(m) OVER (PARTITION BY question_id) AS any_m FROM q_m),
+    q_s AS (SELECT *, {_COSINE} AS score, pattern IS NOT NULL AND NOT any_m AS fallback FROM q_a WHERE m OR NOT any_m),
     q_k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, {order}) AS rank FROM q_s QUALIFY rank <= {k}) """
 
 
@@ -483,7 +499,7 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 
 def _route(spark, sf_dir, k: int = 3, tie: str = "first") -> DataFrame:
-    return retrieve.routed_retrieve(v.questions(spark, sf_dir), v.chunks(spark, sf_dir), retrieve.section_routes(spark), retrieve.document_routes(spark), k, tie)
+    return retrieve.routed_retrieve(v.questions(spark, sf_dir), v.chunks(spark, sf_dir), retrieve.section_routes(spark, v.ROUTES), retrieve.document_routes(spark), k, tie)
 
 
 @query(_RESOLVED + ", " + _routed(_PAIRS) + _RANKED, "d_questions", "d_chunks")
@@ -494,7 +510,7 @@ def route_rank(spark, sf_dir):
 @query(_RESOLVED + ", " + _routed("(SELECT * FROM q_q JOIN d_chunks ON document = 'CHANTIX')") + _RANKED, "d_questions", "d_chunks")
 def route_rank_single(spark, sf_dir):
     chunks = v.chunks(spark, sf_dir).where("document = 'CHANTIX'")
-    return _ranked(retrieve.routed_retrieve(v.questions(spark, sf_dir), chunks, retrieve.section_routes(spark)))
+    return _ranked(retrieve.routed_retrieve(v.questions(spark, sf_dir), chunks, retrieve.section_routes(spark, v.ROUTES)))
 
 
 @query(_RESOLVED + ", " + _routed(_PAIRS, "chunk_idx DESC") + "SELECT round(avg(coalesce(h1, 0)), 6) AS accuracy_at_1, round(avg(coalesce(h3, 0)), 6) AS hit_at_3, count(*) AS n_questions FROM d_questions q LEFT JOIN (SELECT question_id, max((rank = 1 AND label = q_label)::INTEGER) AS h1, max((label = q_label)::INTEGER) AS h3 FROM q_k GROUP BY ALL) k ON k.question_id = q.question_id", "d_questions", "d_chunks")
@@ -503,8 +519,12 @@ def retrieval_summary(spark, sf_dir):
     return out.withColumns({c: F.round(c, DIGITS) for c in ("accuracy_at_1", "hit_at_3")})
 
 
-def _scored(spark, sf_dir) -> DataFrame:
-    return v.questions(spark, sf_dir).crossJoin(v.chunks(spark, sf_dir)).where("chunk_idx <> question_id").withColumn("score", vectors.cosine(F.col("q_embedding"), F.col("embedding")))
+def _nearest(spark, sf_dir, k: int) -> DataFrame:
+    return retrieve.nearest(v.questions(spark, sf_dir), v.chunks(spark, sf_dir), k)
+
+
+def _with_texts(ranked: DataFrame, spark, sf_dir) -> DataFrame:
+    return ranked.join(v.chunks(spark, sf_dir).select("chunk_idx", "text"), "chunk_idx")
 
 
 _KNN = f"q_s AS (SELECT question_id, chunk_idx, text, q_embedding, embedding, {_COSINE} AS score FROM d_questions JOIN d_chunks ON chunk_idx <> question_id), q_k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_idx) AS rank FROM q_s QUALIFY rank <= 5) "
@@ -512,34 +532,80 @@ _KNN = f"q_s AS (SELECT question_id, chunk_idx, text, q_embedding, embedding, {_
 
 @query(_KNN + "SELECT question_id, rank::INTEGER AS rank, chunk_idx, round(score, 6) AS score FROM q_k", "d_questions", "d_chunks")
 def knn_topk(spark, sf_dir):
-    return retrieve.rank(_scored(spark, sf_dir), 5).select("question_id", "rank", "chunk_idx", F.round("score", DIGITS).alias("score"))
+    return _nearest(spark, sf_dir, 5).select("question_id", "rank", "chunk_idx", F.round("score", DIGITS).alias("score"))
 
 
 @query(_KNN + "SELECT question_id, chunk_idx, round(score, 6) AS score FROM q_k WHERE rank = 1", "d_questions", "d_chunks")
 def knn_top1(spark, sf_dir):
-    return retrieve.rank(_scored(spark, sf_dir), 1).select("question_id", "chunk_idx", F.round("score", DIGITS).alias("score"))
+    return _nearest(spark, sf_dir, 1).select("question_id", "chunk_idx", F.round("score", DIGITS).alias("score"))
 
 
 @query(_KNN + "SELECT question_id, rank::INTEGER AS rank, chunk_idx, round(score, 6) AS score FROM q_k WHERE score >= 0.3", "d_questions", "d_chunks")
 def topk_threshold(spark, sf_dir):
-    return retrieve.threshold(retrieve.rank(_scored(spark, sf_dir), 5), 0.3).select("question_id", "rank", "chunk_idx", F.round("score", DIGITS).alias("score"))
+    return retrieve.threshold(_nearest(spark, sf_dir, 5), 0.3).select("question_id", "rank", "chunk_idx", F.round("score", DIGITS).alias("score"))
 
 
-@query(_KNN + "SELECT question_id, 'n=' || count(*) AS answer, array_to_string(list(chunk_idx ORDER BY rank), ',') AS sources, round(max(score), 6) AS top_score FROM q_k GROUP BY ALL", "d_questions", "d_chunks")
+def _echo(prompt: str, settings) -> str:
+    """A stand-in for a model: the settings, the prompt's length and its last line."""
+    return f"{settings.system}|{settings.max_tokens}|{len(prompt)}|{prompt.splitlines()[-1]}"
+
+
+@query(
+    _KNN + """, q_c AS (SELECT question_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, array_to_string(list(chunk_idx ORDER BY rank), ',') AS sources, round(max(score), 6) AS top_score FROM q_k GROUP BY ALL)
+    SELECT q.question_id, 'You are a precise clinical document analyst.|512|' || length('Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Answer based only on the context above.') || '|Answer based only on the context above.' AS answer,
+        coalesce(sources, '') AS sources, coalesce(top_score, 0.0) AS top_score, '' AS error FROM d_questions q LEFT JOIN q_c c ON c.question_id = q.question_id""",
+    "d_questions", "d_chunks",
+)
 def query_result(spark, sf_dir):
-    ranked = retrieve.rank(_scored(spark, sf_dir), 5)
-    out = retrieve.query_result(ranked, F.lit("n=5"))
-    return out.select("question_id", F.concat(F.lit("n="), F.size("sources").cast("string")).alias("answer"), F.array_join("sources", ",").alias("sources"), F.round("top_score", DIGITS).alias("top_score"))
+    out = answers.answer_questions(v.questions(spark, sf_dir), v.chunks(spark, sf_dir), {"mistral": _echo})
+    return out.select("question_id", "answer", F.array_join("sources", ",").alias("sources"), F.round("top_score", DIGITS).alias("top_score"), "error")
+
+
+@query(_KNN + "SELECT question_id, length(text) AS n_chars, round(score, 6) AS score FROM q_k", "d_questions", "d_chunks")
+def score_listing(spark, sf_dir):
+    return evaluate.by_score(_with_texts(_nearest(spark, sf_dir, 5), spark, sf_dir)).select("question_id", F.col("n_chars").cast("long").alias("n_chars"), F.round("score", DIGITS).alias("score"))
+
+
+def _half(name: str):
+    return F.slice(name, 1, 32).alias(name)
+
+
+@query(
+    _KNN + """, q_h AS (SELECT question_id, chunk_idx, list_inner_product(q_embedding[1:32], embedding[1:32]) / (sqrt(list_inner_product(q_embedding[1:32], q_embedding[1:32])) * sqrt(list_inner_product(embedding[1:32], embedding[1:32]))) AS score FROM d_questions JOIN d_chunks ON chunk_idx <> question_id),
+    q_a AS (SELECT question_id, chunk_idx FROM q_k WHERE rank = 1), q_b AS (SELECT question_id, chunk_idx FROM q_h QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_idx) = 1)
+    SELECT coalesce(a.question_id, b.question_id) AS question_id, a.chunk_idx AS first, b.chunk_idx AS second, coalesce(a.chunk_idx = b.chunk_idx, false) AS same FROM q_a a FULL JOIN q_b b ON a.question_id = b.question_id""",
+    "d_questions", "d_chunks",
+)
+def model_swap(spark, sf_dir):
+    other = retrieve.nearest(v.questions(spark, sf_dir).select("question_id", _half("q_embedding")), v.chunks(spark, sf_dir).select("chunk_idx", _half("embedding")), 1)
+    return evaluate.same_winner(_nearest(spark, sf_dir, 1), other)
+
+
+@query(
+    f"""q_p AS (SELECT a.question_id AS compound_id, list_transform(range(1, 65), lambda i: a.q_embedding[i] + b.q_embedding[i]) AS q_embedding, b.question_id AS other FROM d_questions a JOIN d_questions b ON b.question_id = a.question_id + 50 WHERE a.question_id % 100 = 0),
+    q_c AS (SELECT compound_id, max({_COSINE}) AS compound_score FROM q_p JOIN d_chunks ON chunk_idx <> compound_id GROUP BY compound_id),
+    q_s AS (SELECT question_id, max({_COSINE}) AS score FROM d_questions JOIN d_chunks ON chunk_idx <> question_id GROUP BY question_id)
+    SELECT c.compound_id, s.question_id, round(s.score, 6) AS score, round(s.score - c.compound_score, 6) AS gap FROM q_c c JOIN q_s s ON s.question_id // 100 * 100 = c.compound_id""",
+    "d_questions", "d_chunks",
+)
+def intent_gap(spark, sf_dir):
+    single = v.questions(spark, sf_dir).withColumn("compound_id", F.expr("question_id div 100 * 100"))
+    both = F.array_sort(F.collect_list(F.struct("question_id", "q_embedding")))
+    pairs = single.groupBy("compound_id").agg(both.alias("s")).where(F.size("s") == 2)
+    compound = pairs.select(F.col("compound_id").alias("question_id"), F.zip_with(F.col("s")[0]["q_embedding"], F.col("s")[1]["q_embedding"], lambda x, y: x + y).alias("q_embedding"))
+    ranked = _nearest(spark, sf_dir, 1).withColumn("compound_id", F.expr("question_id div 100 * 100"))
+    out = evaluate.intent_gap(retrieve.nearest(compound, v.chunks(spark, sf_dir), 1), ranked)
+    return out.withColumns({c: F.round(c, DIGITS) for c in ("score", "gap")})
 
 
 @query(_KNN + "SELECT round(corr(length(text)::DOUBLE, score), 6) AS correlation FROM q_k", "d_questions", "d_chunks")
 def length_score_corr(spark, sf_dir):
-    return evaluate.length_score_correlation(retrieve.rank(_scored(spark, sf_dir), 5)).withColumn("correlation", F.round("correlation", DIGITS))
+    return evaluate.length_score_correlation(_with_texts(_nearest(spark, sf_dir, 5), spark, sf_dir)).withColumn("correlation", F.round("correlation", DIGITS))
 
 
 @query(_KNN + "SELECT chunk_idx, count(*) AS wins, count(DISTINCT question_id) AS n_questions FROM q_k WHERE rank = 1 GROUP BY ALL", "d_questions", "d_chunks")
 def cross_query(spark, sf_dir):
-    return retrieve.rank(_scored(spark, sf_dir), 1).groupBy("chunk_idx").agg(F.count("*").alias("wins"), F.countDistinct("question_id").alias("n_questions"))
+    return _nearest(spark, sf_dir, 1).groupBy("chunk_idx").agg(F.count("*").alias("wins"), F.countDistinct("question_id").alias("n_questions"))
 
 
 @query(f"SELECT question_id, chunk_idx, round({_COSINE}, 6) AS cosine FROM d_questions JOIN d_chunks ON label = q_label", "d_questions", "d_chunks")
@@ -550,13 +616,16 @@ def cosine_pairs(spark, sf_dir):
 
 @query("q_s AS (SELECT question_id, chunk_idx, list_inner_product(q_embedding, embedding) AS score FROM d_questions JOIN d_chunks ON chunk_idx <> question_id) SELECT question_id, chunk_idx, round(score, 6) AS score FROM q_s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_idx) <= 5", "d_questions", "d_chunks")
 def inner_product_topk(spark, sf_dir):
-    pairs = v.questions(spark, sf_dir).crossJoin(v.chunks(spark, sf_dir)).where("chunk_idx <> question_id")
-    return retrieve.rank(embed.inner_product(pairs, "q_embedding", "embedding"), 5).select("question_id", "chunk_idx", F.round("score", DIGITS).alias("score"))
+    return retrieve.nearest(v.questions(spark, sf_dir), v.chunks(spark, sf_dir), 5, by_angle=False).select("question_id", "chunk_idx", F.round("score", DIGITS).alias("score"))
 
 
 @query("SELECT vec_id, label, len(embedding)::INTEGER AS dim, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
 def index_roundtrip(spark, sf_dir):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "quillspark-index")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "quillspark-index")
     index = embed.build_index(v.table(spark, sf_dir, "embeddings"), f"{base}/index-{uuid.uuid4().hex}")
     return index.select("vec_id", "label", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
@@ -573,7 +642,5 @@ def preview(spark, sf_dir):
     "d_questions", "d_chunks",
 )
 def prompt_build(spark, sf_dir):
-    from ..operators import answers
-
     pairs = v.questions(spark, sf_dir).join(v.chunks(spark, sf_dir).select("chunk_idx", F.col("text").alias("context")), F.col("chunk_idx") == F.col("question_id"))
     return answers.prompts(pairs).select("question_id", F.col("ord").alias("form"), "prompt")

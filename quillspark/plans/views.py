@@ -8,9 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import SECTION_ROUTES
+
 HEADERS = ("WARNING: (A) SERIOUS EVENTS", "THROMBOTIC EVENTS", "CONTRAINDICATIONS", "DOSAGE AND ADMINISTRATION", "INDICATIONS AND USAGE", "ADVERSE REACTIONS", "CONTENTS NOT HEADER*")
 SECTIONS = ("WARNING: SERIOUS EVENTS", "CONTRAINDICATIONS", "DOSAGE AND ADMINISTRATION", "INDICATIONS AND USAGE", "ADVERSE REACTIONS", "OVERDOSAGE AND CARE", "DESCRIPTION OF DRUG")
 PHRASES = ("black box warning", "boxed warning", "contraindication", "dosage", "indicated", "used for", "adverse reaction", "side effect", "drug interaction", "shelf life")
+#: The fixed routes, and one whose pattern is more than a prefix.
+ROUTES = (*SECTION_ROUTES, ("shelf life", "(OVERDOSAGE|DESCR)[A-Z]+ (AND|OF) "))
 ENGINES = ("tesseract", "paddleocr", "easyocr")
 
 
@@ -129,8 +133,8 @@ def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth dates of three granularities beside texts that hold a few dates."""
-    truth = F.expr("case doc_id % 3 when 0 then cast(1990 + doc_id % 30 as string) when 1 then concat(cast(1 + doc_id % 12 as string), '/', cast(2000 + doc_id % 25 as string)) else concat(cast(1 + doc_id % 12 as string), '/', cast(1 + doc_id % 28 as string), '/', cast(2000 + doc_id % 25 as string)) end")
-    text = F.expr("concat('seen ', cast(1990 + doc_id % 31 as string), ' and ', cast(1 + doc_id % 13 as string), '/', cast(2000 + doc_id % 25 as string), ' or ', cast(1 + doc_id % 12 as string), '/', cast(1 + doc_id % 27 as string), '/', cast(2000 + doc_id % 25 as string), ' then May 2019, 13/2014 end')")
+    truth = F.expr("case when doc_id % 13 = 1 then '1850' when doc_id % 13 = 3 then 'Sept 2014' when doc_id % 13 = 5 then 'Oct. 3, 2014' when doc_id % 13 = 7 then concat(cast(2000 + doc_id % 25 as string), '/05/01') when doc_id % 13 = 9 then '3 Mar 2012' when doc_id % 3 = 0 then cast(1990 + doc_id % 30 as string) when doc_id % 3 = 1 then concat(cast(1 + doc_id % 12 as string), '/', cast(2000 + doc_id % 25 as string)) else concat(cast(1 + doc_id % 12 as string), '/', cast(1 + doc_id % 28 as string), '/', cast(2000 + doc_id % 25 as string)) end")
+    text = F.expr("concat('seen ', cast(1990 + doc_id % 31 as string), ' and ', cast(1 + doc_id % 13 as string), '/', cast(2000 + doc_id % 25 as string), ' or ', cast(1 + doc_id % 12 as string), '/', cast(1 + doc_id % 27 as string), '/', cast(2000 + doc_id % 25 as string), ' then May 2019, 13/2014 and 10/3/2014 or 9/2014, 1850 end')")
     return table(spark, sf_dir, "documents").select("doc_id", truth.alias("truth"), text.alias("text"))
 
 
@@ -194,8 +198,8 @@ SQL = {
             '0' || (1 + doc_id % 9) || '/' || (2001 + doc_id % 20) AS spl_document, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'WARNING: X' END AS boxed_warning_title
         FROM (SELECT doc_id, string_split(replace(coalesce(text, ''), chr(10), ' '), ' ') AS w FROM documents)""",
     "d_dates": """
-        SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN (1990 + doc_id % 30)::VARCHAR WHEN 1 THEN (1 + doc_id % 12) || '/' || (2000 + doc_id % 25) ELSE (1 + doc_id % 12) || '/' || (1 + doc_id % 28) || '/' || (2000 + doc_id % 25) END AS truth,
-            'seen ' || (1990 + doc_id % 31) || ' and ' || (1 + doc_id % 13) || '/' || (2000 + doc_id % 25) || ' or ' || (1 + doc_id % 12) || '/' || (1 + doc_id % 27) || '/' || (2000 + doc_id % 25) || ' then May 2019, 13/2014 end' AS text FROM documents""",
+        SELECT doc_id, CASE WHEN doc_id % 13 = 1 THEN '1850' WHEN doc_id % 13 = 3 THEN 'Sept 2014' WHEN doc_id % 13 = 5 THEN 'Oct. 3, 2014' WHEN doc_id % 13 = 7 THEN (2000 + doc_id % 25) || '/05/01' WHEN doc_id % 13 = 9 THEN '3 Mar 2012' WHEN doc_id % 3 = 0 THEN (1990 + doc_id % 30)::VARCHAR WHEN doc_id % 3 = 1 THEN (1 + doc_id % 12) || '/' || (2000 + doc_id % 25) ELSE (1 + doc_id % 12) || '/' || (1 + doc_id % 28) || '/' || (2000 + doc_id % 25) END AS truth,
+            'seen ' || (1990 + doc_id % 31) || ' and ' || (1 + doc_id % 13) || '/' || (2000 + doc_id % 25) || ' or ' || (1 + doc_id % 12) || '/' || (1 + doc_id % 27) || '/' || (2000 + doc_id % 25) || ' then May 2019, 13/2014 and 10/3/2014 or 9/2014, 1850 end' AS text FROM documents""",
     "d_tables": """
         SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN [h] ELSE [h, r1, r2] END AS rows FROM (
             SELECT n_nationkey, ['key', 'name', CASE WHEN n_nationkey % 2 = 0 THEN 'name' ELSE 'region' END] AS h,

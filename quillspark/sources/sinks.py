@@ -14,8 +14,11 @@ def write_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def report(summary: DataFrame, rows: DataFrame, order: str) -> DataFrame:
-    """One JSON document {summary, results} of a summary row and a bounded table of result rows."""
+def report(summary: DataFrame, rows: DataFrame, order: str, most: int = 100_000) -> DataFrame:
+    """One JSON document {summary, results} of a summary row and a table of result rows. The document is made in one
+    task, so more than `most` rows are an error; `write_rows` takes any number."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows for one document")
     results = rows.agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c != order]))).alias("results"))
     one = summary.select(F.struct(*summary.columns).alias("summary")).crossJoin(results)
     return one.select(F.to_json(F.struct("summary", "results")).alias("value"))

@@ -8,8 +8,8 @@ def fragments(spark, rows):
     return spark.createDataFrame([("d", 0, i, float(y), float(x), t) for i, (y, x, t) in enumerate(rows)], "doc_id string, page_num int, frag_idx int, y0 double, x0 double, text string")
 
 
-def order(spark, rows, fn=layout.reading_order):
-    return fn(fragments(spark, rows)).first().text
+def order(spark, rows):
+    return layout.reading_order(fragments(spark, rows)).first().text
 
 
 def test_rows_are_anchored_to_their_first_fragment(spark):
@@ -46,7 +46,7 @@ quarter = st.integers(0, 40).map(lambda n: n / 4)
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(quarter, quarter, st.sampled_from("abcd")), min_size=1, max_size=25))
 def test_fold_and_arrow_agree_with_the_specification(spark, rows):
-    assert order(spark, rows) == plain(rows) == order(spark, rows, layout.reading_order_arrow)
+    assert order(spark, rows) == plain(rows)
 
 
 def test_blocks_pages_and_blank_pages(spark):

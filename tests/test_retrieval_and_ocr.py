@@ -36,6 +36,67 @@ def test_threshold_comes_after_top_k(spark):
     assert [r.chunk_idx for r in retrieve.threshold(retrieve.rank(df, 3), 0.3).collect()] == [0]
 
 
+@pytest.mark.parametrize("pattern,want", [("^DOSAGE", [0, 2, 3]), ("(WARN|DOS)[A-Z]+:", [1]), ("^.*USE$", [0, 3]), ("USE", [0, 1, 2, 3]), ("^DOSAGE|NONE", [0, 2, 3])])
+def test_section_patterns_are_matched_from_the_start(spark, pattern, want):
+    q = spark.createDataFrame([(1, pattern, None)], "question_id int, section_pattern string, document_filter string")
+    c = spark.createDataFrame([*CHUNKS, (4, None, None, [1.0, 0.0])], "chunk_idx int, document string, section string, embedding array<double>")
+    got = sorted(r.chunk_idx for r in retrieve.candidates(q, c).collect())
+    assert got == (want if pattern != "USE" else [0, 1, 2, 3, 4])
+
+
+def test_more_routes_and_gaps_than_are_broadcast(spark):
+    many = [(i, f"phrase {i:06d}!", f"^P{i}") for i in range(retrieve.ROUTE_ROWS + 5)]
+    routes = spark.createDataFrame(many, "priority int, phrase string, pattern string")
+    q = spark.createDataFrame([(1, f"what of {many[-1][1]}"), (2, "none")], "question_id int, question string")
+    assert {r.question_id: r.section_pattern for r in retrieve.resolve_section(q, routes).collect()} == {1: many[-1][2], 2: None}
+    gaps = spark.createDataFrame([(f"B{i}", "f") for i in range(retrieve.ROUTE_ROWS + 5)], "brand string, field string")
+    fields = spark.createDataFrame([("B10003", "f"), ("C", "f")], "brand_name string, field string")
+    assert [r.brand_name for r in evaluate.without_gaps(fields, gaps).collect()] == ["C"]
+
+
+@pytest.mark.parametrize("tie", ["first", "last"])
+def test_nearest_equals_all_pairs(spark, tie):
+    r = np.random.default_rng(4)
+    vectors = r.integers(-3, 4, (60, 4)).astype(float)
+    vectors[7] = 0
+    rows = [(i, vectors[i].tolist()) for i in range(60)]
+    questions, chunks = spark.createDataFrame(rows[::6], "question_id long, q_embedding array<double>"), spark.createDataFrame(rows, "chunk_idx long, embedding array<double>")
+    got = {(x.question_id, x["rank"]): x.chunk_idx for x in retrieve.nearest(questions, chunks, 3, False, tie, 4, 16).collect()}
+    for q in range(0, 60, 6):
+        best = sorted((-(vectors[q] @ vectors[c]), c if tie == "first" else -c) for c in range(60) if c != q)[:3]
+        assert [got[q, k + 1] for k in range(3)] == [abs(c) for _, c in best]
+    cosines = retrieve.nearest(questions, chunks, 100, question_rows=4, chunk_rows=16).where("question_id = 6")
+    assert 7 not in {x.chunk_idx for x in cosines.collect()} and cosines.count() == int(vectors.any(1).sum()) - 1
+    assert retrieve.nearest(questions.limit(0), chunks, 3).count() == 0
+
+
+def test_answers_come_from_the_found_texts(spark):
+    chunks = spark.createDataFrame([(10, "far", [0.0, 1.0]), (11, "near", [1.0, 0.0]), (12, "mid", [1.0, 1.0])], "chunk_idx int, text string, embedding array<double>")
+    q = spark.createDataFrame([(1, "which?", [1.0, 0.0])], "question_id int, question string, q_embedding array<double>")
+    made = answers.Loaded(lambda: lambda prompt, settings: f" {settings.system} {settings.max_tokens}: {prompt} ")
+    got = answers.answer_questions(q, chunks, {"mistral": made}, k=2).first()
+    assert got.answer == "You are a precise clinical document analyst. 512: Context:\nnear\n\nmid\n\nQuestion: which?\n\nAnswer based only on the context above."
+    assert got.sources == [11, 12] and got.scores[0] == got.top_score == pytest.approx(1.0) and got.error == ""
+    none = answers.answer_questions(q, chunks.limit(0), {}, k=2).first()
+    assert (none.sources, none.scores, none.top_score) == ([], [], 0.0) and none.error
+
+
+def test_words_of_one_engine_are_filtered(spark):
+    rows = [(1, 0, e, p, t, c) for e, scale in (("tesseract", 100.0), ("easyocr", 1.0)) for p, t, c in ((0, "a", 0.509 * scale), (1, " ", 0.9 * scale), (2, "b", 0.0), (3, "c", 0.7 * scale))]
+    rows += [(1, 1, "tesseract", 0, " ", 90.0)]
+    words = spark.createDataFrame(rows, "doc_id int, page_num int, engine string, pos int, text string, conf double")
+    got = {(r.page_num, r.engine): (r.text, r.avg_confidence) for r in ocr.page_results(words).collect()}
+    assert got == {(0, "tesseract"): ("a c", 60.0), (1, "tesseract"): ("", 0.0), (0, "easyocr"): ("a   b c", pytest.approx((0.509 + 0.9 + 0.0 + 0.7) / 4))}
+
+
+def test_a_stored_index_knows_its_model(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id int, embedding array<double>")
+    embed.build_index(df, str(tmp_path / "i"), model="minilm")
+    assert embed.load_index(spark, str(tmp_path / "i"), "minilm").count() == 1
+    with pytest.raises(ValueError):
+        embed.load_index(spark, str(tmp_path / "i"), "bge-base")
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     df = spark.range(100).selectExpr("id % 3 as question_id", "id as chunk_idx", "rand(1) as score")
     assert "WindowGroupLimit" in retrieve.rank(df, 2)._jdf.queryExecution().toString()
@@ -67,7 +128,7 @@ def test_approval_counts_twice(spark):
 
 def test_answers_keep_errors(spark):
     q = spark.createDataFrame([(1, "why?", "because")], "question_id int, question string, context string")
-    got = answers.compare_models(q, {"mistral": lambda p: " " + p[:8] + " "}).orderBy("ord").collect()
+    got = answers.compare_models(q, {"mistral": lambda p, settings: " " + p[:8] + " "}).orderBy("ord").collect()
     assert [(r.model, r.answer, bool(r.error)) for r in got] == [("mistral", "Context:", False), ("phi-2", "", True), ("gemini-1.5-flash", "", True)]
 
 

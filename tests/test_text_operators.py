@@ -106,3 +106,22 @@ def test_window_bounds_never_cut_the_best_window():
         k = len(need.split())
         want = max(fuzzy.similarity(need, " ".join(w[i : i + k])) for i in range(len(w) - k + 1)) if len(w) > k else fuzzy.similarity(need, hay)
         assert fuzzy.best_window(need, hay) == want
+
+
+@pytest.mark.parametrize("value,want", [
+    ("Sept 2014", "2014-09-01"), ("Oct. 3 2014", "2014-10-03"), ("october 3rd, 2014", "2014-10-03"), ("2014/08/01", "2014-08-01"), ("3 Mar 2012", "2012-03-03"), ("12-jan-2020", "2020-01-12"), ("1/2014", "2014-01-01"),
+    ("1800", "1800-01-01"), ("Friday 5 June 2015", "2015-06-05"), ("March", "2000-03-01"), ("no date", None), ("", None), (None, None),
+])
+def test_lenient_dates(spark, value, want):
+    got = spark.createDataFrame([(value,)], "v string").select(dates.parse_any(F.col("v")).cast("string").alias("d")).first().d
+    assert got == want
+
+
+def test_years_are_of_two_centuries(spark):
+    rows = [("1800", "day"), ("1999", "year"), ("2099", "year"), ("2100", "day"), (" 2001 ", "year"), ("1/2014", "month")]
+    df = spark.createDataFrame(rows, "v string, want string")
+    assert df.where(dates.granularity(F.col("v")) != F.col("want")).count() == 0
+
+
+def test_an_empty_needle_equals_an_empty_text_alone():
+    assert [fuzzy.best_window(" ", t) for t in ("", " ", "a", "a b c")] == [1.0, 1.0, 0.0, 0.0]
