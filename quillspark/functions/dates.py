@@ -42,6 +42,11 @@ def parse(value: Column) -> Column:
     return F.coalesce(*(F.try_to_date(v, f) for f in FORMS))
 
 
+def parse_candidate(value: Column) -> Column:
+    """As `parse`, for the forms of candidates alone."""
+    return F.coalesce(*(F.try_to_date(F.regexp_replace(value, r"(?U)\s+", " "), f) for f in ("M/d/yyyy", "M/yyyy", "MMMM yyyy", "yyyy")))
+
+
 def _lenient(values: pd.Series) -> pd.Series:
     from dateutil import parser
 
@@ -74,4 +79,4 @@ def matching(truth: Column, text: Column) -> Column:
     """All candidates in the text that equal the truth at its granularity, in text order."""
     grain, date_ = granularity(truth), parse_any(truth)
     # The truth's date is an argument and not part of the lambda, where no Python function may stand.
-    return F.flatten(F.transform(F.array(date_), lambda d: F.filter(candidates(text), lambda c: equal_at(d, parse(c), grain))))
+    return F.flatten(F.transform(F.array(date_), lambda d: F.filter(candidates(text), lambda c: equal_at(d, parse_candidate(c), grain))))

@@ -34,6 +34,12 @@ def ordered_text(df: DataFrame, keys: list[str], order: list[str], text: str, se
     return df.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["__text"]), separator).alias(name))
 
 
+def joined(text: str, order: str, separator: str) -> Column:
+    """An aggregate of the texts of a group in order, nulls left out, '' where there is none."""
+    literal = separator.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return F.coalesce(F.expr(f"listagg(`{text}`, '{literal}') within group (order by `{order}`)"), F.lit(""))
+
+
 def words(text: Column) -> Column:
     """The words between white space."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")

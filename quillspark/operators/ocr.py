@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIDENCE_SCALE, ENGINES, FILTERED_ENGINES
-from ..functions.text import blank, ordered_text
+from ..functions.text import blank, joined, ordered_text
 
 Engine = Callable[[bytes], dict]
 _engines: dict[str, Engine] = {}
@@ -35,8 +35,8 @@ def page_results(words: DataFrame, separator: str = " ", filtered: tuple[str, ..
     own = F.col("engine").isin(*filtered)
     counts = ~own | F.coalesce(is_usable(), F.lit(False))
     conf = F.when(own, F.col("conf").cast("int").cast("double")).otherwise(F.col("conf"))
-    listed = F.array_sort(F.collect_list(F.when(counts, F.struct("pos", "text"))))
-    return words.groupBy("doc_id", "page_num", "engine").agg(F.array_join(F.transform(listed, lambda x: x["text"]), separator).alias("text"), F.coalesce(F.avg(F.when(counts, conf)), F.lit(0.0)).alias("avg_confidence"))
+    counted = words.select("doc_id", "page_num", "engine", "pos", F.when(counts, F.col("text")).alias("text"), F.when(counts, conf).alias("conf"))
+    return counted.groupBy("doc_id", "page_num", "engine").agg(joined("text", "pos", separator).alias("text"), F.coalesce(F.avg("conf"), F.lit(0.0)).alias("avg_confidence"))
 
 
 def scaled(conf: Column, engine: Column, scale: dict[str, float] | None = None) -> Column:
@@ -50,8 +50,7 @@ def scaled(conf: Column, engine: Column, scale: dict[str, float] | None = None)
 
 def document_results(pages: DataFrame, scale: dict[str, float] | None = None) -> DataFrame:
     """Text of all pages, and the unweighted mean of the page means over the engine's scale."""
-    listed = F.array_sort(F.collect_list(F.struct("page_num", "text")))
-    both = pages.groupBy("doc_id", "engine").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("text"), F.avg("avg_confidence").alias("mean"))
+    both = pages.groupBy("doc_id", "engine").agg(joined("text", "page_num", "\n").alias("text"), F.avg("avg_confidence").alias("mean"))
     return both.withColumn("confidence", scaled(F.col("mean"), F.col("engine"), scale)).drop("mean")
 
 
