@@ -229,11 +229,13 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     dealt = space.put(_deal(rows, pivots).withColumn("place", F.monotonically_increasing_id()), "dealt")
     cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("asked").alias("q"), F.max("far").alias("far"), F.max(F.when(F.col("asked"), F.col("far"))).alias("far_q")).collect()
     blocks = {r.cell: -(-r.n // data_block) for r in cells}
-    asked = {r.cell: -(-r.q // query_block) for r in cells if r.q}
+    asked = [r.cell for r in cells if r.q]
+    query_blocks = max(1, -(-sum(r.q for r in cells) // query_block))
     first = dict(zip(blocks, (np.cumsum([*blocks.values()]) - [*blocks.values()]).tolist(), strict=True))
-    first_q = dict(zip(asked, (np.cumsum([*asked.values()]) - [*asked.values()]).tolist(), strict=True))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         s = DualSearch(_matrix(left["vector"], width), left["vec_id"].to_numpy(), _matrix(right["vector"], width), right["vec_id"].to_numpy(), k, left["known"].to_numpy(float))
         s.run()
         ok = np.isfinite(s.scores)
@@ -243,13 +245,15 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def best(pairs: list[tuple[int, int]], known: DataFrame | None) -> DataFrame:
-        """The k best of the queries of one cell among the data of another, over pairs of cells."""
-        table = F.broadcast(spark.createDataFrame([(c, first_q[c], asked[c], e, first[e], blocks[e]) for c, e in pairs], "c int, first_q int, n_q int, e int, first_d int, n_d int"))
-        spread = lambda name, n: F.explode(F.sequence(F.col(name), F.col(name) + F.col(n) - 1))
+        """The k best of the queries of one cell among the data of another, over pairs of cells. Blocks of queries are
+        made across cells, so that each block of data meets as few of them as there are; a query goes to the blocks of
+        its own pairs alone."""
+        to = F.broadcast(spark.createDataFrame([(c, first[e], blocks[e]) for c, e in pairs], "c int, first_d int, n_d int"))
+        held = F.broadcast(spark.createDataFrame([(e, first[e], blocks[e]) for e in sorted({e for _, e in pairs})], "e int, first_d int, n_d int"))
         queries = space.get("dealt").where("asked").select("vec_id", "vector", "cell").dropDuplicates(["vec_id", "vector"])
         queries = queries.withColumn("known", F.lit(float("-inf"))) if known is None else queries.join(known, "vec_id", "left").withColumn("known", F.coalesce("known", F.lit(float("-inf"))))
-        left = queries.join(table, F.col("cell") == F.col("c")).select("vec_id", "vector", "known", (F.col("first_q") + F.pmod(F.xxhash64("vec_id"), F.col("n_q"))).cast("int").alias("q"), spread("first_d", "n_d").alias("d"))
-        right = space.get("dealt").join(table, F.col("cell") == F.col("e")).select("vec_id", "vector", (F.col("first_d") + F.pmod(F.xxhash64("place"), F.col("n_d"))).cast("int").alias("d"), spread("first_q", "n_q").alias("q"))
+        left = queries.join(to, F.col("cell") == F.col("c")).select("vec_id", "vector", "known", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("q"), F.explode(F.sequence(F.col("first_d"), F.col("first_d") + F.col("n_d") - 1)).alias("d"))
+        right = space.get("dealt").join(held, F.col("cell") == F.col("e")).select("vec_id", "vector", (F.col("first_d") + F.pmod(F.xxhash64("place"), F.col("n_d"))).cast("int").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
         got = left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
         return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
