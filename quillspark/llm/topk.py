@@ -101,7 +101,7 @@ class DualSearch:
     `products` counts the inner products that were taken."""
 
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, known: np.ndarray | None = None):
-        self.q, self.d, self.k = CoverTree(queries, 4), CoverTree(data), k
+        self.q, self.d, self.k = CoverTree(queries, 4), CoverTree(data, 32), k
         self.query_ids, self.ids = query_ids, ids
         self.scores = np.full((len(queries), k), -np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
@@ -164,7 +164,7 @@ class DualSearch:
                     if upto <= lo:
                         self.pruned += hi - lo
                         break
-                    upto = min(upto, lo + 64)
+                    upto = min(upto, lo + 512)
                     self.score(leaf, b[lo:upto])
                     lo = upto
 
@@ -172,7 +172,8 @@ class DualSearch:
         """One query leaf against some data leaves."""
         self.scored += len(leaves)
         rows = self.q.order[self.q.first[a] : self.q.last[a]]
-        own = np.concatenate([self.d.order[self.d.first[b] : self.d.last[b]] for b in leaves.tolist()])
+        n = self.d.last[leaves] - self.d.first[leaves]
+        own = self.d.order[np.arange(int(n.sum())) + np.repeat(self.d.first[leaves] - np.cumsum(n) + n, n)]
         got = self.q.points[rows] @ self.d.points[own].T
         self.products += got.size
         ids = self.ids[own]
