@@ -283,11 +283,48 @@ def test_held_out_accuracy(spark, label, module, threshold, least):
     assert right >= least
 
 
+def test_compressed_sizes_equal_fresh_compressors(spark):
+    import zstandard
+
+    r = random.Random(3)
+    good, bad = [[" ".join(r.choice(w) for _ in range(r.randint(30, 300))) for _ in range(60)] for w in (" ".join(CLEAN).split(), ["buy", "now", "$$$", "click", "free", "win"])]
+    m = compression.fit(bad, good, good_share=0.7)
+    texts = [*good[:3], *bad[:3], "", None, "é" * 9000, "x"]
+    rows = {x.doc_id: x for x in compression.score(frame(spark, texts), m).collect() if x.doc_id is not None}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        sizes = []
+        for d in (m.good, m.bad):
+            made = zstandard.ZstdCompressor(level=m.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(made.compress(raw[k : k + m.block])) for k in range(0, len(raw), m.block)))
+        n = max(1, len(raw))
+        gap = (sizes[1] - sizes[0]) / n if raw else 0.0
+        x = [gap, gap * min(1.0, n / m.block), sizes[0] / n, min(sizes) / (n + 64)] if raw else [0.0] * 4
+        z = m.weights[0] + sum(w * (v - c) / s for w, v, c, s in zip(m.weights[1:], x, m.centre, m.spread, strict=True))
+        assert rows[i].gap == pytest.approx(gap) and rows[i].score == pytest.approx(1 / (1 + math.exp(-z)))
+    assert min(rows[i].score for i in range(3)) > max(rows[i].score for i in range(3, 6))
+
+
 def test_held_out_rows_are_never_learnt_from(spark):
     import zlib
 
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
     df = spark.range(200).select(F.col("id").alias("doc_id"), samples.held_out("id").alias("h"))
-    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in df.collect())
+    assert all(r.h == out(r.doc_id) for r in df.collect())
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("number "), F.col("id")).alias("text"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    none, some = samples.labelled_sample(docs, labels, "toxic", 1_000)
+    assert sorted(int(t.split()[1]) for t in none) == [i for i in range(0, 400, 2) if not out(i)]
+    assert sorted(int(t.split()[1]) for t in some) == [i for i in range(1, 400, 2) if not out(i)]
+
+
+def test_the_sample_is_bounded_by_rows_and_bytes(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id"), F.lit(" x")).alias("text")).unionByName(spark.createDataFrame([(1, "y" * 900)] * 9, "doc_id long, text string"))
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    few = samples.labelled_sample(docs, labels, "toxic", 20)
+    assert [len(x) <= 20 for x in few] == [True, True] and min(map(len, few)) >= 10
+    small = samples.labelled_sample(docs, labels, "toxic", 1_000, total_bytes=200)
+    assert all(0 < sum(map(len, x)) <= 200 for x in small) and not any("y" in t for x in small for t in x)
 
 
 def packed(spark, rows, **k):
