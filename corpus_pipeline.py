@@ -49,14 +49,19 @@ STAGES = [
     ("packing", best_fit_packing),
 ]
 
-#: Fitted models and tokenisers are not SQL; tests hold the stages against brute force.
+#: Fitted models and tokenisers are not SQL; tests hold the operators and the near-duplicate stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again by the next."""
+    """All stages over `documents`, each written to the shared folder and read again by the next; a table goes when its
+    successor is written."""
     space = Workspace(spark, "pipeline")
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    before = None
     for name, stage in STAGES[:-1]:
         docs = space.put(stage(spark, docs, sf_dir), name)
+        if before:
+            space.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
