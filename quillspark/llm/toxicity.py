@@ -1,17 +1,16 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Fit: from a bounded sample of labelled texts come a character trigram model of words, and a lexicon of words and word
-beginnings that mark label 1, chosen by a likelihood-ratio test that grows with the number of candidates. Score: all
-tokens that hold a sign, a digit or a letter twice in a row, and all runs of single characters set apart by spaces,
+Fit: from all labelled texts come a character trigram model of words, and a lexicon of words and word beginnings that
+mark label 1, chosen by a likelihood-ratio test that grows with the number of candidates. Score: all tokens that hold a sign, a digit or a letter twice in a row, and all runs of single characters set apart by spaces,
 become lattices of the letters they may stand for and of the places where words may end; Viterbi decoding under the
 character model restores the likeliest words; these and the plain words are held against the lexicon. Letters under
 marks (diacritics) may stand for the bare letter, signs among letters for nothing, and the spaces between pieces of up
 to three letters may be none. The evidence of the distinct words, the number of hits and the text's number of words
-give the score by a logistic curve fitted on the sample and set to the share of label 1, since a long text holds
+give the score by a logistic curve fitted on the same texts and set to the share of label 1, since a long text holds
 some word of the lexicon by chance.
 
 Edge cases: null and empty texts score as texts without words and evidence; a null id stays null; repeated rows are
-scored one by one; a sample without a class gives an empty lexicon and a constant score; extra columns are ignored by
+scored one by one; labels without a class give an empty lexicon and a constant score; extra columns are ignored by
 `score` and kept by `filter_toxic`. Whole texts are scored, whatever their length.
 """
 
@@ -20,18 +19,21 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
-from itertools import chain
+from itertools import chain, count
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import SPACES, WordCache, filter_rows, map_texts, run_hashes, runs
-from .samples import labelled_sample, logistic, share_of
+from .common import SPACES, WordCache, Workspace, filter_rows, map_texts, row_groups, run_hashes, runs, string_column, text_buffer, tidily
+from .families import labelled_families
+from .samples import logistic, share_of
 
 #: What signs and digits may stand for (fixed values).
 LEET = {
@@ -81,48 +83,45 @@ class ToxicModel:
 
 def features(word: str, lo: int = 4, hi: int = 8) -> list[str]:
     """A word and its beginnings; the latter end in a sign that no word has."""
-    return [word, *(word[:k] + "^" for k in range(lo, min(hi, len(word)) + 1))]
+    return [word, *[word[:k] + "^" for k in range(lo, min(hi, len(word)) + 1)]]
 
 
 def plain_words(text: str) -> set[str]:
     return set(_LETTERS.findall(text.lower()))
 
 
-def fit(clean: list[str], toxic: list[str], min_count: int = 3, prior: float = 0.1) -> ToxicModel:
-    """The model of two samples; `prior` is the weight of label 1 that evidence is turned into chances with."""
-    chars: Counter = Counter()
-    own: dict[str, str] = {}  # one object a word, however many texts have it
-    sets = [[tuple(own.setdefault(w, w) for w in plain_words(t)) for t in texts] for texts in (clean, toxic)]
-    for words in chain(*sets):
-        chars.update(words)
-    marked: Counter = Counter()
-    for words in sets[1]:
-        marked.update({f for w in words for f in features(w)})
-    marked = Counter({f: n for f, n in marked.items() if n >= min_count})
-    candidates = {f: f for f in marked}
-    of_word = {w: fs for w in chars if (fs := tuple(candidates[f] for f in features(w) if f in candidates))}
-    unmarked: Counter = Counter()
-    for words in sets[0]:
-        unmarked.update({f for w in words for f in of_word.get(w, ())})
-    n0, n1 = max(1, len(clean)), max(1, len(toxic))
-    found: dict[str, float] = {}
-    need = 2 * math.log(max(len(candidates), 2)) + 12
-    share = n1 / (n0 + n1)
-    for f in candidates:
-        a, b = unmarked[f], marked[f]
-        if b / n1 <= 4 * a / n0:
-            continue
-        p = b / (a + b)
-        ratio = 2 * (b * math.log(p / share) + (a * math.log((1 - p) / (1 - share)) if a else 0.0))
-        if ratio >= need:
-            hit1, hit0 = (b + 0.2) / (n1 + 1), (a + 0.2) / (n0 + 1)
-            found[f] = prior * hit1 / (prior * hit1 + (1 - prior) * hit0)
-    found = {f: p for f, p in found.items() if p >= 0.3}
-    three: Counter = Counter()
-    for w, n in chars.items():
-        s = f"\x02\x02{w}\x03"
-        for i in range(2, len(s)):
-            three[s[i - 2 : i + 1]] += n
+def text_features(text: str, known: dict[str, list[str]]) -> set[str]:
+    """The features of a text's words; `known` keeps those of words met before."""
+    out: set[str] = set()
+    for w in plain_words(text):
+        own = known.get(w)
+        if own is None:
+            if len(known) >= MOST_KEPT:
+                known.clear()
+            own = known[w] = features(w)
+        out.update(own)
+    return out
+
+
+def mark_chances(a: np.ndarray, b: np.ndarray, n0: int, n1: int, candidates: int, prior: float) -> np.ndarray:
+    """The chance of label 1 given each feature that `a` of n0 texts of label 0 and `b` of n1 of label 1 have; 0 where it
+    fails the likelihood-ratio test or speaks too little for label 1."""
+    n0, n1 = max(1, n0), max(1, n1)
+    share, p = n1 / (n0 + n1), b / (a + b)
+    ratio = 2 * (b * np.log(p / share) + a * np.log(np.where(a > 0, 1 - p, 1 - share) / (1 - share)))
+    hit1, hit0 = (b + 0.2) / (n1 + 1), (a + 0.2) / (n0 + 1)
+    chance = prior * hit1 / (prior * hit1 + (1 - prior) * hit0)
+    return np.where((b / n1 > 4 * a / n0) & (ratio >= 2 * math.log(max(candidates, 2)) + 12) & (chance >= 0.3), chance, 0.0)
+
+
+def count_trigrams(word: str, n: int, into: Counter) -> None:
+    s = f"\x02\x02{word}\x03"
+    for i in range(2, len(s)):
+        into[s[i - 2 : i + 1]] += n
+
+
+def _model(found: dict[str, float], three: dict[str, int]) -> ToxicModel:
+    """A model without curve, of a lexicon and of the numbers of trigrams."""
     grams: Counter = Counter(three)
     for g, n in three.items():
         grams["2" + g[1:]] += n
@@ -131,28 +130,182 @@ def fit(clean: list[str], toxic: list[str], min_count: int = 3, prior: float = 0
         grams["d" + g[1]] += n
     total = sum(n for g, n in grams.items() if g[0] == "1" and len(g) == 2)
     alphabet = sum(1 for g in grams if g[0] == "1" and len(g) == 2)
-    model = ToxicModel({f: p for f, p in found.items() if f[-1] != "^"}, {f: p for f, p in found.items() if f[-1] == "^"}, {**grams, "": total}, max(1, alphabet))
-    return replace(model, weights=_curve(model, clean, toxic, prior))
+    return ToxicModel({f: p for f, p in found.items() if f[-1] != "^"}, {f: p for f, p in found.items() if f[-1] == "^"}, {**grams, "": total}, max(1, alphabet))
+
+
+def _flat_curve(prior: float) -> tuple[float, ...]:
+    return (math.log(prior / (1 - prior)), *([0.0] * (N_FEATURES - 1)))
 
 
-def _curve(model: ToxicModel, clean: list[str], toxic: list[str], prior: float) -> tuple[float, ...]:
-    """Weights of the logistic curve, by at most CURVE_TEXTS texts of either sample, with the given share of label 1."""
-    clean, toxic = (x[:: -(-len(x) // CURVE_TEXTS) or 1] for x in (clean, toxic))
+def _set_share(w: np.ndarray, n0: int, n1: int, prior: float) -> tuple[float, ...]:
+    """A curve fitted on n0 and n1 texts, set to the given share of label 1."""
+    return (float(w[0] + math.log(prior / (1 - prior)) - math.log(n1 / n0)), *w[1:].tolist())
+
+
+def fit(clean: list[str] | DataFrame, toxic: list[str] | DataFrame, min_count: int = 3, prior: float = 0.1) -> ToxicModel:
+    """The model of all texts of two lists, or of two tables with a column `text`; `prior` is the weight of label 1 that
+    evidence is turned into chances with."""
+    if isinstance(clean, DataFrame):
+        return _fit_tables(clean, toxic, min_count, prior)
+    known: dict[str, list[str]] = {}
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for count, texts in zip(counts, (clean, toxic), strict=True):
+        for t in texts:
+            count.update(text_features(t, known))
+    candidates = [f for f, n in counts[1].items() if n >= min_count]
+    a, b = (np.array([count[f] for f in candidates], float) for count in counts)
+    three: Counter = Counter()
+    for f, n in (counts[0] + counts[1]).items():
+        if f[-1] != "^":
+            count_trigrams(f, n, three)
+    model = _model({f: p for f, p in zip(candidates, mark_chances(a, b, len(clean), len(toxic), len(candidates), prior).tolist(), strict=True) if p}, three)
     if not clean or not toxic:
-        return (math.log(prior / (1 - prior)), *([0.0] * (N_FEATURES - 1)))
+        return replace(model, weights=_flat_curve(prior))
     evidence = _worker(model)
     x = []
     for t in chain(clean, toxic):
         raw = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
         x.append(curve_features(*evidence(raw, np.array([0, len(raw)]))))
-    y = np.repeat([0.0, 1.0], [len(clean), len(toxic)])
-    w = logistic(np.concatenate(x), y, ridge=1e-4)
-    w[0] += math.log(prior / (1 - prior)) - math.log(len(toxic) / len(clean))
-    return tuple(w.tolist())
+    w = logistic(np.concatenate(x), np.repeat([0.0, 1.0], [len(clean), len(toxic)]), ridge=RIDGE)
+    return replace(model, weights=_set_share(w, len(clean), len(toxic), prior))
+
+
+def _fit_tables(clean: DataFrame, toxic: DataFrame, min_count: int, prior: float) -> ToxicModel:
+    """`fit` where the texts lie: only the lexicon, the trigrams and sums for the curve come to the driver."""
+    space = Workspace(clean.sparkSession, "toxicity")
+    try:
+        texts = clean.select(F.lit(0).cast("bigint").alias("label"), "text").unionByName(toxic.select(F.lit(1).cast("bigint").alias("label"), "text"))
+        sizes = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+        counts = texts.mapInArrow(tidily(_count_features), "feature string, a bigint, b bigint")
+        counts = space.put(counts.groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
+        candidates = counts.where(F.col("b") >= min_count)
+        n = candidates.count()
+
+        def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b = (batch.column(k).to_numpy().astype(float) for k in (1, 2))
+                chance = pa.array(mark_chances(a, b, n0, n1, n, prior))
+                yield pa.RecordBatch.from_arrays([batch.column(0), chance], names=["feature", "chance"]).filter(pc.greater(chance, 0))
+
+        found = {r.feature: r.chance for r in candidates.mapInArrow(marks, "feature string, chance double").collect()}
+        words = counts.where(~F.col("feature").endswith("^")).select("feature", (F.col("a") + F.col("b")).alias("n"))
+        three = words.mapInArrow(tidily(_count_trigrams), "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+        model = _model(found, {r.gram: r.n for r in three.collect()})
+        if not n0 or not n1:
+            return replace(model, weights=_flat_curve(prior))
+        shared = clean.sparkSession.sparkContext.broadcast(model)
+
+        def evidence() -> Callable:
+            work = _worker(shared.value)
+
+            def columns(data: np.ndarray, off: np.ndarray, batch: pa.RecordBatch) -> dict:
+                sums, hits, words = work(data, off)
+                return {"label": batch.column(0), "sums": sums.astype(float), "hits": hits, "words": np.where(hits > 0, words, 0)}
+
+            return columns
+
+        of_texts = map_texts(texts, evidence, "label bigint, sums double, hits bigint, words bigint", "label", "text")
+        points = space.put(of_texts.groupBy("label", "sums", "hits", "words").agg(F.count("*").alias("n")), "points")
+        return replace(model, weights=_set_share(_newton(points, n0 + n1), n0, n1, prior))
+    finally:
+        space.drop("")
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
+def _count_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of label 0 and of label 1 each feature is, in parts."""
+    ids: defaultdict[str, int] = defaultdict(count().__next__)
+    totals = np.zeros((2, 0), np.int64)
+    size = 0
+
+    def columns(words: list[bytes]) -> dict:
+        lows = [w.decode("utf-8", "replace").lower() for w in words]
+        own = [features(x) if x.isalpha() else [f for w in _LETTERS.findall(x) for f in features(w)] for x in lows]
+        return {"lens": np.fromiter(map(len, own), np.int64, len(own)), "flat": np.fromiter(map(ids.__getitem__, chain.from_iterable(own)), np.int64)}
+
+    cache = WordCache(columns)
+
+    def part() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.array(totals[0]), pa.array(totals[1])], names=["feature", "a", "b"])
+        ids.clear()
+        ids.default_factory = count().__next__
+        cache.clear()
+        return out
+
+    for batch in batches:
+        raw, off = text_buffer(string_column(batch, "text"))
+        labels = batch.column(0).to_numpy()
+        for lo, hi in row_groups(off):
+            data = raw[off[lo] : off[hi]]
+            starts, ends, text = runs(data, off[lo : hi + 1] - off[lo], SPACES)
+            if not len(starts):
+                continue
+            row = cache.look(data, starts, ends, run_hashes(data, starts, ends))
+            n = len(cache.sizes)
+            text, row = np.divmod(_distinct(text * n + row), n)
+            lens = cache.columns["lens"][row]
+            at = np.repeat(cache.columns["base"][row] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+            text, feature = np.divmod(_distinct(np.repeat(text, lens) * len(ids) + cache.columns["flat"][at]), max(1, len(ids)))
+            totals = np.pad(totals, ((0, 0), (0, len(ids) - totals.shape[1])))
+            for k in (0, 1):
+                totals[k] += np.bincount(feature[labels[lo + text] == k], minlength=len(ids))
+            size += len(data)
+            if len(ids) >= MOST_KEPT or size >= PART_BYTES:
+                yield part()
+                totals, size = totals[:, :0], 0
+    yield part()
+
+
+def _count_trigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each trigram of letters is in words, in parts."""
+    three: Counter = Counter()
+
+    def part() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(three), pa.string()), pa.array(list(three.values()), pa.int64())], names=["gram", "n"])
+        three.clear()
+        return out
+
+    for batch in batches:
+        for word, n in zip(batch.column(0), batch.column(1), strict=True):
+            count_trigrams(word.as_py(), n.as_py(), three)
+            if len(three) >= MOST_KEPT:
+                yield part()
+    yield part()
+
+
+def _newton(points: DataFrame, n: int, steps: int = 50) -> np.ndarray:
+    """`logistic` over a table: each step adds up gradient and curvature where the rows lie."""
+    w = np.zeros(N_FEATURES)
+    for _ in range(steps):
+
+        def sums(batches: Iterable[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((N_FEATURES + 1, N_FEATURES))
+            for batch in batches:
+                y, log, hits, words, times = (c.to_numpy() for c in batch.columns)
+                x = curve_features(log, hits, words)
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                total[0] += x.T @ (times * (y - p))
+                total[1:] += (x * (times * p * (1 - p))[:, None]).T @ x
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], names=["sums"])
+
+        parts = points.mapInArrow(sums, "sums array<double>").collect()
+        total = np.sum([r.sums for r in parts], axis=0).reshape(N_FEATURES + 1, N_FEATURES)
+        move = np.linalg.solve(total[1:] + RIDGE * n * np.eye(N_FEATURES), total[0] - RIDGE * n * w)
+        w = w + move
+        if np.abs(move).max() < 1e-8:
+            break
+    return w
 
 
 N_FEATURES = 6
-CURVE_TEXTS = 1_000
+RIDGE = 1e-4
+#: Words, features or trigrams that a task keeps, and bytes of text it counts, before it hands its counts on.
+MOST_KEPT, PART_BYTES = 500_000, 64 << 20
 
 
 def curve_features(sums: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -290,22 +443,27 @@ class Scorer:
         """Log of the chance that all of the words speak for label 0 only."""
         return sum(math.log1p(-min(p, 1 - 1e-9)) for w in set(words) if (p := self.word(w)))
 
-    def token(self, token: str) -> float:
-        """Log of the chance that a token speaks for label 0 only."""
-        low = token.lower()
-        if low.isalpha():
-            p = self.word(low)
-            best = math.log1p(-min(p, 1 - 1e-9)) if p else 0.0
-            if low.isascii() and not _REPEATED.search(low):
-                return best
-        else:
-            best = self.evidence(_LETTERS.findall(low))
-        core = suspicious(low)
-        if core and self.may_hide(core):
+    def tokens(self, tokens: Iterable[str]) -> list[float]:
+        """Logs of the chances that tokens speak for label 0 only."""
+        out: list[float] = []
+        cores: list[str] = []
+        places: list[int] = []
+        for token in tokens:
+            low = token.lower()
+            if plain := low.isalpha():
+                p = self.word(low)
+                out.append(math.log1p(-min(p, 1 - 1e-9)) if p else 0.0)
+            else:
+                out.append(self.evidence(_LETTERS.findall(low)))
+            if not (plain and low.isascii() and not _REPEATED.search(low)) and (core := suspicious(low)):
+                cores.append(core)
+                places.append(len(out) - 1)
+        for k in self.hiding(cores):
+            core, at = cores[k], places[k]
             inner = core.strip(_SIGNS)
             ways = {self.restorer.restore(core)} if inner == core else {self.restorer.restore(x, edges) for x, edges in ((core, True), (core, False), (inner, True))}
-            best = min(best, *(self.evidence(w.split()) for w in ways), 0.0)
-        return best
+            out[at] = min(out[at], *(self.evidence(w.split()) for w in ways), 0.0)
+        return out
 
     def run(self, tokens: list[str]) -> list[str]:
         """The words of the lexicon in pieces set apart by spaces: of the likeliest way through the whole run or, where it
@@ -334,6 +492,26 @@ class Scorer:
         for end, _ in self.marks.iter(text):
             yield end, self.marks.exists(text[: end + 1])
 
+    def hiding(self, texts: list[str]) -> list[int]:
+        """Which of many texts without line ends `may_hide`, all read as lines of one."""
+        if not len(self.marks):
+            return []
+        found = {k for k, t in enumerate(texts) if "*" in t}
+        drawn: list[tuple[list[int], list[str]]] = []
+        for plain in (True, False):
+            own = [k for k, t in enumerate(texts) if t.isascii() == plain]
+            signs = [k for k in own if not texts[k].isalnum()]
+            ways = [(own, outlines([texts[k] for k in own])), (signs, outlines([texts[k] for k in signs], True))]
+            drawn += ways
+            if not plain:
+                ways.append((own, [texts[k] for k in own]))
+                drawn += [(places, outlines("\n".join(lines).translate(_BARE_LETTERS).split("\n"))) for places, lines in ways if lines]
+        for places, lines in drawn:
+            ends = np.fromiter((end for end, _ in self.marks.iter("\n".join(lines))), np.int64)
+            sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
+            found.update(places[k] for k in set(np.searchsorted(np.cumsum(sizes), ends, "right").tolist()))
+        return sorted(found)
+
 
 def outline(text: str, drop: bool = False) -> str:
     """Letters without repeats, digits and signs as what they may stand for, i and l as one; separators and other signs,
@@ -342,8 +520,22 @@ def outline(text: str, drop: bool = False) -> str:
     return _REPEATS.sub(r"\1", plain if plain.isalpha() else "".join([c for c in plain if c.isalpha()]))
 
 
+def outlines(texts: list[str], drop: bool = False) -> list[str]:
+    """The outline of each of many texts without line ends."""
+    plain = "\n".join(texts).translate(_LINES_DROPPED if drop else _LINES_READ)
+    if not plain.isascii():
+        odd = {c for c in set(plain) if not c.isalpha() and c != "\n"}
+        if len(odd) > 20:
+            plain = "".join([c for c in plain if c not in odd])
+        else:
+            for c in odd:
+                plain = plain.replace(c, "")
+    return _REPEATS.sub(r"\1", plain).split("\n") if texts else []
+
+
 _READ = {**{c: None for c in range(128) if not chr(c).isalpha()}, **{ord(c): x[0] for c, x in LEET.items()}, ord("l"): "i", ord("1"): "i", ord("|"): "i", ord("£"): "i"}
 _DROPPED = {c: x if chr(c).isalnum() else None for c, x in _READ.items()}
+_LINES_READ, _LINES_DROPPED = ({**x, ord("\n"): "\n"} for x in (_READ, _DROPPED))
 _REPEATS = re.compile(r"(.)\1+")
 
 
@@ -356,20 +548,19 @@ def _worker(model: ToxicModel) -> Callable:
     scorer = Scorer(model)
 
     def columns(words: list[bytes]) -> dict:
-        return {"log": np.fromiter((scorer.token(w.decode("utf-8", "replace")) for w in words), float, len(words))}
+        return {"log": np.array(scorer.tokens(w.decode("utf-8", "replace") for w in words), float)}
 
     cache = WordCache(columns)
     in_runs: dict[bytes, list[str]] = {}
 
-    def words_of(raw: bytes) -> list[str]:
-        got = in_runs.get(raw)
-        if got is None:
-            if len(in_runs) >= 20_000:
-                in_runs.clear()
-            text = raw.decode("utf-8", "replace").lower()
-            pieces = _SPACE.split(text.strip(_BLANKS))
-            got = in_runs[raw] = scorer.run(pieces) if scorer.may_hide("".join(pieces)) else []
-        return got
+    def read_runs(raws: list[bytes]) -> None:
+        if len(in_runs) >= 20_000:
+            in_runs.clear()
+        fresh = [x for x in dict.fromkeys(raws) if x not in in_runs]
+        pieces = [_SPACE.split(x.decode("utf-8", "replace").lower().strip(_BLANKS)) for x in fresh]
+        in_runs.update((x, []) for x in fresh)
+        for k in scorer.hiding(["".join(x) for x in pieces]):
+            in_runs[fresh[k]] = scorer.run(pieces[k])
 
     def work(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Evidence, hits and words of each text."""
@@ -391,21 +582,29 @@ def _worker(model: ToxicModel) -> Callable:
         tail[:-1] &= ~(short[1:] & (text[1:] == text[:-1]))
         upto = np.concatenate([[0], np.cumsum(size)])
         seen: set[tuple[int, str]] = set()
-        for a, b in zip(np.flatnonzero(head).tolist(), np.flatnonzero(tail).tolist(), strict=True):
-            if b > a and upto[b + 1] - upto[a] >= scorer.head:
-                for w in words_of(data[starts[a] : ends[b]].tobytes()):
-                    hits[text[a]] += 1
-                    if (text[a], w) not in seen:
-                        seen.add((text[a], w))
-                        sums[text[a]] += scorer.evidence([w])
+        a, b = np.flatnonzero(head), np.flatnonzero(tail)
+        many = (b > a) & (upto[b + 1] - upto[a] >= scorer.head)
+        raws = [data[x:y].tobytes() for x, y in zip(starts[a[many]].tolist(), ends[b[many]].tolist(), strict=True)]
+        read_runs(raws)
+        for k, x in zip(text[a[many]].tolist(), raws, strict=True):
+            for w in in_runs[x]:
+                hits[k] += 1
+                if (k, w) not in seen:
+                    seen.add((k, w))
+                    sums[k] += scorer.evidence([w])
         return sums, hits, np.bincount(text, minlength=n)
 
     return work
 
 
-def fit_from(docs: DataFrame, labels: DataFrame, per_class: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
-    """The model of a sample of at most `per_class` texts a class, and of the share of label 1, none of them held out."""
-    return fit(*labelled_sample(docs, labels, "toxic", per_class, id_col=id_col, text_col=text_col), prior=share_of(labels, "toxic", id_col))
+def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
+    """The model of all labelled texts, one of each family of near copies, and of the share of label 1, none of them held
+    out."""
+    space = Workspace(docs.sparkSession, "families")
+    try:
+        return fit(*labelled_families(space, docs, labels, "toxic", id_col=id_col, text_col=text_col), prior=share_of(labels, "toxic", id_col))
+    finally:
+        space.drop("")
 
 
 def score(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,11 +3,12 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from quillspark.llm import bpe, common, compression, fertility, packing, samples, secrets, toxicity, unigram
+from quillspark.llm import bpe, common, compression, families, fertility, packing, samples, secrets, toxicity, unigram
 from quillspark.llm.tokenizer_files import tokenizer_path
 from pyspark.sql import functions as F
 
@@ -327,6 +328,41 @@ def test_the_sample_is_bounded_by_rows_and_bytes(spark):
     assert all(0 < sum(map(len, x)) <= 200 for x in small) and not any("y" in t for x in small for t in x)
 
 
+def labelled(spark, clean, toxic):
+    ids = [i for i in range(2 * (len(clean) + len(toxic)) + 99) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, t, k) for i, (t, k) in zip(ids, [*((t, 0) for t in clean), *((t, 1) for t in toxic)])]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int")
+
+
+def test_toxicity_learns_from_every_labelled_text(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("aeioulmnrst") for _ in range(6)) for _ in range(400)]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    clean = [line(12) for _ in range(6_000)]
+    toxic = [line(12) + " snorlet" for _ in range(4_500)] + [line(10_000) + " grobnik" for _ in range(40)] + [line(12) + " vrekkel" for _ in range(40)]
+    model = toxicity.fit_from(*labelled(spark, clean, toxic))
+    assert {"snorlet", "grobnik", "vrekkel"} <= set(model.words)
+    whole = toxicity.fit(clean, toxic, prior=(len(toxic) + 0.5) / (len(clean) + len(toxic) + 1))
+    assert model.trigrams == whole.trigrams and model.alphabet == whole.alphabet
+    assert model.words == pytest.approx(whole.words) and model.beginnings == pytest.approx(whole.beginnings)
+    assert model.weights == pytest.approx(whole.weights, rel=1e-4, abs=1e-4)
+
+
+def test_a_family_of_labelled_texts_counts_once(spark):
+    r = random.Random(6)
+    line = lambda: [f"{r.choice('abcdefgh')}{r.randrange(10**6)}" for _ in range(40)]
+    base = line()
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (3, 30)]
+    apart = [" ".join(line()) for _ in range(50)]
+    docs, labels = labelled(spark, [*apart, " ".join(base)], [" ".join(base), *near, *near, " ".join(base).upper(), "a b", "a b", "", None])
+    space = common.Workspace(spark, "families")
+    none, some = ([x.text for x in df.collect()] for df in families.labelled_families(space, docs, labels, "toxic"))
+    assert sorted(none) == sorted([*apart, " ".join(base)])
+    assert sum(len(t) > 3 for t in some) == 1 and sorted(t for t in some if len(t) <= 3) == ["", "a b"]
+    space.drop("")
+
+
 def packed(spark, rows, **k):
     df = spark.createDataFrame(rows, "doc_id long, n long, source string, cluster long, bin_id string")
     return packing.pack(df, "doc_id", F.col("n"), F.col("source"), F.col("cluster"), **k).collect()
