@@ -1,7 +1,10 @@
+import random
+import zlib
+
 import __spark_entry__ as entry
 import corpus_pipeline
 import pytest
-from quillspark.llm import queries
+from quillspark.llm import queries, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, id int, label int, shard long, n long, key string, __gone0 string"
 WORDS = "the river runs past a quiet mill and a field of barley where two men talk of rain and wind"
@@ -56,6 +59,22 @@ def test_stages_take_odd_and_empty_tables(spark, odd_dir, stage):
         assert sum(r.doc_id is not None and r.doc_id >= 100 for r in rows) <= 1 and sum(r.doc_id is None for r in rows) == 2
 
 
+def test_the_toxicity_stage_learns_from_every_labelled_text(spark, tmp_path):
+    # The only texts with the mark are longer than 64 KB, which a bounded sample left out.
+    r = random.Random(8)
+    words = ["".join(r.choice("aeioulmnrst") for _ in range(6)) for _ in range(400)]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    ids = [i for i in range(9_999) if zlib.crc32(str(i).encode()) % 5]
+    rows = [*((line(12), 0) for _ in range(4_500)), *((line(12) + " snorlet", 1) for _ in range(600)), *((line(10_000) + " grobnik", 1) for _ in range(20))]
+    docs = [(i, t) for i, (t, _) in zip(ids, rows, strict=False)] + [(20_000, "you grobnik"), (20_001, "you gr0bn1k"), (20_002, line(12))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    spark.createDataFrame([(i, k) for i, (_, k) in zip(ids, rows, strict=False)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = dict(corpus_pipeline.STAGES)["toxicity"](spark, docs.where("doc_id >= 20000").unionByName(docs.where("doc_id < 20000")), str(tmp_path))
+    model = toxicity.fit_from(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert {"grobnik", "snorlet"} <= set(model.words)
+    assert not {20_000, 20_001} & {x.doc_id for x in kept.collect()}
+
+
 def test_the_near_duplicate_stage_equals_brute_force(spark, sf_dir):
     from test_jaccard import brute
 
