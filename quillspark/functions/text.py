@@ -12,7 +12,8 @@ def strip(c: Column) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return strip(c) == ""
+    """Whether there is nothing but white space."""
+    return ~c.rlike(r"(?U)\S")
 
 
 def last_group(text: Column, pattern: str, groups: int) -> Column:

@@ -22,23 +22,35 @@ def register(name: str, engine: Engine) -> None:
 
 def usable_words(words: DataFrame) -> DataFrame:
     """Words with text and a whole confidence above zero."""
-    return words.where(is_usable())
+    return words.where(is_usable(F.col("text"), F.col("conf")))
 
 
-def is_usable() -> Column:
-    return ~blank(F.col("text")) & (F.col("conf").cast("int") > 0)
+def is_usable(text: Column, conf: Column) -> Column:
+    return ~blank(text) & (conf.cast("int") > 0)
 
 
 def page_results(words: DataFrame, separator: str = " ", filtered: tuple[str, ...] = FILTERED_ENGINES) -> DataFrame:
     """Text and mean confidence per page and engine, '' and 0 where no word is left. Of `filtered` engines only usable
     words count, with their whole confidences; the others give words that count as they are."""
     own = F.col("engine").isin(*filtered)
-    counts = ~own | F.coalesce(is_usable(), F.lit(False))
+    counts = ~own | F.coalesce(is_usable(F.col("text"), F.col("conf")), F.lit(False))
     conf = F.when(own, F.col("conf").cast("int").cast("double")).otherwise(F.col("conf"))
     counted = words.select("doc_id", "page_num", "engine", "pos", F.when(counts, F.col("text")).alias("text"), F.when(counts, conf).alias("conf"))
     return counted.groupBy("doc_id", "page_num", "engine").agg(joined("text", "pos", separator).alias("text"), F.coalesce(F.avg("conf"), F.lit(0.0)).alias("avg_confidence"))
 
 
+def listed_results(pages: DataFrame, separator: str = " ", filtered: tuple[str, ...] = FILTERED_ENGINES) -> DataFrame:
+    """As `page_results`, from pages with their words in order (doc_id, page_num, engine, texts, confs). Each page is
+    settled within its row, so nothing is shuffled; two rows of one page stay two."""
+    own = F.col("engine").isin(*filtered)
+    usable = F.filter(F.arrays_zip("texts", "confs"), lambda w: is_usable(w["texts"], w["confs"]))
+    texts = F.when(own, F.transform(usable, lambda w: w["texts"])).otherwise(F.col("texts"))
+    confs = F.when(own, F.transform(usable, lambda w: w["confs"].cast("int").cast("double"))).otherwise(F.filter("confs", F.isnotnull))
+    read = pages.select("doc_id", "page_num", "engine", F.array_join(texts, separator).alias("text"), confs.alias("confs"))
+    mean = F.try_divide(F.aggregate("confs", F.lit(0.0), lambda s, c: s + c), F.size("confs"))
+    return read.select("doc_id", "page_num", "engine", "text", F.coalesce(mean, F.lit(0.0)).alias("avg_confidence"))
+
+
 def scaled(conf: Column, engine: Column, scale: dict[str, float] | None = None) -> Column:
     """Confidence over the engine's scale, 1 for engines without one."""
     scale = CONFIDENCE_SCALE if scale is None else scale
