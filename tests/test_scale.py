@@ -8,7 +8,7 @@ from quillspark.plans import views
 from quillspark.plans.catalogue import QUERIES
 
 #: Queries whose words reach their page without a shuffle.
-BY_DOCUMENT = ("ocr_summary", "ocr_score_exact", "ensemble_subset", "ocr_rollup", "ensemble_concat")
+BY_DOCUMENT = ("ocr_summary", "ocr_score_exact", "ensemble_subset", "ocr_rollup", "ensemble_concat", "ocr_page_text")
 
 
 def plan(df):
