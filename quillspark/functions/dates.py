@@ -80,3 +80,13 @@ def matching(truth: Column, text: Column) -> Column:
     grain, date_ = granularity(truth), parse_any(truth)
     # The truth's date is an argument and not part of the lambda, where no Python function may stand.
     return F.flatten(F.transform(F.array(date_), lambda d: F.filter(candidates(text), lambda c: equal_at(d, parse_candidate(c), grain))))
+
+
+def parsed_candidates(text: Column) -> Column:
+    """All candidates in the text with their dates, in text order."""
+    return F.transform(candidates(text), lambda c: F.struct(c.alias("candidate"), parse_candidate(c).alias("date")))
+
+
+def first_match(date_: Column, grain: Column, parsed: Column) -> Column:
+    """Of `parsed_candidates`, the first that equals a date (of `parse_any`) at a granularity, or null."""
+    return F.get(F.filter(parsed, lambda c: equal_at(date_, c["date"], grain)), F.lit(0))["candidate"]

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DATE_FIELDS, EXCLUDED_FIELDS, MATCH_THRESHOLD
-from ..functions.dates import matching
-from ..functions.fuzzy import is_match
+from ..functions.dates import first_match, granularity, parse_any, parsed_candidates
+from ..functions.fuzzy import is_match, window_scores
 from . import ocr, retrieve
 
 
@@ -35,14 +35,22 @@ def without_gaps(fields: DataFrame, gaps: DataFrame, brand: str = "brand_name")
 
 def score_documents(texts: DataFrame, fields: DataFrame, key: str = "doc_id", threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """Each engine's document text (key, engine, text, confidence) against the document's fields: dates by strict
-    equality at their granularity, texts by the best fuzzy window."""
-    pairs = texts.join(fields, key)
-    found = matching(F.col("value"), F.col("text"))
-    dates = pairs.where("field_type = 'date'").withColumn("matched_candidate", F.try_element_at(found, F.lit(1)))
-    dates = dates.withColumns({"matched": F.col("matched_candidate").isNotNull(), "score": F.col("matched_candidate").isNotNull().cast("double")})
-    fuzzy = pairs.where("field_type = 'text'").withColumn("m", is_match(F.col("value"), F.col("text"), threshold))
-    fuzzy = fuzzy.withColumns({"matched_candidate": F.lit(None).cast("string"), "matched": F.col("m.matched"), "score": F.col("m.score")}).drop("m")
-    return dates.unionByName(fuzzy).drop("text").withColumns({"score": F.bround("score", 3), "confidence": F.bround("confidence", 3)})
+    equality at their granularity, texts by the best fuzzy window. A document's few fields travel as one array, their dates
+    parsed once; a text is searched for dates once and goes to Python once, for all its fields."""
+    own = [c for c in fields.columns if c != key]
+    dated = fields.withColumn("__value", F.when(F.col("field_type") == "date", F.col("value")))
+    dated = dated.select("*", granularity(F.col("__value")).alias("__grain"), parse_any(F.col("__value")).alias("__date"))
+    listed = dated.groupBy(key).agg(F.collect_list(F.struct(*own, "__grain", "__date")).alias("__fields"))
+    needles = F.transform("__fields", lambda f: F.when(f["field_type"] == "text", f["value"]))
+    scored = texts.join(listed, key).withColumn("__scores", window_scores(needles, F.col("text")))
+    found = F.transform(F.array(parsed_candidates(F.col("text"))), lambda p: F.transform("__fields", lambda f: F.when(f["field_type"] == "date", first_match(f["__date"], f["__grain"], p))))[0]
+    rest = [c for c in texts.columns if c != "text"]
+    rows = scored.select(*rest, F.explode(F.arrays_zip(F.col("__fields").alias("f"), F.col("__scores").alias("score"), found.alias("candidate"))).alias("x"))
+    is_date, candidate = F.col("x.f.field_type") == "date", F.col("x.candidate")
+    score = F.when(is_date, candidate.isNotNull().cast("double")).otherwise(F.col("x.score"))
+    verdict = F.when(is_date, candidate.isNotNull()).otherwise(F.col("x.score") >= threshold)
+    out = rows.where(F.col("x.f.field_type").isin("date", "text")).select(*rest, *(F.col(f"x.f.{c}").alias(c) for c in own), candidate.alias("matched_candidate"), verdict.alias("matched"), F.bround(score, 3).alias("score"))
+    return out.withColumn("confidence", F.bround("confidence", 3))
 
 
 def score_exact(texts: DataFrame, fields: DataFrame, key: str = "doc_id") -> DataFrame:

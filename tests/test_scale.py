@@ -3,12 +3,13 @@
 import re
 
 import pytest
+from quillspark.functions import fuzzy
 from quillspark.operators import ocr
 from quillspark.plans import views
 from quillspark.plans.catalogue import QUERIES
 
 #: Queries whose words reach their page without a shuffle.
-BY_DOCUMENT = ("ocr_summary", "ocr_score_exact", "ensemble_subset", "ocr_rollup", "ensemble_concat", "ocr_page_text")
+BY_DOCUMENT = ("ocr_summary", "ocr_score_exact", "ensemble_subset", "ocr_rollup", "ensemble_concat", "ocr_page_text", "ocr_score_fuzzy")
 
 
 def plan(df):
@@ -32,3 +33,10 @@ def test_words_are_not_shuffled_to_their_pages(spark, sf_dir, name):
 def test_listed_pages_equal_the_words_one_by_one(spark, odd):
     rows = lambda df: sorted((str(r.doc_id), r.page_num, r.engine, r.text, round(r.avg_confidence, 9)) for r in df.collect())
     assert rows(ocr.listed_results(views.ocr_pages(spark, odd))) == rows(ocr.page_results(views.ocr_words(spark, odd)))
+
+
+def test_a_text_serves_all_its_needles():
+    text = "The quick brown fox, the Quick red fox saw WARNING: Y near 1998 quick"
+    needles = ["quick", "WARNING: X", None, "quack", "1999", "", "fox the", "quack", text + " more"]
+    one = lambda n: max(fuzzy.similarity(n, " ".join(text.split()[i : i + len(n.split())])) for i in range(max(1, len(text.split()) - len(n.split()) + 1)))
+    assert fuzzy.best_windows(needles, text) == [None if n is None else one(n) if n else 0.0 for n in needles]
