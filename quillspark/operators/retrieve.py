@@ -57,12 +57,9 @@ def section_matches(pattern: Column, section: Column) -> Column:
     return F.coalesce(F.when(prefix, F.startswith(section, text)).otherwise(F.regexp_like(section, F.concat(F.lit("(?d)^(?:"), pattern, F.lit(")")))), F.lit(False))
 
 
-def candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Question and chunk pairs after the document filter, which never falls back, and the section filter, which falls
-    back to all of the question's chunks where none matches. `fallback` tells which.
-
-    What each question wants is settled on the distinct documents and sections; chunks then meet questions by equal
-    document and section, so that a hot document is dealt by its sections and the engine may split what is still hot."""
+def wanted_places(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The documents and sections that each question looks into (question_id, __document, __section, fallback): the document
+    filter never falls back, the section filter does, to all of the question's chunks where none matches."""
     asked = questions.select("question_id", "section_pattern", "document_filter")
     places = chunks.select("document", "section").distinct()
     named = F.col("document_filter").isNotNull()
@@ -70,11 +67,68 @@ def candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     met = met.select("question_id", "document", "section", "section_pattern", section_matches(F.col("section_pattern"), F.col("section")).alias("hit"))
     any_ = met.groupBy("question_id").agg(F.max("hit").alias("any"))
     wanted = met.join(any_, "question_id").where(F.col("hit") | ~F.col("any"))
-    wanted = wanted.select("question_id", F.col("document").alias("__document"), F.col("section").alias("__section"), (F.col("section_pattern").isNotNull() & ~F.col("any")).alias("fallback"))
+    return wanted.select("question_id", F.col("document").alias("__document"), F.col("section").alias("__section"), (F.col("section_pattern").isNotNull() & ~F.col("any")).alias("fallback"))
+
+
+def candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Question and chunk pairs after the document and section filters. `fallback` tells whether no section matched.
+
+    What each question wants is settled on the distinct documents and sections; chunks then meet questions by equal
+    document and section, so that a hot document is dealt by its sections and the engine may split what is still hot."""
+    wanted = wanted_places(questions, chunks)
     pairs = wanted.join(chunks, F.col("__document").eqNullSafe(F.col("document")) & F.col("__section").eqNullSafe(F.col("section"))).drop("__document", "__section")
     return questions.join(pairs, "question_id")
 
 
+def _dealt(questions: DataFrame, chunks: DataFrame, n_q: int, n_d: int) -> tuple[DataFrame, DataFrame]:
+    """Both with block numbers `q` and `d`; each question in every block of chunks, each chunk in every block of questions."""
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = questions.withColumn("q", F.pmod(F.xxhash64("question_id"), F.lit(n_q)).cast("int")).withColumn("d", spread(n_d))
+    return left, chunks.withColumn("d", F.pmod(F.xxhash64("chunk_idx"), F.lit(n_d)).cast("int")).withColumn("q", spread(n_q))
+
+
+def _blocks(df: DataFrame, rows: int) -> int:
+    return max(1, -(-df.count() // rows))
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    """Vectors of one length as rows, null ones as no numbers."""
+    dim = next((len(x) for x in vectors if x is not None), 0)
+    return np.stack([np.full(dim, np.nan) if x is None else np.asarray(x, float) for x in vectors])
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All cosines, summed in the order of `vectors.cosine`; no number for a zero vector."""
+
+    def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        total = np.zeros(np.broadcast_shapes(x.shape[1:], y.shape[1:]))
+        for u, v in zip(x, y, strict=True):
+            total += u * v
+        return total
+
+    left, right = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return dots(left[:, :, None], right[:, None, :]) / (np.sqrt(dots(left, left))[:, None] * np.sqrt(dots(right, right))[None, :])
+
+
+def cosine_pairs(questions: DataFrame, chunks: DataFrame, on: tuple[str, str], question_rows: int = 512, chunk_rows: int = 2_048) -> DataFrame:
+    """The cosine of every question (question_id, q_embedding) and chunk (chunk_idx, embedding) whose columns `on` are equal,
+    null for a zero vector. Blocks meet blocks as products: rows grow with the pairs asked for, a group's memory does not."""
+    asked = questions.select("question_id", "q_embedding", F.col(on[0]).alias("__on")).where("__on is not null")
+    held = chunks.select("chunk_idx", "embedding", F.col(on[1]).alias("__on")).where("__on is not null")
+    left, right = _dealt(asked, held, _blocks(asked, question_rows), _blocks(held, chunk_rows))
+
+    def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"question_id": [], "chunk_idx": [], "cosine": []})
+        cosine = _cosines(_matrix(x["q_embedding"]), _matrix(y["embedding"]))
+        return pd.DataFrame({"question_id": np.repeat(x["question_id"].to_numpy(), len(y)), "chunk_idx": np.tile(y["chunk_idx"].to_numpy(), len(x)), "cosine": cosine.ravel()})
+
+    kinds = f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_idx {chunks.schema['chunk_idx'].dataType.simpleString()}, cosine double"
+    out = left.groupBy("__on", "q", "d").cogroup(right.groupBy("__on", "q", "d")).applyInPandas(score, kinds)
+    return out.withColumn("cosine", F.nanvl("cosine", F.lit(None).cast("double")))
+
+
 def nearest(questions: DataFrame, chunks: DataFrame, k: int, by_angle: bool = True, tie_break: str = "first", question_rows: int = 4_096, chunk_rows: int = 16_384) -> DataFrame:
     """The k best chunks of each question (question_id, q_embedding) but the chunk of its own number, by cosine or inner
     product: rows (question_id, rank, chunk_idx, score). Blocks of questions meet blocks of chunks as matrix products,

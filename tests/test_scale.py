@@ -3,8 +3,9 @@
 import re
 
 import pytest
-from quillspark.functions import fuzzy
-from quillspark.operators import ocr
+from pyspark.sql import functions as F
+from quillspark.functions import fuzzy, vectors
+from quillspark.operators import ocr, retrieve
 from quillspark.plans import views
 from quillspark.plans.catalogue import QUERIES
 
@@ -40,3 +41,11 @@ def test_a_text_serves_all_its_needles():
     needles = ["quick", "WARNING: X", None, "quack", "1999", "", "fox the", "quack", text + " more"]
     one = lambda n: max(fuzzy.similarity(n, " ".join(text.split()[i : i + len(n.split())])) for i in range(max(1, len(text.split()) - len(n.split()) + 1)))
     assert fuzzy.best_windows(needles, text) == [None if n is None else one(n) if n else 0.0 for n in needles]
+
+
+def test_cosine_pairs_by_blocks_equal_the_expression(spark):
+    rows = [(i, i % 3 if i % 7 else None, None if i == 4 else [0.0, 0.0] if i == 9 else [i / 3, 1.0 - i]) for i in range(40)]
+    q = spark.createDataFrame(rows[::2], "question_id long, q_label long, q_embedding array<double>")
+    c = spark.createDataFrame(rows, "chunk_idx long, label long, embedding array<double>")
+    want = q.join(c, F.col("label") == F.col("q_label")).select("question_id", "chunk_idx", vectors.cosine(F.col("q_embedding"), F.col("embedding")).alias("cosine"))
+    assert sorted(map(str, retrieve.cosine_pairs(q, c, ("q_label", "label"), 4, 8).collect())) == sorted(map(str, want.collect()))
