@@ -6,13 +6,14 @@ an equi-join where a question names one, so only questions without a document me
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DOCUMENTS, SECTION_ROUTES
-from ..functions.vectors import cosine
 
 #: Routing tables above this size are joined without a broadcast.
 ROUTE_ROWS = 10_000
@@ -129,44 +130,78 @@ def cosine_pairs(questions: DataFrame, chunks: DataFrame, on: tuple[str, str], q
     return out.withColumn("cosine", F.nanvl("cosine", F.lit(None).cast("double")))
 
 
+def _products(a: np.ndarray, b: np.ndarray, by_angle: bool) -> np.ndarray:
+    # Not a library product: equal vectors must get equal scores wherever they stand.
+    score = np.einsum("ij,kj->ik", a, b, optimize=False)
+    if by_angle:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score /= np.sqrt(np.einsum("ij,ij->i", a, a))[:, None] * np.sqrt(np.einsum("ij,ij->i", b, b))[None, :]
+    return score
+
+
+def _best(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, sign: int, scores: Callable, own: np.ndarray | None = None, tile: tuple[int, int] = (128, 2_048)) -> tuple[np.ndarray, ...]:
+    """Rows of `a` and of `b` and scores of the k best for each row of `a`, tile by tile. With `own`, pairs without a score
+    and a question's own chunk go; else pairs without a score come last."""
+    kept = []
+    for lo in range(0, len(a), tile[0]):
+        parts = []
+        for at in range(0, len(b), tile[1]):
+            score = scores(a[lo : lo + tile[0]], b[at : at + tile[1]])
+            score[np.isnan(score)] = -np.inf
+            if own is not None:
+                score[own[lo : lo + tile[0], None] == ids[None, at : at + tile[1]]] = -np.inf
+            place = min(k, score.shape[1]) - 1
+            least = -np.partition(-score, place, axis=1)[:, place]
+            row, col = np.nonzero((score >= least[:, None]) & ((score > -np.inf) | (own is None)))
+            parts.append((row, col + at, score[row, col]))
+        row, col, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((sign * ids[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        kept.append((row[first] + lo, col[first], score[first]))
+    return tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+
+
 def nearest(questions: DataFrame, chunks: DataFrame, k: int, by_angle: bool = True, tie_break: str = "first", question_rows: int = 4_096, chunk_rows: int = 16_384) -> DataFrame:
     """The k best chunks of each question (question_id, q_embedding) but the chunk of its own number, by cosine or inner
-    product: rows (question_id, rank, chunk_idx, score). Blocks of questions meet blocks of chunks as matrix products,
-    and only each pair of blocks' k best are shuffled; vectors of one length, a zero vector has no cosine."""
+    product: rows (question_id, rank, chunk_idx, score). Blocks of questions meet blocks of chunks as matrix products, a
+    tile at a time, and only each pair of blocks' k best are shuffled; vectors of one length, a zero vector has no cosine."""
     asked, held = questions.select("question_id", "q_embedding"), chunks.select("chunk_idx", "embedding")
-    n_q, n_d = (max(1, -(-df.count() // rows)) for df, rows in ((asked, question_rows), (held, chunk_rows)))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("q", F.pmod(F.xxhash64("question_id"), F.lit(n_q)).cast("int")).withColumn("d", spread(n_d))
-    right = held.withColumn("d", F.pmod(F.xxhash64("chunk_idx"), F.lit(n_d)).cast("int")).withColumn("q", spread(n_q))
+    left, right = _dealt(asked, held, _blocks(asked, question_rows), _blocks(held, chunk_rows))
     sign = 1 if tie_break == "first" else -1
 
     def search(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"question_id": [], "chunk_idx": [], "score": []})
         if not len(x) or not len(y):
-            return empty
-        a, b, ids = np.stack(x["q_embedding"].tolist()).astype(float), np.stack(y["embedding"].tolist()).astype(float), y["chunk_idx"].to_numpy()
-        parts = []
-        for lo in range(0, len(a), 256):
-            # Not a library product: equal vectors must get equal scores wherever they stand.
-            score = np.einsum("ij,kj->ik", a[lo : lo + 256], b, optimize=False)
-            if by_angle:
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    score = score / (np.sqrt(np.einsum("ij,ij->i", a[lo : lo + 256], a[lo : lo + 256]))[:, None] * np.sqrt(np.einsum("ij,ij->i", b, b))[None, :])
-            own = x["question_id"].to_numpy()[lo : lo + 256]
-            score[(own[:, None] == ids[None, :]) | np.isnan(score)] = -np.inf
-            least = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1]
-            row, col = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-            order = np.lexsort((sign * ids[col], -score[row, col], row))
-            row, col = row[order], col[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col = row[place < k], col[place < k]
-            parts.append(pd.DataFrame({"question_id": own[row], "chunk_idx": ids[col], "score": score[row, col]}))
-        return pd.concat(parts)
+            return pd.DataFrame({"question_id": [], "chunk_idx": [], "score": []})
+        own, ids = x["question_id"].to_numpy(), y["chunk_idx"].to_numpy()
+        a, b = np.stack(x.pop("q_embedding").to_numpy()).astype(float), np.stack(y.pop("embedding").to_numpy()).astype(float)
+        row, col, score = _best(a, b, ids, k, sign, lambda u, v: _products(u, v, by_angle), own)
+        return pd.DataFrame({"question_id": own[row], "chunk_idx": ids[col], "score": score})
 
     kinds = f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_idx {chunks.schema['chunk_idx'].dataType.simpleString()}, score double"
     return rank(left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInPandas(search, kinds), k, tie_break)
 
 
+def _best_in_places(questions: DataFrame, chunks: DataFrame, k: int, tie_break: str, question_rows: int = 4_096, chunk_rows: int = 16_384) -> DataFrame:
+    """Of `candidates`, with their cosines: at least the k best of each question. Blocks of one place's questions and chunks
+    meet as products, so that a hot place is dealt over many tasks and no pair but the best leaves its block."""
+    wanted = questions.join(wanted_places(questions, chunks), "question_id")
+    left, right = _dealt(wanted, chunks, _blocks(questions, question_rows), _blocks(chunks, chunk_rows))
+    asked, held = [c for c in wanted.columns if not c.startswith("__")], chunks.columns
+    sign = 1 if tie_break == "first" else -1
+
+    def search(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in (*asked, *held, "score")})
+        row, col, score = _best(_matrix(x["q_embedding"]), _matrix(y["embedding"]), y["chunk_idx"].to_numpy(), k, sign, _cosines)
+        found = pd.concat([x[asked].iloc[row].reset_index(drop=True), y[held].iloc[col].reset_index(drop=True)], axis=1)
+        return found.assign(score=score)
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for df, names in ((wanted, asked), (chunks, held)) for f in df.select(*names).schema]
+    met = left.groupBy("__document", "__section", "q", "d").cogroup(right.groupBy("document", "section", "q", "d"))
+    return met.applyInPandas(search, ", ".join([*kinds, "score double"])).withColumn("score", F.when(F.col("score") > float("-inf"), F.col("score")))
+
+
 def rank(scored: DataFrame, k: int, tie_break: str = "first", group: str = "question_id", order: str = "chunk_idx") -> DataFrame:
     """The k best per question; of equal scores the lower ordinal is `first`, the higher `last`."""
     second = F.asc(order) if tie_break == "first" else F.desc(order)
@@ -183,8 +218,7 @@ def routed_retrieve(questions: DataFrame, chunks: DataFrame, sections: DataFrame
     """Questions (question_id, question, q_embedding) against chunks (chunk_idx, document, section, embedding)."""
     asked = resolve_section(questions, sections)
     asked = resolve_document(asked, documents) if documents is not None else asked.withColumn("document_filter", F.lit(None).cast("string"))
-    scored = candidates(asked, chunks).withColumn("score", cosine(F.col("q_embedding"), F.col("embedding")))
-    return rank(scored, k, tie_break)
+    return rank(_best_in_places(asked, chunks, k, tie_break), k, tie_break)
 
 
 def query_result(ranked: DataFrame, answer: Column) -> DataFrame:

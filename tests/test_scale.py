@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quillspark.functions import fuzzy, vectors
@@ -49,3 +50,15 @@ def test_cosine_pairs_by_blocks_equal_the_expression(spark):
     c = spark.createDataFrame(rows, "chunk_idx long, label long, embedding array<double>")
     want = q.join(c, F.col("label") == F.col("q_label")).select("question_id", "chunk_idx", vectors.cosine(F.col("q_embedding"), F.col("embedding")).alias("cosine"))
     assert sorted(map(str, retrieve.cosine_pairs(q, c, ("q_label", "label"), 4, 8).collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("tie", ["first", "last"])
+def test_routed_ranking_by_blocks_equals_all_candidates(spark, tie):
+    held = [(i, "A" if i % 3 else None, ("S", "T", None)[i % 4 % 3], [0.0, 0.0] if i in (5, 8) else [1.0 + i % 5, i % 4 - 1.0]) for i in range(30)]
+    c = spark.createDataFrame(held, "chunk_idx long, document string, section string, embedding array<double>")
+    q = spark.createDataFrame([(1, "S", "A", [1.0, 2.0]), (2, None, None, [1.0, 0.0]), (3, "X", "A", [0.5, -1.0]), (4, "T", None, [0.0, 0.0])], "question_id long, section_pattern string, document_filter string, q_embedding array<double>")
+    scored = retrieve.candidates(q, c).withColumn("score", vectors.cosine(F.col("q_embedding"), F.col("embedding")))
+    blocks = retrieve._best_in_places(q, c, 9, tie, 2, 4)
+    assert blocks.columns == scored.columns and "FlatMapCoGroupsInPandas" in plan(retrieve.rank(blocks, 9, tie))
+    got, want = (sorted(map(str, retrieve.rank(df, 9, tie).collect())) for df in (blocks, scored))
+    assert got == want and got
