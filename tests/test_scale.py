@@ -62,3 +62,17 @@ def test_routed_ranking_by_blocks_equals_all_candidates(spark, tie):
     assert blocks.columns == scored.columns and "FlatMapCoGroupsInPandas" in plan(retrieve.rank(blocks, 9, tie))
     got, want = (sorted(map(str, retrieve.rank(df, 9, tie).collect())) for df in (blocks, scored))
     assert got == want and got
+
+
+def test_a_search_holds_one_tile_of_scores():
+    r, seen = np.random.default_rng(1), []
+    a, b, ids = r.integers(-2, 3, (11, 3)).astype(float), r.integers(-2, 3, (90, 3)).astype(float), np.arange(90)
+
+    def scores(x, y):
+        seen.append((len(x), len(y)))
+        return x @ y.T
+
+    row, col, _ = retrieve._best(a, b, ids, 5, 1, scores, np.arange(11), (4, 16))
+    want = [sorted((c for c in range(90) if c != i), key=lambda c: (-(a[i] @ b[c]), c))[:5] for i in range(11)]
+    assert col.reshape(11, 5).tolist() == want and row.tolist() == np.repeat(np.arange(11), 5).tolist()
+    assert max(seen) <= (4, 16) and max(y for _, y in seen) == 16
